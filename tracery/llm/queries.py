@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import contamination
 from .mixing import mix_sources
 from .pii import pseudonymise
+from .quality import classify
+from .simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -25,5 +35,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op8_pii": op8_pii, "op10_decontam": op10_decontam}
+QUERIES = {"op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_decontam": op10_decontam}
 ORACLES: dict[str, str] = {}
