@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .mixing import mix_sources
 from .pii import pseudonymise
 from .quality import classify
 from .simhash import near_duplicates
+from .substring import unrepeated
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = unrepeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -35,5 +42,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_decontam": op10_decontam}
+QUERIES = {"op1_substring": op1_substring, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_decontam": op10_decontam}
 ORACLES: dict[str, str] = {}
