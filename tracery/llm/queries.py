@@ -11,6 +11,7 @@ from .pii import pseudonymise
 from .quality import classify
 from .simhash import near_duplicates
 from .substring import unrepeated
+from .suffix import unrepeated_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +39,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = unrepeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_decontam": op10_decontam}
+QUERIES = {"op1_substring": op1_substring, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii, "op9_suffix": op9_suffix, "op10_decontam": op10_decontam}
 ORACLES: dict[str, str] = {}
