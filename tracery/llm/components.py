@@ -8,12 +8,34 @@ are gathered in one row or one task.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, written
 
 
+def forest(near: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of row and column, of the links in a boolean matrix.
+
+    ``same`` says that rows and columns are the same nodes; the diagonal is then ignored.
+    """
+    if same:
+        np.fill_diagonal(near, False)
+    hit = np.flatnonzero(near.any(axis=1))
+    shift = 0 if same else len(near)
+    label = np.arange(len(near) + (0 if same else near.shape[1]))
+    out: list[tuple[int, int]] = []
+    for i in hit:
+        cols = np.flatnonzero(near[i]) + shift
+        groups, first = np.unique(label[cols], return_index=True)
+        fresh = groups != label[i]
+        if fresh.any():
+            out += [(int(i), int(j) - shift) for j in cols[first[fresh]]]
+            label[np.isin(label, groups)] = label[i]
+    return out
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step.  ``edges`` has (a, b) with a > b; so has the result."""
     if large:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 #: What separates words, after A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,16 +37,11 @@ def _windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataF
     return starts.select("item", F.slice("w", F.col("s"), F.col("len")).alias("win")).distinct()
 
 
-def contamination(
+def hit_documents(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = 10, broadcast_windows: int = 200_000,
 ) -> DataFrame:
-    """Return (id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
-
-    ``n_hit`` counts the document words inside any occurrence of an item's window.
-    A null or empty text, and an item that is null, without words or without id, has
-    no words and hits nothing.  Rows that repeat an id with equal texts get equal results, with
-    different texts their own.  An empty table of items leaves all documents clean.
+    """(id, th, n_hit, found) of the documents that hold a window: their id, the hash of their text, hit words, items.
 
     The windows are broadcast up to ``broadcast_windows`` of them (some 30 MB); with
     more, keys are joined by a shuffle and texts are joined to the surviving positions.
@@ -88,8 +83,21 @@ def contamination(
     doc = Window.partitionBy("id", "th").orderBy("start", "end")
     reach = F.coalesce(F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     covered = hits.select("id", "th", "item", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reach)).alias("new"))
-    by_doc = covered.groupBy("id", "th").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("found"))
+    return covered.groupBy("id", "th").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("found"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Return (id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+
+    ``n_hit`` counts the document words inside any occurrence of an item's window.
+    A null or empty text, and an item that is null, without words or without id, has
+    no words and hits nothing.  Rows that repeat an id get equal results if their
+    texts are equal, else their own.  Other columns are ignored.  An empty table of
+    items leaves all documents clean.  The options are those of :func:`hit_documents`.
+    """
+    by_doc = hit_documents(docs, items, id_col, text_col, **options)
     by_doc = by_doc.select(F.col("id").alias("i"), F.col("th").alias("t"), "n_hit", "found")
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), item_words(F.col(text_col)).alias("words"))
     n_words = F.coalesce(F.size("words"), F.lit(0))
     all_docs = keyed.select("id", "th", F.greatest(n_words, F.lit(0)).cast("long").alias("n_words"))
     out = all_docs.join(by_doc, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
@@ -99,3 +107,10 @@ def contamination(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with their columns."""
+    bad = hit_documents(docs, items, id_col, text_col, **options).select(F.col("id").alias("_i"), F.col("th").alias("_t"))
+    bad = written(bad, "leaks")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_t")), "left_anti")

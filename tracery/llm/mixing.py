@@ -64,9 +64,9 @@ def source_quotas(sizes: DataFrame, weights=(5, 2, 1), ratio: float = 1.5, max_r
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(5, 2, 1),
-    ratio: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 8000, seed: int = 42,
+    ratio: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 8000, seed: int = 42, carry: tuple = (),
 ) -> DataFrame:
-    """Return (id, size, source_size, target, taken) for every row of ``docs``.
+    """Return (id, size, source_size, target, taken) and the columns ``carry`` for every row of ``docs``.
 
     ``taken`` counts the words the mix takes from the row, repeats included.  A null
     or empty text has size 0 and nothing is taken; a null source is a source of its
@@ -74,9 +74,11 @@ def mix_sources(
     are ignored.  Equal inputs give equal outputs, whatever the partitioning.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    named = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")]
+    sizes = written(docs.select(*named), "sizes")
     quotas = written(source_quotas(sizes, weights, ratio, max_repeat, block_words), "quotas").withColumnRenamed("source", "of")
-    each = sizes.join(quotas, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = docs.select(*named, F.struct(*carry).alias("carried")) if carry else sizes
+    each = rows.join(quotas, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     seeded = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "size")
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     each = each.select("*", seeded.alias("h"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id").cast("string"), "size"), shards).alias("shard"))
@@ -89,5 +91,6 @@ def mix_sources(
     rounds = F.when(F.col("length") > 0, F.floor(F.col("want") / F.col("length"))).otherwise(0)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - rounds * F.col("length") - F.col("before")))
     return each.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + rest).cast("long").alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + rest).cast("long").alias("taken"),
+        *(["carried.*"] if carry else []),
     )

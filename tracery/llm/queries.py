@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_conversations
 from .decontam import contamination
+from .embedding import near_vectors
+from .htmltext import page_text
 from .mixing import mix_sources
 from .pii import pseudonymise
 from .quality import classify
@@ -23,6 +26,16 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    return read_conversations(format_conversations(turns.union(spark.createDataFrame(probe, turns.schema))))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -31,6 +44,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +67,16 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_pii": op8_pii, "op9_suffix": op9_suffix, "op10_decontam": op10_decontam}
+QUERIES = {
+    "op1_substring": op1_substring,
+    "op2_embedding": op2_embedding,
+    "op3_chat": op3_chat,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
+    "op6_html": op6_html,
+    "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
+    "op9_suffix": op9_suffix,
+    "op10_decontam": op10_decontam,
+}
 ORACLES: dict[str, str] = {}

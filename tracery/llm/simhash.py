@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import components, forest
 
 #: Bits of the three parts, from the low end, and the base of a tile's number.
 PARTS = (21, 21, 22)
@@ -53,27 +53,9 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(found.view(np.int64))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, rows: int = 128) -> list[tuple[int, int]]:
-    """A spanning forest (pairs of indices) of the links between two blocks."""
-    near = np.concatenate(
-        [np.bitwise_count(a[k : k + rows, None] ^ b[None, :]) <= radius for k in range(0, len(a), rows)]
-    )
-    if same:
-        np.fill_diagonal(near, False)
-    hit = np.flatnonzero(near.any(axis=1))
-    if not len(hit):
-        return []
-    # labels of the nodes of both sides; one side if they are the same block
-    label = np.arange(len(a) + (0 if same else len(b)))
-    shift, out = 0 if same else len(a), []
-    for i in hit:
-        cols = np.flatnonzero(near[i]) + shift
-        groups, first = np.unique(label[cols], return_index=True)
-        fresh = groups != label[i]
-        if fresh.any():
-            out += [(int(i), int(j) - shift) for j in cols[first[fresh]]]
-            label[np.isin(label, groups)] = label[i]
-    return out
+def _near(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128) -> np.ndarray:
+    """Which pairs of two blocks differ in at most ``radius`` bits."""
+    return np.concatenate([np.bitwise_count(a[k : k + rows, None] ^ b[None, :]) <= radius for k in range(0, len(a), rows)])
 
 
 def _compare(radius: int):
@@ -83,7 +65,7 @@ def _compare(radius: int):
             for x, y, same in zip(batch.column("x"), batch.column("y"), batch.column("same"), strict=True):
                 a = x.values.to_numpy().view(np.uint64)
                 b = y.values.to_numpy().view(np.uint64)
-                for i, j in _forest(a, b, same.as_py(), radius):
+                for i, j in forest(_near(a, b, radius), same.as_py()):
                     left.append(a[i])
                     right.append(b[j])
             yield pa.RecordBatch.from_arrays(
