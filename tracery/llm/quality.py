@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from .bytescan import bytes_of, mixed, pieces, word_hashes, words_of
 
 DIM, ROWS, SHAPES, ONES, NEAR = 48, 1 << 14, 1 << 12, 4, 2
+#: A document of so many words is drawn halfway to the sample's mean.
+FEW = 4
+#: Parts in which the word table is summed.
+BLOCKS = 64
 WIDTH = 2 * DIM
 
 
@@ -93,7 +97,7 @@ def _scan(column: pa.Array) -> Iterator[tuple]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The table of context sums of one partition, as bytes; entries are whole numbers, so any order of sums agrees."""
+    """The table of context sums of one partition, in blocks; entries are whole numbers, so any order of sums agrees."""
     table = np.zeros(ROWS * DIM)
     for batch in batches:
         for h, _, first in _scan(batch.column("text")):
@@ -104,7 +108,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, b in ((row[step:], h[:-step]), (row[:-step], h[step:])):
                     for dim, sign in _places(b[near]):
                         table += np.bincount(a[near] + dim.astype(np.int64), sign, ROWS * DIM)
-    yield pa.RecordBatch.from_arrays([pa.array([table.astype(np.float32).tobytes()], pa.binary())], names=["table"])
+    parts = np.split(table.astype(np.float32), BLOCKS)
+    yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "table"])
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    """The sum of one block of all partitions' tables."""
+    total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in parts.column("table"))
+    return pa.table({"block": pa.array([parts.column("block")[0].as_py()], pa.int32()), "table": pa.array([total.tobytes()], pa.binary())})
 
 
 def _unit(table: np.ndarray) -> np.ndarray:
@@ -112,6 +123,7 @@ def _unit(table: np.ndarray) -> np.ndarray:
 
 
 def _pooled(column: pa.Array, words: np.ndarray) -> np.ndarray:
+    """Mean vector of each document's words, and the weight that its number of words gives it."""
     out = []
     for h, shapes, first in _scan(column):
         rows = np.concatenate([words[(h % np.uint64(ROWS)).astype(np.int64)], _SHAPE_VECTORS[shapes]], axis=1)
@@ -120,12 +132,17 @@ def _pooled(column: pa.Array, words: np.ndarray) -> np.ndarray:
         if len(rows):
             full = n > 0
             sums[full] = np.add.reduceat(rows, first[:-1][full], axis=0)
-        out.append(sums / np.maximum(n, 1)[:, None])
-    return np.concatenate(out) if out else np.zeros((0, WIDTH), np.float32)
+        out.append(np.concatenate([sums / np.maximum(n, 1)[:, None], (n / (n + FEW))[:, None]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, WIDTH + 1))
+
+
+def _standard(model: Model, x: np.ndarray) -> np.ndarray:
+    """Pooled vectors in units of the sample's spread; those of few words are drawn to its mean."""
+    return (x[:, :WIDTH] - model.mean) / model.scale * x[:, WIDTH:]
 
 
 def _probability(model: Model, x: np.ndarray) -> np.ndarray:
-    hidden = np.maximum((x - model.mean) / model.scale @ model.w1 + model.b1, 0)
+    hidden = np.maximum(_standard(model, x) @ model.w1 + model.b1, 0)
     return 1 / (1 + np.exp(-np.clip((hidden @ model.w2 + model.b2) / model.temperature, -60, 60)))
 
 
@@ -133,8 +150,8 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, seed: int) ->
     """Two layers, logistic loss with weight decay, Adam; every fifth row is kept for the temperature."""
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
-    m = Model(mean=x.mean(axis=0), scale=x.std(axis=0) + 1e-3)
-    z = (x - m.mean) / m.scale
+    m = Model(mean=x[:, :WIDTH].mean(axis=0), scale=x[:, :WIDTH].std(axis=0) + 1e-3)
+    z = _standard(m, x)
     params = [rng.normal(0, (2 / WIDTH) ** 0.5, (WIDTH, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     train, t = np.flatnonzero(~held), 0
@@ -184,8 +201,10 @@ def fit(
     chosen = chosen.orderBy(F.xxhash64(F.col("id")), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").repartition(parts, "id").cache()  # bounded by the sample
-    tables = [np.frombuffer(r["table"], np.float32) for r in rows.select("text").mapInArrow(_contexts, "table binary").collect()]
-    words = _unit(np.sum([np.zeros(ROWS * DIM, np.float32), *tables], axis=0).reshape(ROWS, DIM))
+    kinds = "block int, table binary"
+    blocks = rows.select("text").mapInArrow(_contexts, kinds).groupBy("block").applyInArrow(_added, kinds).collect()  # one table
+    words = np.concatenate([np.frombuffer(r["table"]) for r in sorted(blocks)] or [np.zeros(ROWS * DIM)])
+    words = _unit(words.reshape(ROWS, DIM))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
