@@ -102,7 +102,8 @@ def _runs(raw: np.ndarray, offsets: np.ndarray, width: int):
         starts = np.flatnonzero(fresh & ~last)
         stops = np.flatnonzero(~last & np.append((fresh | last)[1:], True)) + 1
         whole = word_hashes(part, starts, stops + width - 1)
-        for to, values in zip(out, (spread[anchor[starts]], whole, starts + a, stops - starts), strict=True):
+        # anchors have the least identifiers of their windows: mixed again, they spread over all parts
+        for to, values in zip(out, (mixed(spread[anchor[starts]]), whole, starts + a, stops - starts), strict=True):
             to.append(values)
     return tuple(np.concatenate(x) if x else np.empty(0, np.uint64 if k < 2 else np.int64) for k, x in enumerate(out))
 
