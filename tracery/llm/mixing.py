@@ -79,9 +79,9 @@ def mix_sources(
     quotas = written(source_quotas(sizes, weights, ratio, max_repeat, block_words), "quotas").withColumnRenamed("source", "of")
     rows = docs.select(*named, F.struct(*carry).alias("carried")) if carry else sizes
     each = rows.join(quotas, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    seeded = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "size")
+    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("size").cast("string")))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
-    each = each.select("*", seeded.alias("h"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id").cast("string"), "size"), shards).alias("shard"))
+    each = each.withColumn("h", seeded).withColumn("shard", F.conv(F.left("h", F.lit(8)), 16, 10).cast("long") % shards)
     tape = Window.partitionBy("source", "shard")
     so_far = tape.orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     each = each.select("*", F.sum("size").over(tape).alias("length"), F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("before"))

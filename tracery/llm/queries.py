@@ -10,6 +10,7 @@ from .decontam import contamination
 from .embedding import near_vectors
 from .htmltext import page_text
 from .mixing import mix_sources
+from .oracles import ORACLES as ORACLES
 from .pii import pseudonymise
 from .quality import classify
 from .simhash import near_duplicates
@@ -79,4 +80,3 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_decontam": op10_decontam,
 }
-ORACLES: dict[str, str] = {}
