@@ -89,7 +89,7 @@ def test_mixing(spark):
 def test_page_text(spark):
     page = """<html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body>
     <header><p>site</p></header><nav><ul><li><a href="/">home</a></ul></nav><div class="cookie-notice"><p>cookies</div><!-- <p>c</p> -->
-    <article><h1>A&amp;B</h1><p>one<br>two  <b>three</b>&nbsp;x<p>four &lt;i&gt;</p><aside>side</aside><div class="ad"><p>buy</p></div>
+    <article><div class="post-header"><h1>A&amp;B</h1></div><p>one<br>two  <b>three</b>&nbsp;x<p>four &lt;i&gt;</p><aside>side</aside><div class="ad"><p>buy</p></div>
     <table><tr><td>c1</td><td>c2</td></tr></table><section id="comments"><p>nice</p></section><form><input value="q"><p>name</p></form></article>
     <div id="sidebar"><p>links</p></div><footer>end</footer></body></html>"""
     # pages without an article: the site's lines go because the neighbours share them
@@ -164,10 +164,10 @@ def luhn(s):
 def test_pseudonyms(spark):
     values = {
         "card": "4111111111111111", "plain": "1234567890123456", "ip": "10.0.255.7", "date": "2024-02-29", "ssn": "123-45-6789", "phone": "+1 (017) 555-7713",
-        "token": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "mail": "jo.smith99@mail4.example.com", "MAIL": "JO7@X.ORG",
+        "token": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "iban": "DE89370400440532013000", "day": "29.02.2024", "us": "12/31/1999", "uk": "31/12/1999", "mail": "jo.smith99@mail4.example.com", "MAIL": "JO7@X.ORG",
     }
     text = " ".join(f"{k}: {v};" for k, v in values.items())
-    stay = "300.1.1.1 2024-02-30 12345 v1.2.3.4.5 a1234567890123456 2024-13-01 user@ @host abc"
+    stay = "300.1.1.1 2024-02-30 12345 v1.2.3.4.5 a1234567890123456 2024-13-01 user@ @host abc DE89370400440532013001 30.02.2024 13/13/2024"
     rows = [(1, text), (2, f"again {values['card']} {values['mail']}."), (3, stay), (4, None), (5, ""), (5, ""), (6, "x" * 100_000 + " 10.0.255.7")]
     df = spark.createDataFrame([(*r, "n", 9) for r in rows], "doc_id long, text string, note string, n_found int")
     out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
@@ -179,6 +179,11 @@ def test_pseudonyms(spark):
     assert shape(new["plain"]) == shape(values["plain"]) and shape(new["phone"]) == shape(values["phone"]) and shape(new["ssn"]) == shape(values["ssn"])
     assert all(0 <= int(x) < 256 for x in new["ip"].split(".")) and len(new["ip"].split(".")) == 4
     assert re.fullmatch(r"\d{4}-\d\d-\d\d", new["date"]) and spark.sql(f"select try_cast('{new['date']}' as date) d").first().d is not None
+    mod97 = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+    assert re.fullmatch(r"DE\d{20}", new["iban"]) and mod97(new["iban"]) == 1
+    day, month, year = new["day"].split(".")
+    assert f"{year}-{month}-{day}" == new["date"]  # one day, two ways to write it
+    assert new["us"].split("/") == [new["uk"].split("/")[k] for k in (1, 0, 2)]
     assert re.fullmatch("[0-9a-f]{40}", new["token"])
     assert re.fullmatch(r"[a-z0-9]{2}\.[a-z0-9]{7}@mail4\.example\.com", new["mail"]) and new["MAIL"].endswith("@X.ORG")
     assert out[2].text == f"again {new['card']} {new['mail']}."

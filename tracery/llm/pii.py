@@ -3,7 +3,8 @@
 One pattern finds the candidates of a text; the text is cut there and put together
 again with each candidate replaced.  A candidate is validated by its own rules and
 permuted within its format: a card number stays one of as many digits that passes
-the Luhn test if it did, a date stays a valid date, an address stays an address.  The
+the Luhn test if it did, an account number keeps valid check digits, a date stays a
+valid date, an address stays an address.  The
 permutation depends on the key and the format alone, so equal values get equal
 pseudonyms in all documents, and different values of a format different ones.
 """
@@ -18,6 +19,8 @@ FORMATS = {
     "mail": r"(?<![A-Za-z0-9])[A-Za-z0-9]++(?=[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)",
     "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
+    "day": r"(?<![0-9A-Za-z./-])[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/)[0-9]{4}(?![0-9A-Za-z]|[./-][0-9])",
+    "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "social": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "number": r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
@@ -76,6 +79,12 @@ def _luhn_sum(digits: str, double_last: bool) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (t, j) -> t + if(j % 2 = {odd}, if({d} > 4, 2 * {d} - 9, 2 * {d}), {d}))"
 
 
+def _mod97(text: str) -> str:
+    """SQL: a string of digits and capitals, read as a number (A is 10), modulo 97."""
+    ch = f"substr({text}, j, 1)"
+    return f"aggregate(sequence(1, length({text})), 0, (t, j) -> if({ch} between '0' and '9', (t * 10 + cast({ch} as int)) % 97, (t * 100 + ascii({ch}) - 55) % 97))"
+
+
 def _replacement(key: str) -> str:
     """SQL for the pseudonym of the candidate m; m itself where it is not valid."""
     digits = "0123456789"
@@ -89,12 +98,24 @@ def _replacement(key: str) -> str:
     day = f"datediff(try_cast(m as date), date'{FIRST_DAY}')"
     moved = _permuted("cast(d as bigint)", str(DAYS_HIGH), str(DAYS_LOW), "'date'", key)
     date = _let(day, "d", f"if(d between 0 and {DAYS_HIGH * DAYS_LOW - 1}, cast(date_add(date'{FIRST_DAY}', cast({moved} as int)) as string), m)")
+    # day first if written with dots, or if the first number can be no month
+    day_first = "(m like '%.%' or cast(q[0] as int) > 12)"
+    iso = f"concat_ws('-', q[2], lpad(if({day_first}, q[1], q[0]), 2, '0'), lpad(if({day_first}, q[0], q[1]), 2, '0'))"
+    shown = f"concat_ws(substr(m, length(q[0]) + 1, 1), if({day_first}, lpad(day(z), 2, '0'), lpad(month(z), 2, '0')), if({day_first}, lpad(month(z), 2, '0'), lpad(day(z), 2, '0')), lpad(year(z), 4, '0'))"
+    put = _let(f"date_add(date'{FIRST_DAY}', cast({moved} as int))", "z", shown)
+    other = _let(f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')", "d", f"if(d between 0 and {DAYS_HIGH * DAYS_LOW - 1}, {put}, m)")
+    day_month = _let("split(m, '[./]')", "q", other)
+    filled = _let("regexp_replace(substr(m, 5), '[^0-9]', '')", "g", f"if(g = '', substr(m, 5), {_let(_string('g', digits, chr(39) + 'account' + chr(39) + ', regexp_replace(m, ' + chr(39) + '[0-9]' + chr(39) + ', ' + chr(39) + '9' + chr(39) + ')', key), 'n', _refilled('substr(m, 5)', 'n'))})")
+    check = _let(filled, "b", f"concat(substr(m, 1, 2), lpad(98 - {_mod97('concat(b, substr(m, 1, 2), ' + chr(39) + '00' + chr(39) + ')')}, 2, '0'), b)")
+    account = f"if({_mod97('concat(substr(m, 5), substr(m, 1, 4))')} = 1, {check}, m)"
     plain = _let("regexp_replace(m, '[^0-9]', '')", "g", _let(_string("g", digits, "'digits', regexp_replace(m, '[0-9]', '9')", key), "n", _refilled("m", "n")))
     mixed = _string("m", lower + upper[10:], "'mail'", key)
     mail = f"CASE WHEN m rlike '^[0-9]+$' THEN {_string('m', digits, chr(39) + 'mail' + chr(39), key)} WHEN m rlike '^[0-9a-z]+$' THEN {_string('m', lower, chr(39) + 'mail' + chr(39), key)} WHEN m rlike '^[0-9A-Z]+$' THEN {_string('m', upper, chr(39) + 'mail' + chr(39), key)} ELSE {mixed} END"
     secret = f"if(m rlike '[A-F]', {_string('m', digits + 'ABCDEF', chr(39) + 'secret' + chr(39), key)}, {_string('m', digits + 'abcdef', chr(39) + 'secret' + chr(39), key)})"
     return f"""CASE WHEN m rlike '^[0-9]+([.][0-9]+){{3}}$' THEN {address}
         WHEN m rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' THEN {date}
+        WHEN m rlike '^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}$' THEN {day_month}
+        WHEN m rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' THEN {account}
         WHEN m rlike '^[0-9]{{13,19}}$' THEN {number}
         WHEN m rlike '^([0-9a-f]{{32,}}|[0-9A-F]{{32,}})$' THEN {secret}
         WHEN m rlike '[^0-9A-Za-z]' THEN {plain}
