@@ -88,11 +88,11 @@ def thread_edges(stmts: DataFrame, starters: DataFrame, thread_methods: DataFram
     """CALL edges to entries of thread methods: from the last row of every starting statement.
 
     ``starters`` has (unit_id), ``thread_methods`` (method).  There are as many edges
-    as starting statements for each entry, so both dimensions are small.
+    as starting statements for each entry; those are statements of the program, not rows.
     """
     entries = first_in_method(stmts, size).where("is_first").join(thread_methods, "method", "left_semi").select(F.col("pos").alias("dst"))
     starts = stmts.join(starters, "unit_id", "left_semi").groupBy("unit_id").agg(F.max("pos").alias("src"))
-    return entries.crossJoin(F.broadcast(starts)).select("src", "dst", F.lit(CALL).alias("type"))
+    return entries.select(F.explode(starts.agg(F.collect_list("src")).scalar()).alias("src"), "dst", F.lit(CALL).alias("type"))
 
 
 def look_back_edges(stmts: DataFrame, edges: DataFrame, size: int = SIZE, rows: int = LOOK_BACK) -> DataFrame:
