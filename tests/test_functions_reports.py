@@ -145,3 +145,22 @@ def test_windows_and_lines_of_a_stream(spark, tmp_path):
     q = count_by_method(stream).writeStream.outputMode("update").format("memory").queryName("counts_out").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.method, r.n) for r in spark.table("counts_out").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_statements(spark):
+    from tracery.functions import statements as st
+
+    lit = F.lit
+    none = lit(None).cast("string")
+    cases = [
+        (st.is_return(lit("return_void")), True), (st.is_assign(lit("if")), False), (st.has_invoke(none), False), (st.kept_field(lit("assign"), lit(True), lit(5)), 5), (st.kept_field(lit("if"), lit(True), lit(5)), None),
+        (st.statement_key(lit(3), lit("void m()"), lit("K"), lit("a = 1"), lit(None).cast("long"), lit(2), lit(9), lit("K.java")), "3, void m(), K, a = 1, :THREAD:2, :LINENO:9, :FILE:K.java"),
+        (st.is_after(lit(1), lit(2), lit("<clinit>")), True), (st.is_after(lit(1), lit(2), lit("m")), False), (st.may_set(lit("setX")), True), (st.may_set(none), False),
+        (st.is_android(lit("android.support.v4.X"), none), True), (st.is_android(lit("app.X"), lit("mContext")), True), (st.is_android(lit("app.X"), none), False), (st.matching_type(F.array(path("A"), path("B")), lit("B")), True),
+    ]
+    got = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+    units = spark.createDataFrame([(1, "if", None), (2, "invoke", "f")], "unit_id long, kind string, called_sig string")
+    assert {r.unit_id: r.called_sig for r in st.call_of(units, spark.createDataFrame([(1, 2)], "unit_id long, target long")).collect()} == {1: "f", 2: "f"}
+    params = spark.createDataFrame([("m", "r0"), ("m", "p")], "method string, local string")
+    assert st.parameter_locals(spark.createDataFrame([("m", ["p", "f"]), ("m", ["q"])], "method string, path array<string>"), params).count() == 1
