@@ -2,56 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracery.plans.scratch import forget as forget
+from tracery.plans.scratch import scratch_dir as scratch_dir
+from tracery.plans.scratch import written as written
+
 #: Word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset, as in tests on one machine, a new local folder is made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="tracery-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    This cuts the lineage, so a lost executor costs no more than one step, and it
-    drops the partitioning, so later joins exchange both sides and adaptive
-    execution can split their skewed partitions.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tracery-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tracery-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def same(a: Column, b: Column) -> Column:
-    """Null-safe equality."""
-    return a.eqNullSafe(b)
