@@ -1,6 +1,8 @@
 """Slices across frames, into callees and libraries, on small hand-made programs."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracery.operators import dcfg, frames
 from tracery.operators.program_slice import Program, program_slice
@@ -8,6 +10,15 @@ from tracery.operators.slicer import Options
 from tracery.plans.scratch import written
 from tracery.sources import rules
 
+
+
+def local(spark, rows, schema):
+    """A table that the planner holds itself, so that small programs are quick."""
+    kinds = spark.createDataFrame([], schema).schema
+    columns = [[r[k] for r in rows] for k in range(len(kinds))]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(kinds), strict=True)], names=kinds.names), kinds)
+
+
 ARG = "array<struct<name:string,type:string,is_constant:boolean>>"
 
 
@@ -20,14 +31,14 @@ def program(spark, statements, params, doms=(), calls=None, listed=None):
         uses += [(i, x.split(".") if x else [], False) for x in (u or [""])]
         args += [(i, k, x) for k, x in enumerate(a)]
         receivers += [(i, r)] if r else []
-    stmts = spark.createDataFrame(rows, "pos long, unit_id long, thread_id long, method string, subsig string, class string, name string, is_app boolean, called_sig string, called_subsig string, called_class string, kind string, falls_through boolean, called_name string, ret_var string, ret_type string, is_static boolean")
+    stmts = local(spark, rows, "pos long, unit_id long, thread_id long, method string, subsig string, class string, name string, is_app boolean, called_sig string, called_subsig string, called_class string, kind string, falls_through boolean, called_name string, ret_var string, ret_type string, is_static boolean")
     edges = written(dcfg.build(stmts))
     ids = written(frames.frame_ids(stmts, edges))
-    listed = None if listed is None else rules.model_rules(spark.createDataFrame(listed, "method_sig string, kind string"))
+    listed = None if listed is None else rules.model_rules(local(spark, listed, "method_sig string, kind string"))
     return Program(
-        stmts, ids, frames.frame_table(stmts, ids, edges), edges, spark.createDataFrame(defs, "unit_id long, def_kind string, base string"), spark.createDataFrame(uses, "unit_id long, path array<string>, is_static boolean"),
-        spark.createDataFrame(args, "unit_id long, idx int, arg string"), spark.createDataFrame(params, "method string, idx int, local string"), spark.createDataFrame(receivers, "unit_id long, base string"),
-        spark.createDataFrame(list(doms), "pos long, dom_pos long"), None if calls is None else spark.createDataFrame(calls, f"pos long, method_sig string, base string, ret string, args {ARG}"), listed,
+        stmts, ids, frames.frame_table(stmts, ids, edges), edges, local(spark, defs, "unit_id long, def_kind string, base string"), local(spark, uses, "unit_id long, path array<string>, is_static boolean"),
+        local(spark, args, "unit_id long, idx int, arg string"), local(spark, params, "method string, idx int, local string"), local(spark, receivers, "unit_id long, base string"),
+        local(spark, list(doms), "pos long, dom_pos long"), None if calls is None else local(spark, calls, f"pos long, method_sig string, base string, ret string, args {ARG}"), listed,
     )
 
 
