@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tracery.llm.common import written
 from tracery.llm.decontam import uncontaminated
 from tracery.llm.mixing import mix_sources
+from tracery.llm.nearcopies import without_near_copies
 from tracery.llm.pii import pseudonymise
 from tracery.llm.quality import accepted
-from tracery.llm.simhash import without_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, the one with the least id."""
-    return without_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more), the one with the least id."""
+    return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
