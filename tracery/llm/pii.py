@@ -4,7 +4,9 @@ One pattern finds the candidates of a text; the text is cut there and put togeth
 again with each candidate replaced.  A candidate is validated by its own rules and
 permuted within its format: a card number stays one of as many digits that passes
 the Luhn test if it did, an account number keeps valid check digits, a date stays a
-valid date, an address stays an address.  The
+valid date, an address stays an address.  Cards and account numbers may be written in
+groups, dates with the year first or last and with a time behind them, phones with a
+country's number; a value has one pseudonym however it is grouped.  The
 permutation depends on the key and the format alone, so equal values get equal
 pseudonyms in all documents, and different values of a format different ones.
 """
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 FORMATS = {
     "mail": r"(?<![A-Za-z0-9])[A-Za-z0-9]++(?=[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)",
     "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
-    "day": r"(?<![0-9A-Za-z./-])[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/)[0-9]{4}(?![0-9A-Za-z]|[./-][0-9])",
-    "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "date": r"(?<![0-9A-Za-z./-])[0-9]{4}(?:-[0-9]{2}-[0-9]{2}|/[0-9]{1,2}/[0-9]{1,2}|\.[0-9]{1,2}\.[0-9]{1,2})(?:(?=[Tt][0-9]{2})|(?![0-9A-Za-z-]|[./][0-9]))",
+    "day": r"(?<![0-9A-Za-z./-])[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{4}(?:(?=[Tt][0-9]{2})|(?![0-9A-Za-z]|[./-][0-9]))",
+    "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,4})?)(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -][0-9]{4}){2,}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{6}[ -][0-9]{7,13})(?![0-9A-Za-z])",
     "social": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "abroad": r"(?<![0-9A-Za-z])\+[1-9](?:[ .()/-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
     "number": r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
 }
@@ -89,35 +93,57 @@ def _replacement(key: str) -> str:
     """SQL for the pseudonym of the candidate m; m itself where it is not valid."""
     digits = "0123456789"
     lower, upper = digits + "abcdefghijklmnopqrstuvwxyz", digits + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    body = _let(_string("substr(m, 1, length(m) - 1)", digits, "'card'", key), "b", f"concat(b, cast((10 - {_luhn_sum('b', True)} % 10) % 10 as string))")
-    number = f"if({_luhn_sum('m', False)} % 10 = 0, {body}, {_string('m', digits, chr(39) + 'number' + chr(39), key)})"
+
+    def card(g: str) -> str:
+        body = _string(f"substr({g}, 1, length({g}) - 1)", digits, "'card'", key)
+        return _let(body, "b", f"concat(b, cast((10 - {_luhn_sum('b', True)} % 10) % 10 as string))")
+
+    def valid(g: str) -> str:
+        return f"{_luhn_sum(g, False)} % 10 = 0"
+
+    number = f"if({valid('m')}, {card('m')}, {_string('m', digits, chr(39) + 'number' + chr(39), key)})"
+    # a card in groups has the pseudonym of its digits; in a longer run of groups of four it is looked for at each of them
+    window = _let("regexp_replace(substr(m, 5 * o + 1, 19), '[^0-9]', '')", "w", f"if(length(w) = 16 and {valid('w')}, {_let(card('w'), 'x', _refilled('substr(m, 5 * o + 1, 19)', 'x'))}, '')")
+    taken = "if(r <> '', named_struct('o', concat(a.o, r, substr(m, 5 * o + 20, 1)), 'k', o + 4), named_struct('o', concat(a.o, substr(m, 5 * o + 1, 5)), 'k', o + 1))"
+    scan = f"aggregate(sequence(0, cast((length(m) - 1) div 5 as int)), named_struct('o', '', 'k', 0), (a, o) -> if(o < a.k, a, {_let(window, 'r', taken)}), a -> a.o)"
+    whole = _let(card("h"), "x", _refilled("m", "x"))
+    fours = "m rlike '^[0-9]{4}([ -][0-9]{4}){3}'"
+    grouped = _let("regexp_replace(m, '[^0-9]', '')", "h", f"CASE WHEN length(h) between 13 and 19 and {valid('h')} THEN {whole} WHEN {fours} THEN {scan} ELSE m END")
     octets = "transform(split(m, '[.]'), o -> cast(o as bigint))"
     value = "aggregate(q, 0L, (v, o) -> v * 256 + o)"
     dotted = "concat_ws('.', y div 16777216, (y div 65536) % 256, (y div 256) % 256, y % 256)"
     address = _let(octets, "q", f"if(forall(q, o -> o < 256), {_let(_permuted(value, '65536', '65536', chr(39) + 'address' + chr(39), key), 'y', dotted)}, m)")
-    day = f"datediff(try_cast(m as date), date'{FIRST_DAY}')"
+    day = f"datediff(try_cast(regexp_replace(m, '[/.]', '-') as date), date'{FIRST_DAY}')"
     moved = _permuted("cast(d as bigint)", str(DAYS_HIGH), str(DAYS_LOW), "'date'", key)
-    date = _let(day, "d", f"if(d between 0 and {DAYS_HIGH * DAYS_LOW - 1}, cast(date_add(date'{FIRST_DAY}', cast({moved} as int)) as string), m)")
+    date = _let(day, "d", f"if(d between 0 and {DAYS_HIGH * DAYS_LOW - 1}, replace(cast(date_add(date'{FIRST_DAY}', cast({moved} as int)) as string), '-', substr(m, 5, 1)), m)")
     # day first if written with dots, or if the first number can be no month
     day_first = "(m like '%.%' or cast(q[0] as int) > 12)"
     iso = f"concat_ws('-', q[2], lpad(if({day_first}, q[1], q[0]), 2, '0'), lpad(if({day_first}, q[0], q[1]), 2, '0'))"
     shown = f"concat_ws(substr(m, length(q[0]) + 1, 1), if({day_first}, lpad(day(z), 2, '0'), lpad(month(z), 2, '0')), if({day_first}, lpad(month(z), 2, '0'), lpad(day(z), 2, '0')), lpad(year(z), 4, '0'))"
     put = _let(f"date_add(date'{FIRST_DAY}', cast({moved} as int))", "z", shown)
     other = _let(f"datediff(try_cast({iso} as date), date'{FIRST_DAY}')", "d", f"if(d between 0 and {DAYS_HIGH * DAYS_LOW - 1}, {put}, m)")
-    day_month = _let("split(m, '[./]')", "q", other)
-    filled = _let("regexp_replace(substr(m, 5), '[^0-9]', '')", "g", f"if(g = '', substr(m, 5), {_let(_string('g', digits, chr(39) + 'account' + chr(39) + ', regexp_replace(m, ' + chr(39) + '[0-9]' + chr(39) + ', ' + chr(39) + '9' + chr(39) + ')', key), 'n', _refilled('substr(m, 5)', 'n'))})")
-    check = _let(filled, "b", f"concat(substr(m, 1, 2), lpad(98 - {_mod97('concat(b, substr(m, 1, 2), ' + chr(39) + '00' + chr(39) + ')')}, 2, '0'), b)")
-    account = f"if({_mod97('concat(substr(m, 5), substr(m, 1, 4))')} = 1, {check}, m)"
+    day_month = _let("split(m, '[./-]')", "q", other)
+    filled = _let("regexp_replace(substr(h, 5), '[^0-9]', '')", "g", f"if(g = '', substr(h, 5), {_let(_string('g', digits, chr(39) + 'account' + chr(39) + ', regexp_replace(h, ' + chr(39) + '[0-9]' + chr(39) + ', ' + chr(39) + '9' + chr(39) + ')', key), 'n', _refilled('substr(h, 5)', 'n'))})")
+    check = _let(filled, "b", f"concat(lpad(98 - {_mod97('concat(b, substr(h, 1, 2), ' + chr(39) + '00' + chr(39) + ')')}, 2, '0'), regexp_replace(b, '[^0-9]', ''))")
+    # the longest beginning at the end of a group that has valid check digits; what follows it is not the account's
+    squeezed = "regexp_replace(substr(m, 1, o), '[ -]', '')"
+    fits = _let(squeezed, "h", f"if(length(h) >= 15, {_mod97('concat(substr(h, 5), substr(h, 1, 4))')} = 1, false)")
+    ends = f"filter(filter(sequence(length(m), 15, -1), o -> o = length(m) or substr(m, o + 1, 1) in (' ', '-')), o -> {fits})"
+    swapped = f"transform(slice(z, 1, 1), o -> {_let(squeezed, 'h', _let(check, 'x', 'concat(' + _refilled('substr(m, 1, o)', 'x') + ', substr(m, o + 1))'))})[0]"
+    account = _let(ends, "z", f"if(size(z) = 0, m, {swapped})")
     plain = _let("regexp_replace(m, '[^0-9]', '')", "g", _let(_string("g", digits, "'digits', regexp_replace(m, '[0-9]', '9')", key), "n", _refilled("m", "n")))
+    phone = _let("regexp_replace(m, '[^0-9]', '')", "g", _let(_string("g", digits, "'phone'", key), "n", _refilled("m", "n")))
     mixed = _string("m", lower + upper[10:], "'mail'", key)
     mail = f"CASE WHEN m rlike '^[0-9]+$' THEN {_string('m', digits, chr(39) + 'mail' + chr(39), key)} WHEN m rlike '^[0-9a-z]+$' THEN {_string('m', lower, chr(39) + 'mail' + chr(39), key)} WHEN m rlike '^[0-9A-Z]+$' THEN {_string('m', upper, chr(39) + 'mail' + chr(39), key)} ELSE {mixed} END"
     secret = f"if(m rlike '[A-F]', {_string('m', digits + 'ABCDEF', chr(39) + 'secret' + chr(39), key)}, {_string('m', digits + 'abcdef', chr(39) + 'secret' + chr(39), key)})"
     return f"""CASE WHEN m rlike '^[0-9]+([.][0-9]+){{3}}$' THEN {address}
-        WHEN m rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' THEN {date}
-        WHEN m rlike '^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}$' THEN {day_month}
-        WHEN m rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' THEN {account}
+        WHEN m rlike '^[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}$' THEN {date}
+        WHEN m rlike '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$' THEN {day_month}
+        WHEN m rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 -]+$' THEN {account}
+        WHEN m rlike '^([0-9]{{4}}([ -][0-9]{{4}}){{2,}}([ -][0-9]{{1,3}})?|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}|[0-9]{{6}}[ -][0-9]{{7,13}})$' THEN {grouped}
         WHEN m rlike '^[0-9]{{13,19}}$' THEN {number}
         WHEN m rlike '^([0-9a-f]{{32,}}|[0-9A-F]{{32,}})$' THEN {secret}
+        WHEN m rlike '^[+]|^[(]?[0-9]{{3}}[)]?[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}$' THEN {phone}
         WHEN m rlike '[^0-9A-Za-z]' THEN {plain}
         ELSE {mail} END"""
 
