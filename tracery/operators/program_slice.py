@@ -99,6 +99,8 @@ def _with_callees(p: Program, roles: DataFrame, bound: DataFrame, rounds: int) -
         if fresh.isEmpty():
             break
         known = written(known.unionByName(fresh), "roles")
+    else:
+        raise RuntimeError("callee definitions did not settle; give more rounds")
     return known
 
 
@@ -142,6 +144,8 @@ def item_dependences(p: Program, options: Options = Options(), criteria: DataFra
             data = data.union(step.join(at, ["frame_id", "base", "at"]).select("pos", "path", F.col("base").alias("via"), "def_pos"))
             ends = open_.select("frame_id", "base", F.col("pos").alias("at"))
             ask = step.join(ends, ["frame_id", "base", "at"]).select("pos", "path", "frame_id", "base")
+        else:
+            raise RuntimeError("the search at callers did not settle; give more rounds")
         data = written(data.distinct(), "data")
         given = returns.select(F.col("call_pos").alias("def_pos"), F.col("ret_pos").alias("dep_pos"), F.coalesce("ret_var", F.lit("")).alias("dep_path"))
         by_return = data.join(given, "def_pos").select("pos", "path", "dep_pos", "dep_path")

@@ -26,6 +26,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataF
         known = known.union(frontier)
         if len(parts) % 16 == 0:
             known = written(known, "known")
+    else:
+        raise RuntimeError("reachable nodes did not settle; give more rounds")
     return known
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracery.plans.ordered import SIZE, numbered, previous
+from tracery.plans.scratch import written
 
 MARK = "SLICING:"
 PACKED = " ZLIB: "
@@ -106,18 +107,25 @@ def expand(recs: DataFrame, blocks: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.select("pos", "bb_id", "stmt_idx", "method", "instr", "bb_src_line", "thread_id", "field_id")
 
 
-def resolve_gotos(blocks: DataFrame, rounds: int = 16) -> DataFrame:
-    """Blocks with the placeholder of goto instructions replaced by the first instruction of the block it names."""
+def resolve_gotos(blocks: DataFrame) -> DataFrame:
+    """Blocks with the placeholder of goto instructions replaced by the first instruction of the block it names.
+
+    First instructions are resolved along, so chains of n gotos need log2(n) rounds.  A
+    placeholder of an unknown block stays; gotos in a circle are an error.
+    """
     number = F.regexp_extract("instr", r'tmpString = "(\d+)"', 1)
-    firsts = blocks.where("stmt_idx = 0").select(F.col("bb_id").alias("to"), F.col("instr").alias("target"))
-    for _ in range(rounds):
-        open_ = F.col("instr").contains("goto") & (number != "")
+    open_ = F.col("instr").contains("goto") & (number != "")
+    swapped = F.expr("""regexp_replace(instr, 'tmpString = "[0-9]+"', replace(replace(target, '\\\\', '\\\\\\\\'), '$', '\\\\$'))""")
+    left = blocks.where(open_).count().bit_length() + 1
+    while True:
+        firsts = blocks.where("stmt_idx = 0").select(F.col("bb_id").alias("to"), F.col("instr").alias("target"))
         keyed = blocks.withColumn("to", F.when(open_, number.cast("bigint")))
-        swapped = F.expr("""regexp_replace(instr, 'tmpString = "[0-9]+"', replace(replace(target, '\\\\', '\\\\\\\\'), '$', '\\\\$'))""")
-        blocks = keyed.join(firsts, "to", "left").withColumn("instr", F.when(F.col("target").isNotNull(), swapped).otherwise(F.col("instr"))).drop("to", "target")
-        if blocks.where(open_).isEmpty():
-            break
-    return blocks
+        if keyed.join(firsts, "to", "left_semi").isEmpty():
+            return blocks
+        if left == 0:
+            raise RuntimeError("gotos go in a circle")
+        left -= 1
+        blocks = written(keyed.join(firsts, "to", "left").withColumn("instr", F.when(F.col("target").isNotNull(), swapped).otherwise(F.col("instr"))).drop("to", "target"), "gotos")
 
 
 def without_repeated_windows(rows: DataFrame, order: str, columns: list[str], window: int, by: tuple = (), size: int = SIZE) -> DataFrame:
