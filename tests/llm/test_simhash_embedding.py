@@ -8,7 +8,7 @@ import xxhash
 
 from tracery.llm.components import components, forest
 from tracery.llm.embedding import near_vectors
-from tracery.llm.simhash import fingerprint, near_duplicates, without_near_duplicates
+from tracery.llm.simhash import fingerprint, near_duplicates
 
 
 def labels_of(nodes, edges):

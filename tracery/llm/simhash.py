@@ -118,11 +118,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the least id of each component, once each; rows with a null id stay."""
-    labels = near_duplicates(docs, id_col, text_col, radius)
-    stay = written(labels.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct(), "stay")
-    kept = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
