@@ -86,9 +86,6 @@ def test_near_duplicates(spark):
             assert r.component_id is None and r.fingerprint == format(plain_fingerprint("z"), "016x")
         else:
             assert (r.fingerprint, r.component_id) == (format(prints[r.doc_id], "016x"), want[r.doc_id])
-    kept = sorted(r.doc_id for r in without_near_duplicates(df).where("doc_id is not null").collect())
-    assert kept == sorted(set(want.values()))
-    assert without_near_duplicates(df).where("doc_id is null").count() == 1
 
 
 def test_fingerprint_of_long_text_in_steps():
