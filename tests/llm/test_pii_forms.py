@@ -24,7 +24,7 @@ def test_forms(spark):
     run = "no 1234 4111 1111 1111 1111 123, AT61 1904 3002 3457 3201 BANK"
     stay = "4111 1111 1111 1112 DE89 3704 0044 0532 0130 01 2024/13/01 31-31-2023 1 + 23456 or 2024-01-02-03"
     df = spark.createDataFrame([(1, text), (2, run), (3, stay)], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k1").collect()}
     new = dict(re.findall(r"(\w+): (.*?);", out[1].text))
     assert out[1].n_found == out[1].n_replaced == len(values)
     assert all(new[k] != v for k, v in values.items())

@@ -1,11 +1,15 @@
 """Operators 3, 4, 6, 7, 8 and 10 against plain Python."""
 
+import datetime
 import hashlib
+import os
 import random
 import re
 import zlib
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tracery.llm import chat, htmltext, pii, quality
@@ -103,10 +107,62 @@ def test_page_text(spark):
     main = "A&B one two three x four <i> c1 c2"
     want = [(1, main), (2, main), (3, "alpha"), (4, "beta"), (5, ""), (6, ""), (7, "alone"), (8, "plain © text"), (8, "unclosed")]
     assert got == [(k, t, len(t)) for k, t in want]
-    assert sorted(r.text for r in htmltext.page_text(df, most=1).where("page_id < 3").collect()) == [main, main]
     assert htmltext.page_text(df.limit(0)).count() == 0
 
 
+def brute_page_text(rows):
+    """Each page against its nearest neighbour, with all of a host's contents in one list."""
+    def place(url):
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def digest(lines):
+        return xxhash.xxh64_intdigest(b"".join(x.to_bytes(8, "little", signed=True) for x in htmltext.hashes_of(lines)))
+
+    parsed = [(*place(u), htmltext.lines_of(h or "")) for _, u, h in rows]
+    hosts = {}
+    for host, path, lines in parsed:
+        signed = (digest(lines) ^ (1 << 63)) - (1 << 63)
+        old = hosts.setdefault(host, {}).get(signed, (path, lines))
+        hosts[host][signed] = min(old, (path, lines), key=lambda x: x[0])
+    out = []
+    for (page, _, _), (host, _, lines) in zip(rows, parsed, strict=True):
+        order = sorted((path, h, ls) for h, (path, ls) in hosts[host].items())
+        k = next(i for i, x in enumerate(order) if x[1] == (digest(lines) ^ (1 << 63)) - (1 << 63))
+        near = [order[i] for i in (k - 1, k + 1) if 0 <= i < len(order)]
+        best = max(near, key=lambda x: len(os.path.commonprefix([x[0], order[k][0]]))) if near else None
+        gone = htmltext.shared_lines([x[0] for x in lines], [x[0] for x in best[2]]) if best else set()
+        marked = any(a and not m for _, a, m in lines)
+        out.append((page, " ".join(x for i, (x, a, m) in enumerate(lines) if not m and (a if marked else i not in gone))))
+    return out
+
+
+@pytest.mark.parametrize("partitions", ["2", "13"])
+def test_pages_against_brute_force(spark, partitions):
+    """Large hosts, lone pages, copies, ties, pages with and without an article: the same for any partitioning."""
+    rng = random.Random(12)
+    site = {h: [f"{h} line {i}" for i in range(6)] for h in ("big", "mid")}
+    rows = []
+    for i in range(400):
+        host = rng.choice(["big", "big", "big", "mid"])
+        body = [f"<p>{x}</p>" for x in rng.sample(site[host], 4)] + [f"<p>own {rng.randrange(300)}</p>" for _ in range(rng.randint(0, 4))]
+        rng.shuffle(body)
+        if rng.random() < 0.2:
+            body.insert(2, f"<article><h1>t {i}</h1><p>{site[host][0]}</p><object>kept</object></article>")
+        rows.append((i, f"http://{host}.example/{rng.choice('abc')}/{rng.randrange(60)}", "<title>x</title><body>" + "".join(body)))
+    rows += [(1000 + i, f"http://big.example/copy/{i}", rows[0][2]) for i in range(60)] + [(2000, "http://lone.example/", "<p>only <math>2</math>"), (2001, None, None), (2002, None, "<p>x")]
+    rows += [rows[5], rows[5]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = sorted((r.page_id, r.text) for r in htmltext.page_text(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(brute_page_text(rows))
+    assert dict(got)[2000] == "only" and any("line" not in t and t for _, t in got)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
@@ -163,20 +219,20 @@ def luhn(s):
 
 def test_pseudonyms(spark):
     values = {
-        "card": "4111111111111111", "plain": "1234567890123456", "ip": "10.0.255.7", "date": "2024-02-29", "ssn": "123-45-6789", "phone": "+1 (017) 555-7713",
+        "card": "4111111111111111", "ip": "10.0.255.7", "date": "2024-02-29", "ssn": "123-45-6789", "phone": "+1 (017) 555-7713",
         "token": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "iban": "DE89370400440532013000", "day": "29.02.2024", "us": "12/31/1999", "uk": "31/12/1999", "mail": "jo.smith99@mail4.example.com", "MAIL": "JO7@X.ORG",
     }
     text = " ".join(f"{k}: {v};" for k, v in values.items())
-    stay = "300.1.1.1 2024-02-30 12345 v1.2.3.4.5 a1234567890123456 2024-13-01 user@ @host abc DE89370400440532013001 30.02.2024 13/13/2024"
+    stay = "1234567890123456 666-12-3456 000-12-3456 123-00-4567 123-45-0000 300.1.1.1 2024-02-30 12345 v1.2.3.4.5 a1234567890123456 2024-13-01 user@ @host abc DE89370400440532013001 30.02.2024 13/13/2024"
     rows = [(1, text), (2, f"again {values['card']} {values['mail']}."), (3, stay), (4, None), (5, ""), (5, ""), (6, "x" * 100_000 + " 10.0.255.7")]
     df = spark.createDataFrame([(*r, "n", 9) for r in rows], "doc_id long, text string, note string, n_found int")
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
-    assert pii.pseudonymise(df).count() == len(rows) and pii.pseudonymise(df).columns == ["doc_id", "text", "note", "n_found", "n_replaced"]
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k1").collect()}
+    assert pii.pseudonymise(df, "k1").count() == len(rows) and pii.pseudonymise(df, "k1").columns == ["doc_id", "text", "note", "n_found", "n_replaced"]
     new = dict(re.findall(r"(\w+): (.*?);", out[1].text))
     assert all(v not in out[1].text for v in values.values())
     shape = lambda s: re.sub("[0-9]", "9", s)
-    assert len(new["card"]) == 16 and luhn(new["card"]) and not luhn(values["plain"])
-    assert shape(new["plain"]) == shape(values["plain"]) and shape(new["phone"]) == shape(values["phone"]) and shape(new["ssn"]) == shape(values["ssn"])
+    assert len(new["card"]) == 16 and luhn(new["card"])
+    assert shape(new["phone"]) == shape(values["phone"]) and shape(new["ssn"]) == shape(values["ssn"])
     assert all(0 <= int(x) < 256 for x in new["ip"].split(".")) and len(new["ip"].split(".")) == 4
     assert re.fullmatch(r"\d{4}-\d\d-\d\d", new["date"]) and spark.sql(f"select try_cast('{new['date']}' as date) d").first().d is not None
     mod97 = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
@@ -195,10 +251,78 @@ def test_pseudonyms(spark):
         pii.pseudonymise(df, key="a'b")
 
 
+def test_values_that_look_like_another_format(spark):
+    """What fails one format is tried in the next; letters alone can be a secret; no name of a column matters."""
+    secret, letters, mail, card = "AB12CDEF0123456789ABCDEF01234567", "deadbeef" * 4, "AB12CDEFGHIJKLM@x.org", "AB12 4111 1111 1111 1111"
+    rows = [(1, f"{secret} {mail} {card}", 55, 1), (2, letters, 55, 1), (3, f"7 {letters}", 55, 1), (4, secret, 55, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_found int, _pii int")
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k1", counts=False).collect()}
+    assert all(x not in out[1].text for x in (secret, "AB12CDEFGHIJKLM", "4111 1111 1111 1111")) and out[1].text.endswith(card[:5] + out[1].text[-19:])
+    assert out[2].text != letters and out[3].text == f"7 {out[2].text}" and out[1].text.startswith(out[4].text)
+    assert all((r.n_found, r._pii) == (55, 1) for r in out.values())
+    assert pii.pseudonymise(df, "k1").columns == ["doc_id", "text", "n_found", "_pii", "n_replaced"]
+
+
+def feistel(x, high, low, tweak, key):
+    left, right = divmod(x, low)
+    f = lambda half, i: int(hashlib.sha256(":".join(map(str, [key, *tweak, i, half])).encode()).hexdigest()[:15], 16)
+    for i in range(1, 11):
+        if i % 2:
+            left = (left + f(right, i)) % high
+        else:
+            right = (right + f(left, i)) % low
+    return left * low + right
+
+
+def plain_string(text, alphabet, tweak, key):
+    base, out = len(alphabet), ""
+    piece = next(n for n in range(15, 0, -1) if base**n < 2**53)
+    for k in range((len(text) - 1) // piece + 1):
+        p = text[k * piece : (k + 1) * piece]
+        y = feistel(sum(alphabet.index(c) * base ** (len(p) - 1 - j) for j, c in enumerate(p)), base ** (len(p) // 2), base ** ((len(p) + 1) // 2), [*tweak, len(text), k], key)
+        out += "".join(alphabet[y // base ** (len(p) - 1 - j) % base] for j in range(len(p)))
+    return out
+
+
+def test_feistel_against_plain_python(spark):
+    """Cards, secrets, mail names, addresses, phones and dates of all texts of the smallest tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    card = lambda m: (lambda b: b + next(d for d in "0123456789" if luhn(b + d)))(plain_string(m[:-1], pii.DIGITS, ["card"], "k1")) if luhn(m) else m
+    day0 = datetime.date(1900, 1, 1)
+
+    def address(m):
+        q = [int(x) for x in m.split(".")]
+        y = feistel(int.from_bytes(bytes(q), "big"), 65536, 65536, ["address"], "k1") if max(q) < 256 else None
+        return m if y is None else ".".join(map(str, y.to_bytes(4, "big")))
+
+    def date(m):
+        d = (datetime.date.fromisoformat(m) - day0).days
+        return str(day0 + datetime.timedelta(days=feistel(d, 250, 292, ["date"], "k1")))
+
+    def phone(m):
+        new = iter(plain_string(re.sub("[^0-9]", "", m), pii.DIGITS, ["phone"], "k1"))
+        return "".join(next(new) if c.isdigit() else c for c in m)
+
+    def mail(m):
+        kind = next((a for r, a in (("[0-9]+", pii.DIGITS), ("[0-9a-z]+", pii.LOWER), ("[0-9A-Z]+", pii.UPPER)) if re.fullmatch(r, m)), pii.LOWER + pii.UPPER[10:])
+        return plain_string(m, kind, ["mail"], "k1")
+
+    forms = [(pii.FORMATS["number"], card), (pii.FORMATS["secret"], lambda m: plain_string(m, pii.DIGITS + ("ABCDEF" if re.search("[A-F]", m) else "abcdef"), ["secret"], "k1")), (pii.FORMATS["mail"], mail), (pii.FORMATS["address"], address), (pii.FORMATS["date"], date), (pii.FORMATS["phone"], phone)]
+    seen = 0
+    for new, old in zip(pii.pseudonymise(docs, "k1").orderBy("doc_id").collect(), docs.orderBy("doc_id").collect(), strict=True):
+        cut = [(m.start(), m.end(), m[0], f) for pattern, f in forms for m in regex.finditer(pattern, old.text or "")]
+        text, at = "", 0
+        for a, b, m, f in sorted(cut, key=lambda x: x[:2]):
+            if a >= at:
+                text, at, seen = text + old.text[at:a] + f(m), b, seen + 1
+        if old.text is not None:
+            assert text + old.text[at:] == new.text
+    assert seen > 5
+
+
 def test_permutation_of_a_format(spark):
     """All values of a small format have different pseudonyms, and all of them are used."""
-    one = pii._string("digits_", "0123456789", "'t'", "k")
-    rows = spark.range(1000).select(F.format_string("%03d", "id").alias("digits_")).selectExpr("digits_ as d", f"{one} as p").collect()
+    rows = spark.range(1000).select(F.format_string("%03d", "id").alias("d")).select("d", pii._string(F.col("d"), pii.DIGITS, ["t"], "k").alias("p")).collect()
     assert sorted(r.p for r in rows) == sorted(r.d for r in rows)
 
 
@@ -242,7 +366,7 @@ def test_contamination(spark, broadcast_windows):
             w[len(w) // 2 : len(w) // 2] = part
         docs.append((i, rng.choice([" ", ", ", "-"]).join(w).upper() if rng.random() < 0.3 else " ".join(w)))
     docs += [(100, None), (101, ""), (102, "... !"), (103, "Unique"), (104, docs[3][1]), (104, docs[3][1]), (104, docs[4][1]), (None, "t1 T2, t3"), (105, "t1 " * 3000)]
-    df = spark.createDataFrame([(*d, "w", 1) for d in docs], "doc_id long, text string, words string, item int").repartition(3)
+    df = spark.createDataFrame([(*d, "w", 1, 2, 3) for d in docs], "doc_id long, text string, words string, item int, _i int, _t int").repartition(3)
     it = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id int")
     got = [tuple(r) for r in contamination(df, it, broadcast_windows=broadcast_windows).collect()]
     want = plain_contamination(docs, items)

@@ -46,7 +46,8 @@ def hit_documents(
     The windows are broadcast up to ``broadcast_windows`` of them (some 30 MB); with
     more, keys are joined by a shuffle and texts are joined to the surviving positions.
     """
-    windows = _windows(items, item_col, item_text_col, window).select("item", "win", F.size("win").alias("len")).cache()
+    windows = _windows(items, item_col, item_text_col, window).select("item", "win", F.size("win").alias("len"))
+    windows = written(windows, "windows")
     small = windows.count() <= broadcast_windows
     near = F.broadcast if small else (lambda df: df)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), item_words(F.col(text_col)).alias("words"))
@@ -110,7 +111,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with their columns."""
-    bad = hit_documents(docs, items, id_col, text_col, **options).select(F.col("id").alias("_i"), F.col("th").alias("_t"))
+    """The rows of ``docs`` that hold no window of an item, with their columns, whatever those are named.
+
+    A null or empty text is clean; rows that repeat an id are judged by their own text.
+    """
+    bad = hit_documents(docs, items, id_col, text_col, **options).select(F.col("id").alias("bad"), "th")
     bad = written(bad, "leaks")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_t")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad")) & (F.col("hash") == F.col("th")), "left_anti").select("row.*")

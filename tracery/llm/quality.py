@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import bytes_of, mixed, pieces, word_hashes, words_of
+from .common import forget, written
 
 DIM, ROWS, SHAPES, ONES, NEAR = 48, 1 << 14, 1 << 12, 4, 2
 #: A document of so many words is drawn halfway to the sample's mean.
@@ -193,14 +194,17 @@ def fit(
 ) -> Model:
     """Train on the labelled rows that are not held out, at most ``sample`` of them.
 
-    Rows with a null id or label are skipped, a repeated id has its greatest label.
+    Rows with a null id or label are skipped; a repeated id has its greatest label and text.
     Without labelled rows the model says 0.5, with one class only that class.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     chosen = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.col("id")), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").repartition(parts, "id").cache()  # bounded by the sample
+    picked = texts.join(F.broadcast(chosen), "id")
+    # of rows that repeat an id the greatest text counts, so the sample bounds the rows too
+    one = picked.groupBy("id", "y").agg(F.max("text").alias("text"))
+    rows = written(one.repartition(parts).select("id", "y", "text"), "sample")
     kinds = "block int, table binary"
     blocks = rows.select("text").mapInArrow(_contexts, kinds).groupBy("block").applyInArrow(_added, kinds).collect()  # one table
     words = np.concatenate([np.frombuffer(r["table"]) for r in sorted(blocks)] or [np.zeros(ROWS * DIM)])
@@ -213,7 +217,7 @@ def fit(
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = sorted((r["id"], r["x"], r["y"]) for r in rows.mapInArrow(pool, f"id {kind}, y double, x binary").collect())
-    rows.unpersist()
+    forget(rows)
     y = np.array([r[2] for r in found])
     if len(set(y.tolist())) < 2:
         return Model(constant=float(y[0]) if len(y) else 0.5)

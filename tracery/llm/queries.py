@@ -11,7 +11,7 @@ from .embedding import near_vectors
 from .htmltext import page_text
 from .mixing import mix_sources
 from .oracles import ORACLES as ORACLES
-from .pii import pseudonymise
+from .pii import pseudonymise, session_key
 from .quality import classify
 from .simhash import near_duplicates
 from .substring import unrepeated
@@ -54,7 +54,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
