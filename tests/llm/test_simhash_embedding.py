@@ -146,3 +146,23 @@ def test_recall_near_the_threshold(spark):
         rows += [(2 * i, x.tolist(), 0), (2 * i + 1, (0.935 * x + (1 - 0.935**2) ** 0.5 * z).tolist(), 0)]
     out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert out.where("n_links > 0").count() / (2 * n) >= 0.9
+
+
+def test_links_and_components_at_production_settings(spark):
+    """Groups of near vectors, some in chains, in 64 dimensions: nearly all links, no wrong ones, components as by brute force."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(120):
+        x = rng.normal(size=64)
+        for _ in range(rng.integers(1, 9)):
+            rows.append((len(rows), (x + rng.normal(size=64) * rng.choice([0.1, 0.22])).tolist(), int(g % 3)))
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (v @ v.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    want = labels_of(range(len(rows)), list(zip(*map(list, np.nonzero(near)), strict=True)))
+    out = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links, found = near.sum(axis=1), np.array([out[i].n_links for i in range(len(rows))])
+    assert links.sum() > 500 and (found <= links).all() and found.sum() >= 0.98 * links.sum()
+    assert np.mean([out[i].component_id == want[i] for i in range(len(rows))]) >= 0.98

@@ -4,8 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from tracery.llm import substring, suffix
+from tracery.llm.chunks import distinct_pairs
 from tracery.llm.substring import unrepeated
 from tracery.llm.suffix import unrepeated_bytes
 
@@ -107,3 +110,15 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert unrepeated(empty).count() == 0
     assert unrepeated_bytes(empty).count() == 0
+
+
+def test_equal_first_hashes_do_not_decide():
+    """Windows and strings whose first hash is the same for all are told apart by the second."""
+    low = np.arange(4, dtype=np.uint32)
+    one, index, count = distinct_pairs(np.zeros(8, np.uint64), np.tile(low, 2))
+    assert len(one) == 4 and count.tolist() == [2] * 4 and index.tolist() == [0, 1, 2, 3] * 2
+    rng = np.random.default_rng(3)
+    words, ids = rng.integers(0, 1 << 63, 400).astype(np.uint64), rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    # the second hashes do not follow from the first ones: both families tell all windows apart
+    assert len(np.unique(substring._second(words, np.arange(381), 20))) == 381
+    assert len(np.unique(suffix._second(ids, 200))) == len(suffix._full(ids, 200))

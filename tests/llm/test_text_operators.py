@@ -26,7 +26,8 @@ def test_escaping_is_reversible():
         text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
         role = rng.choice(["user", "assistant", "system", "tool", "a]b\\", "[INST]", ""])
         pieces = chat.segments(role, text)
-        assert chat.read_turn("".join(p for p, _ in pieces)) == (role, text)
+        whole = "".join(p for p, _ in pieces)
+        assert chat.first_turn(whole + whole) == (role, text, len(whole)) and chat.first_turn(whole[:-1]) is None
         assert "".join(chat.unescaped(p) for p, loss in pieces if loss) == (text if role == "assistant" else "")
 
 
@@ -50,6 +51,19 @@ def test_conversations(spark):
     assert chat.read_conversations(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_long_conversations_are_parsed_as_a_whole(spark):
+    """Turns whose texts hold the template's own strings, a very long text, a long conversation."""
+    rng = random.Random(8)
+    bits = [b + a for b, a, _ in chat.TEMPLATE.values()] + [a for _, a, _ in chat.TEMPLATE.values()] + ["x", "\\", " </s>\n[INST] "]
+    rows = [(1, i, ["user", "assistant"][i % 2], "".join(rng.choices(bits, k=rng.randint(0, 5)))) for i in range(3000)]
+    rows += [(2, 0, "user", "q"), (2, 1, "assistant", " </s>\n" * 100_000)]
+    out = {r.conv_id: r for r in chat.read_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4))).collect()}
+    for c, r in out.items():
+        turns = [(x[2], x[3]) for x in rows if x[0] == c]
+        assert r.n_turns == len(turns) and r.valid
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+
+
 # ------------------------------------------------------------------ mixing
 
 

@@ -43,6 +43,8 @@ _TURN = re.compile(
     ),
     re.S,
 )
+#: What a turn can end with.
+_AFTER = tuple(after for _, after, _ in TEMPLATE.values())
 
 
 def escaped(text: str) -> str:
@@ -60,17 +62,15 @@ def segments(role: str, text: str) -> list[tuple[str, bool]]:
     return [(before.replace("{role}", name), False), (escaped(text), learned), (after, False)]
 
 
-def read_turn(formatted: str) -> tuple[str, str]:
-    """(role, text) of one formatted turn."""
-    m = _TURN.fullmatch(formatted)
+def first_turn(formatted: str) -> tuple[str, str, int] | None:
+    """(role, text, end) of the turn that a formatted text begins with; none if it has not ended yet."""
+    m = _TURN.match(formatted)
     if not m:
-        raise ValueError("not a formatted turn")
-    names, at = list(TEMPLATE), 1
-    for name in names:
-        if name is None:
-            return unescaped(m[at]), unescaped(m[at + 1])
+        return None
+    at = 1
+    for name in TEMPLATE:
         if m[at] is not None:
-            return name, unescaped(m[at])
+            return (unescaped(m[at]), unescaped(m[at + 1]), m.end()) if name is None else (name, unescaped(m[at]), m.end())
         at += 1
     raise AssertionError
 
@@ -94,17 +94,14 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Digest:
-    """What is read back from the segments of one conversation."""
+    """What is read back from the text of one conversation, turn by turn, by the template alone."""
 
     def __init__(self, conv):
-        self.conv, self.turns, self.loss_chars, self.chars, self.state, self.turn = conv, 0, 0, 0, "start", 1
+        self.conv, self.turns, self.loss_chars, self.chars, self.state, self.text = conv, 0, 0, 0, "start", ""
         self.pending: list[str] = []
         self.all, self.learned = hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, turn: int, segment: str, loss: bool, state: str) -> None:
-        if turn != self.turn:
-            self.close()
-            self.turn = turn
+    def feed(self, segment: str, loss: bool, state: str) -> None:
         self.pending.append(segment)
         self.chars += len(segment)
         self.state = state
@@ -112,12 +109,21 @@ class _Digest:
             text = unescaped(segment)
             self.loss_chars += len(text)
             self.learned.update(text.encode("utf-8", "surrogatepass"))
+        if segment.endswith(_AFTER):
+            self.parse()
+
+    def parse(self) -> None:
+        self.text += "".join(self.pending)
+        self.pending = []
+        while found := first_turn(self.text):
+            role, text, end = found
+            self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            self.turns, self.text = self.turns + 1, self.text[end:]
 
     def close(self) -> None:
-        if self.pending:
-            role, text = read_turn("".join(self.pending))
-            self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            self.turns, self.pending = self.turns + 1, []
+        self.parse()
+        if self.text:
+            raise ValueError("a formatted conversation ends inside a turn")
 
     def row(self) -> tuple:
         self.close()
@@ -135,7 +141,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         kind, rows = batch.schema.field("conv").type, []
-        for c, *rest in zip(*(batch.column(k).to_pylist() for k in ("conv", "turn", "segment", "loss", "state")), strict=True):
+        for c, *rest in zip(*(batch.column(k).to_pylist() for k in ("conv", "segment", "loss", "state")), strict=True):
             if open_ is None or open_.conv != c:
                 if open_ is not None:
                     rows.append(open_.row())
@@ -168,6 +174,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 def read_conversations(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Read the output of :func:`format_conversations` back: one row of counts and digests per conversation.
 
+    Turns are found in the conversation's whole text by the template; of the segments
+    only their order and loss flags are used.
+
     ``valid`` says that the roles kept the order of the state machine to an allowed end.
     """
     kind = formatted.schema["conv"].dataType.simpleString()

@@ -49,11 +49,10 @@ def in_order(table: pa.Table) -> tuple[list, pa.Array, np.ndarray]:
 
 
 def posts(chunk: int, hashes: np.ndarray, bits: int, pack) -> pa.Table:
-    """Messages for the parts: ``hashes`` is sorted; ``pack(lo, hi)`` gives the two byte strings for a range of it."""
-    cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    cuts = [0, *cuts.tolist(), len(hashes)]
-    rows = [(part, *pack(lo, hi)) for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-    return as_posts([(chunk, *row) for row in rows])
+    """Messages for the parts that have any of the hashes: ``hashes`` is sorted; ``pack(lo, hi)`` gives the two byte strings for a range of it."""
+    part = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(hashes)] if len(hashes) else [0]
+    return as_posts([(chunk, int(part[lo]), *pack(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def as_posts(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
@@ -69,16 +68,25 @@ def messages(table: pa.Table) -> Iterator[tuple[int, int, bytes, bytes]]:
 def answers(table: pa.Table, n: int, bits: int, hashes: np.ndarray, kind=np.bool_) -> np.ndarray:
     """One value for each of a chunk's sorted hashes, from the answers of the parts (none: 0)."""
     out = np.zeros(n, kind)
-    starts = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     for _, part, keys, _ in messages(table):
         if part >= 0:
             got = np.unpackbits(np.frombuffer(keys, np.uint8)).astype(bool) if kind == np.bool_ else np.frombuffer(keys, kind)
-            at = int(starts[part])
+            at = int(np.searchsorted(hashes, np.uint64(part << (64 - bits) if bits else 0)))
             take = min(len(got), n - at)
             out[at : at + take] = got[:take]
     return out
 
 
+def distinct_pairs(high: np.ndarray, low: np.ndarray, tie: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first of each distinct pair, pairs in order; number of each row's pair; count of each pair); ``tie`` says which is first."""
+    order = np.lexsort((low, high) if tie is None else (tie, low, high))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(fresh) - 1
+    return order[fresh], index, np.bincount(index, minlength=int(fresh.sum()))
+
+
 def two_rounds(chunks: DataFrame, ask, match, ask_again, match_again, finish, schema: str) -> DataFrame:
     """Ask, answer, ask again, answer again and finish, all on Arrow tables of a chunk or a part."""
     told = chunks.groupBy("chunk").applyInArrow(ask, POST).groupBy("part").applyInArrow(match, POST)

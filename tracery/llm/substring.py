@@ -3,12 +3,13 @@
 Every document is cut into blocks of ``window // 2`` words that do not overlap; these
 are the index.  Any window of ``window`` words contains a whole block, so a repeated
 window shows as a hit when all rolling windows of a block's length are probed against
-the index.  Hits are extended on both sides to the windows around them; those are
-compared by their own hash, which gives each repeat its full length, and every
+the index.  Hits are extended on both sides, word by word, to the windows around them; those
+are compared by their own hash, which gives each repeat its full length, and every
 occurrence but the first (by document id, then by position) is removed.
 
-Block and window hashes have 64 bits (32 of a block's cross the network; a clash
-there costs a comparison, not a wrong result).
+A block's hash has 64 bits, of which 32 and the part's number cross the network; a clash
+there costs a comparison, not a wrong result.  A window is known by 96 bits, 64 and 32
+of two hashes: among n different windows a clash has a probability of about n**2 / 2**97.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytescan import bytes_of, pieces, window_hashes, word_hashes, words_of
-from .chunks import CHUNK_BYTES, answers, as_posts, chunked, in_order, leading_bits, messages, only_covered, posts, runs_of, two_rounds
+from .bytescan import bytes_of, mixed, pieces, window_hashes, word_hashes, words_of
+from .chunks import CHUNK_BYTES, answers, as_posts, chunked, distinct_pairs, in_order, leading_bits, messages, only_covered, posts, runs_of, two_rounds
 
+PLACE = np.dtype([("id", np.int64), ("start", np.int32), ("low", np.uint32)])
 SCHEMA = "id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
 
 
@@ -43,6 +45,11 @@ def _windows(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return window_hashes(words, width)[inside], inside
 
 
+def _second(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """32 bits of another hash of the windows at ``starts``."""
+    return (window_hashes(mixed(words + np.uint64(0xA0761D6478BD642F)), width)[starts] >> np.uint64(32)).astype(np.uint32)
+
+
 def _blocks(words: np.ndarray, first: np.ndarray, block: int):
     """Distinct hashes of the rolling blocks; for each whether it is an anchor and whether it repeats here; the hash index of each start."""
     hashes, at = _windows(words, first, block)
@@ -83,7 +90,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return as_posts([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
 
     def candidates(words: np.ndarray, first: np.ndarray, told: pa.Table):
-        """Windows around a hit: (distinct hashes, first start of each, all starts, hash index of each start)."""
+        """Windows around a hit: (distinct hashes, their second hashes, first start of each, all starts, hash index of each start)."""
         distinct, anchor, again, which, at = _blocks(words, first, block)
         hit = answers(told, len(distinct), bits, distinct) | (anchor & again)
         hashes, starts = _windows(words, first, window)
@@ -92,9 +99,10 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = np.cumsum(near)
         # a window from s holds the blocks from s to s + window - block
         chosen = near[np.minimum(starts + window - block + 1, len(words))] > near[starts]
-        starts = starts[chosen]
-        found, one, index = np.unique(hashes[chosen], return_index=True, return_inverse=True)
-        return found, starts[one], starts, index
+        starts, hashes = starts[chosen], hashes[chosen]
+        low = _second(words, starts, window)
+        one, index, _ = distinct_pairs(hashes, low, starts)
+        return hashes[one], low[one], starts[one], starts, index
 
     def ask_again(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -102,9 +110,10 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chunk = table.column("chunk")[0].as_py()
         _, texts, keys = in_order(table)
         words, first = _words(texts)
-        found, one, _, _ = candidates(words, first, told)
+        found, low, one, _, _ = candidates(words, first, told)
         doc = np.searchsorted(first, one, "right") - 1
-        place = np.rec.fromarrays([keys[doc], (one - first[doc]).astype(np.int32)], names="id,start")
+        place = np.empty(len(one), PLACE)
+        place["id"], place["start"], place["low"] = keys[doc], one - first[doc], low
         out = posts(chunk, found, bits, lambda lo, hi: (found[lo:hi].tobytes(), place[lo:hi].tobytes()))
         # the first answers pass through the second round, so that the last pass has both
         kept = [(chunk, -1 - chunk, np.int64(part).tobytes() + bits_, None) for _, part, bits_, _ in messages(told)]
@@ -115,12 +124,12 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not rows or rows[0][1] < 0:
             return table
         keys = [np.frombuffer(r[2], np.uint64) for r in rows]
-        places = np.concatenate([np.frombuffer(r[3], np.dtype([("id", np.int64), ("start", np.int32)])) for r in rows])
+        places = np.concatenate([np.frombuffer(r[3], PLACE) for r in rows])
         sizes = [len(k) for k in keys]
         every, chunk = np.concatenate(keys), np.repeat([r[0] for r in rows], sizes)
-        order = np.lexsort((chunk, places["start"], places["id"], every))
+        order = np.lexsort((chunk, places["start"], places["id"], places["low"], every))
         later = np.zeros(len(every), bool)
-        later[order[1:]] = every[order[1:]] == every[order[:-1]]
+        later[order[1:]] = (every[order[1:]] == every[order[:-1]]) & (places["low"][order[1:]] == places["low"][order[:-1]])
         told = np.split(later, np.cumsum(sizes)[:-1])
         return as_posts([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
 
@@ -129,7 +138,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         words, first = _words(texts)
         parts = told.column("part").to_numpy()
         before = [(r[0], int(np.frombuffer(r[2][:8], np.int64)[0]), r[2][8:], None) for r in messages(told.filter(pa.array(parts < 0)))]
-        found, one, starts, index = candidates(words, first, as_posts(before))
+        found, _, one, starts, index = candidates(words, first, as_posts(before))
         later = answers(told.filter(pa.array(parts >= 0)), len(found), bits, found)
         repeats = starts[later[index] | (starts != one[index])]
         gone = only_covered(len(words), repeats, window)

@@ -5,6 +5,8 @@ bucket-pointer refinement: the identifier of a suffix's bucket for 2q bytes is m
 from its identifier for q bytes and that of the suffix q bytes later, and each level's
 identifiers are used again by the next: 8, 16, 32, 64, 128 and at last ``width``
 bytes.  Identifiers are 64-bit hashes, so a level needs no order of the whole corpus.
+What decides has 96 bits: a run its anchor's bucket (32 and the part's number) and 64 of
+its own, a string of ``width`` bytes 64 and 32 of two refinements.
 
 Not every suffix is taken through all levels.  Of the 64-byte buckets of the suffixes
 in a window, the least (the rightmost, if equal) is the window's anchor, so equal
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytescan import bytes_of, mixed, pieces, word_hashes
-from .chunks import CHUNK_BYTES, answers, as_posts, chunked, in_order, leading_bits, messages, only_covered, posts, runs_of, two_rounds
+from .chunks import CHUNK_BYTES, answers, as_posts, chunked, distinct_pairs, in_order, leading_bits, messages, only_covered, posts, runs_of, two_rounds
 
 SCHEMA = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 #: Bytes of an anchor, and the windows of a long document that are worked on at once.
@@ -58,6 +60,11 @@ def _full(ids: np.ndarray, width: int) -> np.ndarray:
     return mixed(_refined(ids, width - 2 * GRAM))
 
 
+def _second(ids: np.ndarray, width: int) -> np.ndarray:
+    """32 bits of another identifier for ``width`` bytes."""
+    return (_full(mixed(ids ^ np.uint64(0xA0761D6478BD642F)), width) >> np.uint64(32)).astype(np.uint32)
+
+
 def _least(v: np.ndarray, n: int) -> np.ndarray:
     """Least of each ``n`` consecutive values."""
     size = 1
@@ -157,7 +164,7 @@ def unrepeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return as_posts([(r[0], r[1], t.tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
 
     def looked_up(texts: pa.Array, told: pa.Table):
-        """The chunk's runs with their answers, and the windows to be refined: (all repeated starts so far, distinct identifiers, their counts, starts, index)."""
+        """The chunk's runs with their answers, and the windows to be refined: (all repeated starts so far, distinct identifiers, their second ones, their counts, starts, index)."""
         raw, offsets = bytes_of(texts)
         bucket, whole, starts, sizes = _runs(raw, offsets, width)
         found, index = np.unique(bucket, return_inverse=True)
@@ -168,24 +175,27 @@ def unrepeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
         open_at = every(answer == 2)
-        ids = []
+        ids, low = [], []
         order = np.sort(open_at)
         for a, b, _ in _segments(offsets, width):
             n = max(0, b - a - width + 1)
             lo, hi = np.searchsorted(order, [a, a + n])
             if hi > lo:
-                ids.append(_full(_buckets(raw[a:b]), width)[order[lo:hi] - a])
+                grams = _buckets(raw[a:b])
+                ids.append(_full(grams, width)[order[lo:hi] - a])
+                low.append(_second(grams, width)[order[lo:hi] - a])
         ids = np.concatenate(ids) if ids else np.empty(0, np.uint64)
-        distinct, which, count = np.unique(ids, return_inverse=True, return_counts=True)
-        return raw, offsets, every(answer == 1), distinct, count, order, which
+        low = np.concatenate(low) if low else np.empty(0, np.uint32)
+        one, which, count = distinct_pairs(ids, low)
+        return raw, offsets, every(answer == 1), ids[one], low[one], count, order, which
 
     def ask_again(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return as_posts([])
         chunk = table.column("chunk")[0].as_py()
         _, texts, _ = in_order(table)
-        _, _, _, distinct, count, _, _ = looked_up(texts, told)
-        out = posts(chunk, distinct, bits_again, lambda lo, hi: (distinct[lo:hi].tobytes(), np.packbits(count[lo:hi] > 1).tobytes()))
+        _, _, _, distinct, low, count, _, _ = looked_up(texts, told)
+        out = posts(chunk, distinct, bits_again, lambda lo, hi: (distinct[lo:hi].tobytes(), low[lo:hi].tobytes() + np.packbits(count[lo:hi] > 1).tobytes()))
         # the first answers pass through the second round, so that the last pass has both
         return pa.concat_tables([out, as_posts([(chunk, -1 - chunk, np.int64(r[1]).tobytes() + r[2], None) for r in messages(told)])])
 
@@ -194,8 +204,9 @@ def unrepeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not rows or rows[0][1] < 0:
             return table
         keys = [np.frombuffer(r[2], np.uint64) for r in rows]
-        many = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8))[: len(k)] for r, k in zip(rows, keys, strict=True)])
-        _, index, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        low = np.concatenate([np.frombuffer(r[3][: 4 * len(k)], np.uint32) for r, k in zip(rows, keys, strict=True)])
+        many = np.concatenate([np.unpackbits(np.frombuffer(r[3][4 * len(k) :], np.uint8))[: len(k)] for r, k in zip(rows, keys, strict=True)])
+        _, index, count = distinct_pairs(np.concatenate(keys), low)
         twice = (count > 1) | (np.bincount(index, many) > 0)
         told = np.split(twice[index], np.cumsum([len(k) for k in keys])[:-1])
         return as_posts([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
@@ -204,7 +215,7 @@ def unrepeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ids, texts, _ = in_order(table)
         parts = told.column("part").to_numpy()
         before = [(r[0], int(np.frombuffer(r[2][:8], np.int64)[0]), r[2][8:], None) for r in messages(told.filter(pa.array(parts < 0)))]
-        raw, offsets, sure, distinct, count, order, which = looked_up(texts, as_posts(before))
+        raw, offsets, sure, distinct, _, count, order, which = looked_up(texts, as_posts(before))
         twice = answers(told.filter(pa.array(parts >= 0)), len(distinct), bits_again, distinct) | (count > 1)
         gone = only_covered(len(raw), np.concatenate([sure, order[twice[which]]]), width)
         spans, kept, removed = [], [], []
