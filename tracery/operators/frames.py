@@ -7,14 +7,29 @@ from pyspark.sql import functions as F
 
 from tracery.operators.dcfg import CALL, FLOW
 from tracery.plans.closure import heads
+from tracery.plans.ordered import SIZE, last_before, previous
 from tracery.plans.scratch import written
 
 
-def frame_ids(stmts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pos, frame_id): the first row of the chain of FLOW edges that each row is on."""
-    up = edges.where(F.col("type") == FLOW).select(F.col("dst").alias("node"), F.col("src").alias("up"))
-    links = stmts.select(F.col("pos").alias("node")).join(up, "node", "left")
-    return heads(links).select(F.col("node").alias("pos"), F.col("head").alias("frame_id"))
+def frame_ids(stmts: DataFrame, edges: DataFrame, size: int = SIZE) -> DataFrame:
+    """(pos, frame_id): the first row of the chain of FLOW edges that each row is on.
+
+    Most FLOW edges join neighbours, and their runs are found in one ordered window;
+    only the heads of runs that go on from an earlier row are chased up their chain.
+    """
+    up = edges.where(F.col("type") == FLOW).select(F.col("dst").alias("pos"), F.col("src").alias("up"))
+    rows = previous(stmts.select("pos").join(up, "pos", "left"), "pos", {"_p": "pos"}, size=size)
+    is_head = F.col("up").isNull() | ~F.col("up").eqNullSafe(F.col("_p"))
+    seen = last_before(rows.withColumn("_h", F.when(is_head, F.col("pos"))), "pos", {"_l": F.col("_h")}, size=size)
+    runs = written(seen.select("pos", F.coalesce("_h", "_l").alias("run"), F.when(F.col("_h").isNotNull(), F.col("up")).alias("up")), "runs")
+    open_ = runs.where("up is not null")
+    if open_.isEmpty():
+        return runs.select("pos", F.col("run").alias("frame_id"))
+    onto = runs.select(F.col("pos").alias("up"), F.col("run").alias("to"))
+    links = open_.select(F.col("pos").alias("node"), "up").join(onto, "up").select("node", F.col("to").alias("up"))
+    tops = links.select(F.col("up").alias("node")).distinct().join(links.select("node"), "node", "left_anti").select("node", F.lit(None).cast("bigint").alias("up"))
+    found = heads(links.unionByName(tops)).select(F.col("node").alias("run"), "head")
+    return runs.join(found, "run", "left").select("pos", F.coalesce("head", "run").alias("frame_id"))
 
 
 def frame_table(stmts: DataFrame, ids: DataFrame, edges: DataFrame) -> DataFrame:

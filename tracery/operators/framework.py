@@ -23,19 +23,31 @@ def _fits(arg: Column) -> Column:
     return arg.isNotNull() & ~F.coalesce(arg["is_constant"], F.lit(False)) & ~ap.is_primitive(arg["type"])
 
 
-def applied(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules at calls: (pos, left_type, left, left_ok, right_type, right); ``right`` is empty where nothing flows, ``left`` null if the call has none."""
-    both = calls.join(rules, "method_sig")
-    la, ra = F.get("args", F.col("left_idx")), F.get("args", F.col("right_idx"))
-
-    def named(name: Column, path: str) -> Column:
-        return F.when(name.isNotNull(), F.concat(F.array(name), _field(F.col(path))))
+def _flows(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(pos, flows): all rules at each call, with the call's names in them.
 
-    left = F.when(F.col("left_type") == "PARAM", named(la["name"], "left_path")).when(F.col("left_type") == "RETURN", named(F.col("ret"), "left_path")).otherwise(named(F.col("base"), "left_path"))
+    The rules of a signature are one row (a few for each parameter), so a signature that
+    a third of all calls have is joined like any other, and no call is multiplied.
+    """
+    packed = rules.groupBy("method_sig").agg(F.collect_list(F.struct("left_type", "left_idx", "left_path", "right_type", "right_idx", "right_path")).alias("rules"))
     nothing = F.array().cast("array<string>")
-    right = F.when((F.col("right_type") == "PARAM") & _fits(ra), named(ra["name"], "right_path")).when(F.col("right_type") == "INSTANCE", F.when(F.col("base").isNotNull(), F.array("base")))
-    ok = F.when(F.col("left_type") == "PARAM", _fits(la)).otherwise(F.lit(True))
-    return both.select("pos", "left_type", left.alias("left"), ok.alias("left_ok"), "right_type", F.coalesce(right, nothing).alias("right"))
+
+    def named(name: Column, path: Column) -> Column:
+        return F.when(name.isNotNull(), F.concat(F.array(name), _field(path)))
+
+    def one(r: Column) -> Column:
+        la, ra = F.get("args", r["left_idx"]), F.get("args", r["right_idx"])
+        left = F.when(r["left_type"] == "PARAM", named(la["name"], r["left_path"])).when(r["left_type"] == "RETURN", named(F.col("ret"), r["left_path"])).otherwise(named(F.col("base"), r["left_path"]))
+        right = F.when((r["right_type"] == "PARAM") & _fits(ra), named(ra["name"], r["right_path"])).when(r["right_type"] == "INSTANCE", F.when(F.col("base").isNotNull(), F.array("base")))
+        ok = F.when(r["left_type"] == "PARAM", _fits(la)).otherwise(F.lit(True))
+        return F.struct(r["left_type"].alias("left_type"), left.alias("left"), ok.alias("left_ok"), r["right_type"].alias("right_type"), F.coalesce(right, nothing).alias("right"))
+
+    return calls.join(packed, "method_sig").select("pos", F.transform("rules", one).alias("flows"))
+
+
+def applied(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules at calls: (pos, left_type, left, left_ok, right_type, right); ``right`` is empty where nothing flows, ``left`` null if the call has none."""
+    return _flows(calls, rules).select("pos", F.inline("flows"))
 
 
 def local_definitions(calls: DataFrame, rules: DataFrame, paths: DataFrame) -> DataFrame:
@@ -52,14 +64,19 @@ def forward_taint(calls: DataFrame, rules: DataFrame, taint: DataFrame) -> DataF
     what follows; a flow from the receiver into a parameter or itself brings no rest.
     Paths that a clearing rule names are dropped.
     """
-    flows = applied(calls, rules).where("left is not null")
-    sources = flows.where("size(right) > 0 and left_ok")
-    hit = sources.join(taint, "pos").where(ap.starts_with(F.col("path"), F.col("right")))
-    rest = ap.append(F.col("left"), ap.after(F.col("path"), F.col("right")))
-    bare = (F.col("right_type") == "INSTANCE") & (F.col("left_type") != "RETURN")
-    gained = hit.select("pos", F.when(bare, F.col("left")).otherwise(rest).alias("path"))
-    cleared = flows.where("right_type = 'CLEAR'").select("pos", F.col("left").alias("path")).distinct()
-    return taint.select("pos", "path").union(gained).distinct().join(cleared, ["pos", "path"], "left_anti")
+    rows = taint.select("pos", "path").join(_flows(calls, rules), "pos", "left")
+
+    def gained(f: Column) -> Column:
+        bare = (f["right_type"] == "INSTANCE") & (f["left_type"] != "RETURN")
+        return F.when(bare, f["left"]).otherwise(ap.append(f["left"], ap.after(F.col("path"), f["right"])))
+
+    real = F.filter("flows", lambda f: f["left"].isNotNull())
+    sources = F.filter(real, lambda f: (F.size(f["right"]) > 0) & f["left_ok"] & ap.starts_with(F.col("path"), f["right"]))
+    cleared = F.transform(F.filter(real, lambda f: f["right_type"] == "CLEAR"), lambda f: f["left"])
+    nothing = F.array().cast("array<array<string>>")
+    every = F.concat(F.array("path"), F.coalesce(F.transform(sources, gained), nothing))
+    left = F.array_except(every, F.coalesce(cleared, nothing))
+    return rows.select("pos", F.explode(left).alias("path")).distinct()
 
 
 def backward_taint(calls: DataFrame, rules: DataFrame, taint: DataFrame) -> DataFrame:

@@ -15,11 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracery.operators import framework
+from tracery.operators.dcfg import is_library
 from tracery.operators.frames import called_frames, library_calls
 from tracery.operators.slicer import Options
 from tracery.plans.ordered import running_total
 from tracery.plans.scratch import written
 
+#: Fixed value: a slice is not followed through this field.
+STOP_FIELD = "mContext"
+
 
 @dataclass(frozen=True)
 class Program:
@@ -104,12 +108,13 @@ def _with_callees(p: Program, roles: DataFrame, bound: DataFrame, rounds: int) -
     return known
 
 
-def item_dependences(p: Program, options: Options = Options(), criteria: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
+def item_dependences(p: Program, options: Options = Options(), criteria: DataFrame | None = None, rounds: int = 1000, library_classes: bool = True) -> DataFrame:
     """(pos, path, dep_pos, dep_path, type) between items; ``path`` is null for what holds for all paths of a row.
 
     Data dependences start at paths without fields.  ``criteria(pos, path)`` adds items
     that are asked for though their row does not use them.  Items are strings: a path
-    with dots, empty for a row that uses nothing.
+    with dots, empty for a row that uses nothing.  Items of the support library's rows
+    (``library_classes``) and of the stop field have no dependences.
     """
     rows = _located(p)
     uses = rows.join(p.uses, "unit_id").select("pos", "frame_id", F.concat_ws(".", "path").alias("path"), F.size("path").alias("n"))
@@ -169,7 +174,12 @@ def item_dependences(p: Program, options: Options = Options(), criteria: DataFra
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.where("dep_pos < pos").distinct()
+    out = out.where("dep_pos < pos")
+    if library_classes:
+        # nothing is followed from rows of the support library, nor from the stop field
+        stop = p.stmts.where(is_library(F.col("class"))).select("pos")
+        out = out.join(stop, "pos", "left_anti")
+    return out.where(F.col("path").isNull() | ~F.col("path").endswith("." + STOP_FIELD)).distinct()
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

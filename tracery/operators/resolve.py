@@ -39,22 +39,22 @@ def nearest_matches(trace: DataFrame, index: DataFrame, key: str = "pos") -> Dat
     A unit replaces the one found before only if its text is no farther and its line
     is nearer.
     """
-    u = index.select(F.col("method").alias("um"), "unit_str", "unit_id", "ord", F.col("src_line").alias("ul"))
-    pairs = trace.join(u, F.col("method") == F.col("um")).withColumns({"a": _cut(F.col("unit_str")), "b": _cut(F.col("instr"))})
-    pairs = pairs.where((F.col("a") != "") & (F.left("a", F.lit(1)) == F.left("b", F.lit(1))))
-    gap = F.abs(F.col("src_line") - F.col("ul"))
+    units = index.select(F.col("method").alias("um"), "unit_str", _cut(F.col("unit_str")).alias("a"), "ord", F.struct(F.col("src_line").alias("ul"), "ord", "unit_id").alias("unit"))
+    # a method has as many texts and units as its code
+    texts = units.where("a <> ''").groupBy("um", "a", "unit_str").agg(F.min("ord").alias("first"), F.collect_list("unit").alias("units"))
+    rows = trace.withColumn("b", _cut(F.col("instr")))
+    asked = rows.where("b <> ''").select("method", "b").distinct()
+    # distances are measured once for two texts, however many rows have them
+    near = (F.col("method") == F.col("um")) & (F.left("a", F.lit(1)) == F.left("b", F.lit(1)))
     limit = F.floor(F.least(F.length("a"), F.length("b")) / 2).cast("int")
-    pairs = pairs.withColumns({"gap": gap, "limit": limit})
-    texts = pairs.groupBy(key, "a", "b", "limit", "unit_str").agg(
-        F.min("ord").alias("first"), F.min_by(F.struct("unit_id", "gap"), F.struct("gap", "ord")).alias("u")
-    )
     distance = F.expr("levenshtein(a, b, limit)")
-    texts = texts.withColumn("d", F.when(distance == -1, F.col("limit")).otherwise(distance))
-    # one entry per text of one method
-    tried = texts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "d", "u.gap", "u.unit_id"))).alias("tried"))
-    best = F.expr(f"""aggregate(tried, named_struct('d', {_MOST}, 'gap', cast({_MOST} as bigint), 'unit_id', cast(null as bigint)),
-        (s, x) -> if(x.d <= s.d and x.gap < s.gap, named_struct('d', x.d, 'gap', cast(x.gap as bigint), 'unit_id', cast(x.unit_id as bigint)), s), s -> s.unit_id)""")
-    return tried.select(key, best.alias("unit_id")).where("unit_id is not null")
+    pairs = asked.join(texts, near).withColumn("limit", limit).withColumn("d", F.when(distance == -1, F.col("limit")).otherwise(distance))
+    tried = pairs.groupBy("method", "b").agg(F.array_sort(F.collect_list(F.struct("first", "d", "units"))).alias("tried"))
+    best = F.expr(f"""aggregate(
+        transform(tried, x -> struct(x.d as d, array_min(transform(x.units, y -> struct(cast(abs(src_line - y.ul) as bigint) as gap, y.ord as ord, cast(y.unit_id as bigint) as unit_id))) as u)),
+        named_struct('d', {_MOST}, 'gap', cast({_MOST} as bigint), 'unit_id', cast(null as bigint)),
+        (s, x) -> if(x.d <= s.d and x.u.gap < s.gap, named_struct('d', x.d, 'gap', x.u.gap, 'unit_id', x.u.unit_id), s), s -> s.unit_id)""")
+    return rows.join(tried, ["method", "b"]).select(key, best.alias("unit_id")).where("unit_id is not null")
 
 
 def resolve(trace: DataFrame, units: DataFrame, key: str = "pos") -> DataFrame:
