@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracery.functions import accesspath as ap
+from tracery.functions import statements as st
 from tracery.operators import control, dcfg, defuse, frames, framework, instrument, resolve, scope, slicer
 from tracery.plans.adapters import EVENTS_SQL, METHODS, events_trace, method_index, table
-from tracery.plans.ordered import last_before, previous
-from tracery.plans.scratch import written
+from tracery.plans.ordered import last_before, numbered, previous
+from tracery.plans.scratch import scratch_dir, written
 from tracery.sources import reports, rules, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -563,10 +565,13 @@ def q_slice_map(spark, d):
     return reports.dependence_map(_report_rows(spark, d))
 
 
-@query()
+@query(_slice_sql() + ROWS_SQL + """, e AS (SELECT rep.seq, rep.dep_pos, rep.pos, rep.kinds, rep.path, dep_file || ':' || dep_line || ': ' || string_split(dep_unit, 'goto')[1] AS na,
+   src_file || ':' || src_line || ': ' || string_split(CASE WHEN b.kind = 'if' THEN 'if ' || b.base || ' goto ' || b.instr ELSE b.instr || ' = f(a, b)' END, 'goto')[1] AS so FROM rep JOIN t b ON b.pos = rep.pos),
+  l AS (SELECT seq, CASE WHEN dep_pos = pos THEN '"' || so || '";' ELSE '"' || so || '" -> "' || na || '" [style=' || CASE WHEN kinds = 'control' THEN 'dashed' ELSE 'solid' END || ', label="' || CASE WHEN kinds = 'data' THEN path ELSE '' END || '"];' END AS line FROM e)
+  SELECT min(seq) AS n, line FROM l GROUP BY line""")
 def q_slice_dot(spark, d):
     """The slices as the lines of a graph file."""
-    return reports.dot_lines(_report_rows(spark, d)).select("n.seq", "line")
+    return reports.dot_lines(_report_rows(spark, d)).select("n.seq", "line").withColumnRenamed("seq", "n")
 
 
 # ---------------------------------------------------------------- instrumentation, aggregation
@@ -615,3 +620,160 @@ def q_trim_last(spark, d):
 @query("WITH_EVENTS SELECT instr AS location, count(*) AS n FROM t GROUP BY 1")
 def q_call_samples(spark, d):
     return instrument.call_samples(events_trace(spark, d).select(F.col("instr").alias("location")))
+
+
+# ---------------------------------------------------------------- predicates and projections
+
+
+@query("""WITH_EVENTS, x AS (SELECT *, CASE WHEN kind = 'assign' AND k % 3 = 0 THEN k END AS field FROM t)
+  SELECT pos, kind IN ('return', 'return_void') AS returns, kind = 'assign' AS assigns, called_sig IS NOT NULL AS invokes, field, pos > 5000 OR method = '<clinit>' AS later,
+   coalesce(called_sig = 'signup', false) AS may_set, method = 'view' OR k % 9 = 0 AS stops,
+   concat_ws(', ', CAST(pos AS VARCHAR), instr, method, base, ':FIELD:' || field, ':THREAD:' || thread_id, ':LINENO:' || k) AS key FROM x""")
+def q_statement_predicates(spark, d):
+    t = events_trace(spark, d)
+    field = st.kept_field(F.col("kind"), F.col("k") % 3 == 0, F.col("k"))
+    class_ = F.when(F.col("method") == "view", "android.support.v4.V").otherwise("app.V")
+    return t.select(
+        "pos", st.is_return(F.col("kind")).alias("returns"), st.is_assign(F.col("kind")).alias("assigns"), st.has_invoke(F.col("called_sig")).alias("invokes"), field.alias("field"),
+        st.is_after(F.col("pos"), F.lit(5000), F.col("method")).alias("later"), st.may_set(F.when(F.col("called_sig") == "signup", "setUp").otherwise(F.col("called_sig"))).alias("may_set"),
+        st.is_android(class_, F.when(F.col("k") % 9 == 0, st.STOP_FIELD)).alias("stops"),
+        st.statement_key(F.col("pos"), F.col("instr"), F.col("method"), F.col("base"), field, F.col("thread_id"), F.col("k"), F.lit(None).cast("string")).alias("key"),
+    )
+
+
+@query(f"""WITH {PARTS_SQL} SELECT p.p_partkey, path = other AS same, path[1] = base[1] AS same_base, p_size % 5 < 3 + CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS parameter, p_size = 7 OR p.p_partkey = 7 AS used,
+   p_size % 3 < 2 AS primitive, p_size % 4 <> 0 AS whole, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS first FROM p JOIN part USING (p_partkey)""")
+def q_path_predicates(spark, d):
+    n = F.col("p_size")
+    types = F.when(n % 3 == 0, "int[][]").when(n % 3 == 1, "long").otherwise(F.col("p_type"))
+    more = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    text = F.concat(n.cast("string"), F.when(n % 4 == 0, "x").otherwise(""))
+    return _paths(spark, d).join(more, "p_partkey").select(
+        "p_partkey", ap.same_path(F.col("path"), F.col("other")).alias("same"), ap.same_base(F.col("path"), ap.base_of(F.col("base"))).alias("same_base"),
+        ap.is_parameter(F.array(F.concat(F.lit("@parameter"), n % 5)), F.lit(3), n % 2 == 0).alias("parameter"), ap.is_used_in(n, F.col("p_partkey"), F.lit(7)).alias("used"),
+        ap.is_primitive(types).alias("primitive"), ap.is_integer(text).alias("whole"), ap.first_int(F.col("p_brand")).alias("first"),
+    )
+
+
+@query("""WITH_EVENTS, u AS (SELECT DISTINCT unit_id, kind, k, called_sig FROM t)
+  SELECT u.unit_id, CASE WHEN u.kind = 'if' THEN v.called_sig ELSE u.called_sig END AS called_sig FROM u LEFT JOIN u v ON v.unit_id = u.unit_id - u.k + (u.k * 7) % 100""")
+def q_call_of(spark, d):
+    """What statements call; a branch calls what its target calls."""
+    u = events_trace(spark, d).select("unit_id", "kind", "k", "called_sig").distinct()
+    return st.call_of(u, u.select("unit_id", (F.col("unit_id") - F.col("k") + (F.col("k") * 7) % 100).alias("target")))
+
+
+@query("WITH_EVENTS SELECT pos, left(method, 1) || (k % 4) || '.f' AS path FROM t WHERE k % 4 < 2")
+def q_parameter_locals(spark, d):
+    _, params = _call_args(spark, d)
+    paths = events_trace(spark, d).select("pos", "method", F.array(F.concat(F.substring("method", 1, 1), F.col("k") % 4), F.lit("f")).alias("path"))
+    return _dotted(st.parameter_locals(paths, params).select("pos", "path"))
+
+
+@query("WITH_EVENTS SELECT pos, CASE WHEN k % 6 = 0 THEN pos % 50 ELSE k END AS line FROM t")
+def q_line_or_ordinal(spark, d):
+    line = F.when(F.col("k") % 6 == 0, -1).otherwise(F.col("k"))
+    return events_trace(spark, d).select("pos", reports.line_or_ordinal(line, F.col("pos") % 50).alias("line"))
+
+
+# ---------------------------------------------------------------- neighbours, returns, scopes
+
+
+@query(f"WITH_EVENTS, {FLOW_SQL} SELECT src AS pos, dst AS near_pos, type FROM f")
+def q_neighbours(spark, d):
+    t = events_trace(spark, d)
+    return frames.neighbours(t, dcfg.flow_edges(t))
+
+
+@query(f"""WITH_EVENTS, {FLOW_SQL}, {CALLS_SQL}, i AS (SELECT pos, max(CASE WHEN pos NOT IN (SELECT dst FROM f) THEN pos END) OVER (ORDER BY pos) AS frame_id FROM t), b AS (SELECT frame_id, max(pos) AS last_pos FROM i GROUP BY 1)
+  SELECT c.src AS call_pos, c.dst AS frame_id, b.last_pos AS ret_pos, coalesce(CASE WHEN l.kind = 'return' THEN l.base END, CASE WHEN l.k % 2 <> 0 THEN 'r0' END) AS ret_var,
+   coalesce(CASE WHEN l.kind = 'return' THEN 'T' END, CASE WHEN l.k % 2 <> 0 THEN 'app.' || l.method END) AS ret_type FROM c JOIN b ON b.frame_id = c.dst JOIN t l ON l.pos = b.last_pos JOIN t s ON s.pos = c.src WHERE s.called_sig = l.method""")
+def q_called_frames(spark, d):
+    """What traced calls return."""
+    t = events_trace(spark, d)
+    returns = F.col("kind") == "return"
+    stmts = t.select("pos", "method", "thread_id", "called_sig", F.col("called_sig").alias("called_name"), F.col("method").alias("name"), F.concat(F.lit("app."), "method").alias("class"), (F.col("k") % 2 == 0).alias("is_static"), F.when(returns, F.col("base")).alias("ret_var"), F.when(returns, "T").alias("ret_type"))
+    edges = written(dcfg.flow_edges(t).union(_direct_calls(t)), "edges")
+    return frames.called_frames(stmts, edges, frames.frame_table(stmts, frames.frame_ids(stmts, edges), edges))
+
+
+@query(f"WITH_EVENTS, {CALLS_SQL} SELECT pos, called_sig FROM t WHERE called_sig IS NOT NULL AND pos NOT IN (SELECT src FROM c)")
+def q_library_calls(spark, d):
+    """Calls whose callee left no rows."""
+    t = events_trace(spark, d)
+    return frames.library_calls(t, _direct_calls(t)).select("pos", "called_sig")
+
+
+@query("""WITH_EVENTS SELECT pos AS key, CASE k % 3 WHEN 0 THEN left(called_sig, 1) || '0.f' WHEN 1 THEN 'o' || (k % 5) || '.f' ELSE 'zz' END AS path, k % 3 <> 2 AS changed FROM t WHERE called_sig IS NOT NULL""")
+def q_change_scope(spark, d):
+    """A path at each call, into the callee, back to the caller, or in place."""
+    calls, params = _call_args(spark, d)
+    way = F.when(F.col("k") % 3 == 0, "callee").when(F.col("k") % 3 == 1, "caller").otherwise("same")
+    base = F.when(F.col("k") % 3 == 0, F.concat(F.lit("o"), F.col("k") % 5)).otherwise(F.concat(F.substring("called_sig", 1, 1), F.lit("0")))
+    path = F.when(F.col("k") % 3 == 2, F.array(F.lit("zz"))).otherwise(F.array(base, F.lit("f")))
+    paths = events_trace(spark, d).where("called_sig is not null").select(F.col("pos").alias("key"), path.alias("path"), F.lit(False).alias("is_static"), way.alias("direction"))
+    return scope.change_scope(paths, calls, params).select("key", ap.path_string(F.col("path")).alias("path"), "changed")
+
+
+@query("""WITH_EVENTS SELECT pos AS frame_id, pos - 1 AS caller_pos, unnest([left(called_sig, 1) || '0.f', 'C.s']) AS path FROM t WHERE called_sig IS NOT NULL""")
+def q_caller_context(spark, d):
+    """The paths of a frame that its caller sees: of a parameter and a static field, not of a local."""
+    _, params = _call_args(spark, d)
+    t = events_trace(spark, d).where("called_sig is not null")
+    made = F.array(*[F.struct(p.alias("path"), F.lit(s).alias("is_static")) for p, s in ((F.array(F.concat(F.substring("called_sig", 1, 1), F.lit("0")), F.lit("f")), False), (F.array(F.lit("zz")), False), (F.array(F.lit("C"), F.lit("s")), True))])
+    paths = t.select(F.col("pos").alias("frame_id"), F.explode(made).alias("x")).select("frame_id", "x.path", "x.is_static")
+    seen = scope.caller_context(t.select(F.col("pos").alias("frame_id"), F.col("called_sig").alias("method"), (F.col("pos") - 1).alias("caller_pos")), paths, params)
+    return seen.select("frame_id", "caller_pos", ap.path_string(F.col("path")).alias("path"))
+
+
+# ---------------------------------------------------------------- formats and numbers
+
+
+@query("WITH_EVENTS SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS n FROM t WHERE k % 3 = 0")
+def q_numbered(spark, d):
+    return numbered(events_trace(spark, d).where("k % 3 = 0").select("pos"), "n", ["pos"])
+
+
+@query("""WITH_EVENTS, u AS (SELECT DISTINCT unit_id, k FROM t), a AS (SELECT u.unit_id, u.k, CASE WHEN u.k % 10 = 4 THEN CASE WHEN n.unit_id IS NULL THEN 'goto tmpString = "' || (u.unit_id + 1) || '"' ELSE 'goto x = ' || (u.k + 1) END WHEN u.k % 10 <> 3 THEN 'x = ' || u.k END AS i
+   FROM u LEFT JOIN u n ON n.unit_id = u.unit_id + 1)
+  SELECT a.unit_id AS bb_id, CASE WHEN a.k % 10 = 3 THEN CASE WHEN b.i IS NULL THEN 'goto tmpString = "' || (a.unit_id + 1) || '"' ELSE 'goto ' || b.i END ELSE a.i END AS instr FROM a LEFT JOIN a b ON b.unit_id = a.unit_id + 1""")
+def q_goto_chain(spark, d):
+    """Placeholders of gotos, some of them to other gotos, replaced by what they lead to."""
+    jump = F.concat(F.lit('goto tmpString = "'), F.col("unit_id") + 1, F.lit('"'))
+    u = events_trace(spark, d).select("unit_id", "method", "k").distinct()
+    blocks = u.select(F.col("unit_id").alias("bb_id"), "method", F.lit(0).alias("stmt_idx"), F.when((F.col("k") % 10).isin(3, 4), jump).otherwise(F.concat(F.lit("x = "), "k")).alias("instr"), F.col("k").cast("bigint").alias("bb_src_line"))
+    return traces.resolve_gotos(written(blocks, "blocks")).select("bb_id", "instr")
+
+
+@query("""SELECT '<lib.C: ' || p_name || '()>' AS method_sig, CASE p_partkey % 5 WHEN 2 THEN 'Exclude' WHEN 3 THEN 'Kill' ELSE 'Generate' END AS kind FROM part WHERE p_partkey % 5 > 1""")
+def q_rule_file(spark, d):
+    """A rule file with comments, excludes and kills, written and read back."""
+    mark = F.get(F.array(*[F.lit(x) for x in ("% ", "^", "~", "-", "")]), F.col("p_partkey") % 5)
+    path = f"{scratch_dir(spark)}/tracery-rules-{uuid.uuid4().hex}"
+    table(spark, d, "part").select(F.concat(mark, F.lit("<lib.C: "), "p_name", F.lit("()>")).alias("value")).write.text(path)
+    return rules.read_rule_file(spark, path)
+
+
+@query(_slice_sql() + ROWS_SQL + ", l AS (SELECT dep_method, dep_class, dep_unit, dep_line, path, row_number() OVER (PARTITION BY dep_method, dep_class, dep_unit ORDER BY seq) AS r FROM rep) SELECT '-1, ' || replace(dep_method, ',', ';') || ', ' || dep_class || ', ' || replace(dep_unit, ',', ';') || ', ' || dep_line || ', -1, ' || path AS value FROM l WHERE r = 1 UNION ALL SELECT 'ID, Method, Class, Line, Source, Var'")
+def q_report_file(spark, d):
+    """The CSV report written as text with its head, and read back."""
+    path = f"{scratch_dir(spark)}/tracery-report-{uuid.uuid4().hex}"
+    reports.write_report(reports.csv_lines(_report_rows(spark, d)), path, head=["ID, Method, Class, Line, Source, Var"])
+    return spark.read.text(path)
+
+
+@query(f"""WITH_EVENTS, {UNITS_SQL}, n AS (SELECT method, unit_id, k, kd, row_number() OVER (PARTITION BY method ORDER BY unit_id) - 1 AS probe FROM u)
+  SELECT n.method, n.unit_id, probe, concat_ws(':', CAST(probe AS VARCHAR), CAST(k % 3 AS VARCHAR), CASE WHEN k % 5 <> 0 THEN CAST(k % 5 AS VARCHAR) END) AS payload,
+   f.unit_id IS NOT NULL AS flushes FROM n LEFT JOIN (SELECT method, min(unit_id) AS unit_id FROM u WHERE kd <> 'identity' AND method IN ('click', 'view') GROUP BY 1) f ON f.unit_id = n.unit_id""")
+def q_probe_ids(spark, d):
+    """Probes with their numbers, what they write, and whether the buffer is flushed there."""
+    units = _units(spark, d)
+    flush = instrument.flush_points(units.withColumn("method_name", F.col("method")), ["click", "view"]).select("unit_id", F.lit(True).alias("flushes"))
+    k = F.col("ord")
+    numbers = instrument.probe_ids(units.select("method", "unit_id", "ord"))
+    return numbers.join(flush, "unit_id", "left").select("method", "unit_id", "probe", instrument.payload(F.col("probe"), k % 3, k % 5).alias("payload"), F.coalesce("flushes", F.lit(False)).alias("flushes"))
+
+
+@query("SELECT p_partkey, unnest(string_split(replace(p_name, ' ', '-'), '-')) AS package FROM part")
+def q_package_filter(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.explode(instrument.package_filter(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("package"))
