@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracery.functions import accesspath as ap
 from tracery.functions import statements as st
-from tracery.operators import control, dcfg, defuse, frames, framework, instrument, resolve, scope, slicer
+from tracery.operators import control, dcfg, defuse, frames, framework, instrument, program_slice, resolve, scope, slicer
 from tracery.plans.adapters import EVENTS_SQL, METHODS, events_trace, method_index, table
 from tracery.plans.ordered import last_before, numbered, previous
 from tracery.plans.scratch import scratch_dir, written
@@ -514,6 +514,34 @@ def q_slice_union(spark, d):
     return slicer.union_slices(slicer.backward_slice(deps, _seeds(spark, d)), slicer.backward_slice(deps, last))
 
 
+@query("""WITH RECURSIVE """ + EVENTS_SQL + """, c AS (SELECT method AS trace, max(pos) AS pos FROM t GROUP BY 1),
+  w AS (SELECT pos, base, method, max(CASE WHEN is_def THEN pos END) OVER (PARTITION BY user_id, base ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d,
+   max(CASE WHEN kind = 'if' THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS i, min(pos) OVER (PARTITION BY user_id) AS f FROM t),
+  e AS (SELECT w.pos, w.base AS path, d AS dep_pos, t.base AS dep_path, 'data' AS type FROM w JOIN t ON t.pos = w.d WHERE w.method <> 'view'
+   UNION ALL SELECT w.pos, NULL, i, t.base, 'control' FROM w JOIN t ON t.pos = w.i WHERE w.method <> 'view'
+   UNION ALL SELECT w.pos, NULL, f, '', 'control' FROM w JOIN t ON t.pos = w.f WHERE w.i IS NULL AND f < w.pos AND t.called_sig = w.method AND w.method <> 'view'),
+  n AS (SELECT trace, c.pos, base AS path FROM c JOIN t ON t.pos = c.pos UNION SELECT n.trace, e.dep_pos, e.dep_path FROM n JOIN e ON e.pos = n.pos AND (e.path IS NULL OR e.path = n.path))
+  SELECT DISTINCT n.trace, e.pos, e.path, e.dep_pos, e.dep_path, e.type FROM n JOIN e ON e.pos = n.pos AND (e.path IS NULL OR e.path = n.path)
+  UNION ALL SELECT c.trace, c.pos, base, c.pos, base, 'data' FROM c JOIN t ON t.pos = c.pos""")
+def q_program_slice(spark, d):
+    """Slices of the last event of each method in a program whose frames are users, branches their control, first events their callers; views are library code."""
+    t = events_trace(spark, d)
+    stmts = t.select(
+        "pos", "unit_id", "method", "kind", "called_sig", F.col("called_sig").alias("called_name"), F.lit(None).cast("string").alias("ret_var"), F.lit(None).cast("string").alias("ret_type"),
+        F.col("method").alias("name"), F.when(F.col("method") == "view", "android.support.v4.V").otherwise("app.V").alias("class"), F.lit(True).alias("is_static"),
+    )
+    units = t.select("unit_id", "base", "is_def").distinct()
+    table_ = t.groupBy(F.col("user_id").alias("frame_id")).agg(F.min_by("method", "pos").alias("method"), F.min("pos").alias("first_pos"), F.min("pos").alias("caller_pos"), F.max("pos").alias("last_pos"))
+    doms = last_before(t.select("pos", "user_id", "kind"), "pos", {"dom_pos": F.when(F.col("kind") == "if", F.col("pos"))}, ["user_id"]).where("dom_pos is not null")
+    none = lambda schema: spark.createDataFrame([], schema)
+    program = program_slice.Program(
+        stmts, t.select("pos", F.col("user_id").alias("frame_id")), table_, none("src bigint, dst bigint, type string"), units.where("is_def").select("unit_id", F.lit("local").alias("def_kind"), "base"),
+        units.select("unit_id", F.array("base").alias("path")), none("unit_id bigint, idx int, arg string"), none("method string, idx int, local string"), none("unit_id bigint, base string"), doms.select("pos", "dom_pos"),
+    )
+    criteria = t.groupBy(F.col("method").alias("trace")).agg(F.max("pos").alias("pos")).withColumn("path", F.lit(None).cast("string"))
+    return program_slice.program_slice(program, written(criteria, "criteria"))
+
+
 # ---------------------------------------------------------------- reports
 
 ROWS_SQL = """, k AS (SELECT trace, dep_pos, pos, CASE WHEN count(DISTINCT type) = 2 THEN 'datacontrol' ELSE min(type) END AS kinds FROM s GROUP BY 1, 2, 3),
