@@ -98,6 +98,8 @@ def test_mixing(spark):
     for size, target in by_size.items():
         assert abs(sum(r.taken for r in out if r.source_size == size) - target) <= 0.03 * target + 40
     assert mix_sources(df.limit(0)).count() == 0
+    small = spark.createDataFrame([(1, "a", "w w w w")] + [(i, "b", "w " * 50) for i in range(2, 400)], "doc_id long, source string, text string")
+    assert sum(r.taken for r in mix_sources(small).where("doc_id = 1").collect()) == 8 and [r.taken for r in mix_sources(small.where("doc_id = 1")).collect()] == [6]
     assert [r.taken for r in mix_sources(df.where("text is null")).collect()] == [0]
 
 

@@ -7,7 +7,8 @@
 3. A source is dealt into shards of about ``shard_words`` words by a seeded hash of
    the document id.  Every shard gets whole blocks by the same rounding rule (its
    share to the nearest whole block), so a source's total stays near its quota
-   without a pass over all its shards in one place.
+   without a pass over all its shards in one place.  A source that is one shard gets its
+   target to the word: its last block is cut, so that small sources are not rounded away.
 4. In a shard the documents stand in seeded order as one tape of words, and the
    quota is taken from the tape's beginning, again from the beginning if it exceeds
    the tape.  No document is taken more than ``max_repeat`` times.
@@ -86,7 +87,8 @@ def mix_sources(
     so_far = tape.orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     each = each.select("*", F.sum("size").over(tape).alias("length"), F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("before"))
     blocks = F.floor(F.col("blocks") * F.col("length") / F.col("source_size") + 0.5)
-    want = F.least(blocks * block_words, max_repeat * F.col("length"))
+    quota = F.when(F.col("source_size") <= shard_words, F.round("target").cast("bigint")).otherwise(blocks * block_words)
+    want = F.least(quota, max_repeat * F.col("length"))
     each = each.withColumn("want", F.when(F.col("length") > 0, want).otherwise(0).cast("long"))
     rounds = F.when(F.col("length") > 0, F.floor(F.col("want") / F.col("length"))).otherwise(0)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - rounds * F.col("length") - F.col("before")))
