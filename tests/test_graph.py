@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracery.operators import control, dcfg, defuse, frames, scope, slicer
-from tracery.plans import closure
-from tracery.plans.ordered import last_before, numbered, previous, running_total
+from tracery.plans import closure, walk
+from tracery.plans.ordered import last_before, numbered, previous, running_max, running_total
 
 
 @pytest.mark.parametrize("size", [1, 3, 1 << 17])
@@ -21,6 +21,8 @@ def test_ordered_windows(spark, size):
     out = last_before(df, "pos", {"lb": F.col("v")}, ["g"], size)
     out = previous(previous(out, "pos", {"pp": "pos"}, ["g"], size), "pos", {"np": "pos"}, ["g"], size, forward=True)
     out = running_total(out, "pos", {"rt": F.col("v")}, ["g"], size)
+    peak = [r.m for r in running_max(df, "pos", {"m": -F.col("v")}, ["g"], size).orderBy("pos").collect()]
+    assert peak == [r.m for r in df.select("pos", F.max(-F.col("v")).over(plain).alias("m")).orderBy("pos").collect()]
     got = [(r.pos, r.lb, r.pp, r.np, r.rt) for r in out.orderBy("pos").collect()]
     assert got == [(a, b, c, d, e or 0) for a, b, c, d, e in want.orderBy("pos").collect()]
     n = numbered(df, "n", ["pos", "g"], size).orderBy("pos").collect()
@@ -66,7 +68,7 @@ def scanned_links(rows, edges):
                     out.append((b["pos"], a["pos"], dcfg.FLOW))
                     has_flow.add(b["pos"])
                     break
-                if b["called_subsig"] is not None:
+                if b["called_subsig"] is not None and not b["class"].startswith(dcfg.LIBRARY):
                     if b["called_subsig"] == a["subsig"]:
                         if a["is_app"]:
                             out.append((b["pos"], a["pos"], dcfg.CALL))
@@ -86,6 +88,26 @@ def test_linking_orphans(spark):
         assert got == sorted(scanned_links(rows, edges))
 
 
+@pytest.mark.parametrize("size", [4, 1 << 17])
+def test_linking_orphans_of_consistent_methods(spark, size):
+    """Rows of a method agree on what the method is; long threads are cut into buckets."""
+    for seed in range(2):
+        rng = random.Random(seed)
+        rows = trace(rng, 80)
+        # D and E are static initialisers of one sub-signature, E of a class of the library, B is no application code
+        for r in rows:
+            m = r["method"] = rng.choice(["A", "B", "C", "D", "E"])
+            r.update({"subsig": "init" if m in "DE" else m, "class": "android.support.E" if m == "E" else "K" + m, "name": "<clinit>" if m in "DE" else m.lower(), "is_app": m not in "BE"})
+            if r["called_sig"]:
+                c = rng.choice(["A", "B", "C", "D", "init", "E"])
+                r.update(called_sig=c, called_subsig="init" if c in ("D", "init") else c, called_class=rng.choice(["KD", "KA", "android.support.E"]))
+        df = spark.createDataFrame(rows, SCHEMA)
+        edges = [tuple(r) for r in dcfg.clean_edges(dcfg.flow_edges(df, size=7), df).collect()]
+        got = sorted(tuple(r) for r in dcfg.link_orphans(df, spark.createDataFrame(edges, "src long, dst long, type string"), size).collect())
+        assert got == sorted(scanned_links(rows, edges))
+        assert {t for _, _, t in got} == {dcfg.FLOW, dcfg.CALL}
+
+
 def program(spark):
     """main calls f twice; f returns."""
     text = [("main", "assign", None), ("main", "invoke", "f"), ("f", "assign", None), ("f", "return", None), ("main", "assign", None), ("main", "invoke", "f"), ("f", "assign", None), ("f", "return", None), ("main", "return", None)]
@@ -179,6 +201,35 @@ def test_one_pass_equals_the_fixpoint(spark):
     assert {tuple(r) for r in again.collect()} == all_
 
 
+@pytest.mark.parametrize("size", [7, 16])
+def test_slices_by_buckets(spark, size):
+    """One trace in many buckets gives what one bucket gives; so do the ways forward."""
+    rng = random.Random(size)
+    deps = spark.createDataFrame(random_deps(rng), "trace long, pos long, dep_pos long, type string")
+    seeds = spark.createDataFrame([(t, rng.randint(20, 39)) for t in range(3)] + [(0, 11), (None, 4), (2, None)], "trace long, pos long")
+    whole = sorted(tuple(r) for r in slicer.backward_slice(deps, seeds).collect())
+    cut = slicer.backward_slice(deps, seeds, size=size)
+    assert sorted(tuple(r) for r in cut.collect()) == whole
+    sources = spark.createDataFrame([(0, 0), (1, 3), (1, 2)], "trace long, pos long")
+    at, want = {(0, 0), (1, 3), (1, 2)}, set()
+    for t, p, q, _ in sorted(whole, key=lambda r: r[2]):
+        if (t, q) in at and p != q:
+            at.add((t, p))
+            want.add((t, q, p))
+    for n in (size, 1 << 20):
+        assert {tuple(r) for r in slicer.chop(cut, sources, size=n).collect()} == want
+
+
+def test_walks_follow_items(spark):
+    """An edge with a path holds for that item only, one without for all; edges without a trace hold for all traces."""
+    edges = spark.createDataFrame([(9, "x", 5, "y"), (9, None, 4, "k"), (5, "y", 1, "z"), (5, "w", 2, "z"), (4, "k", 7, "f"), (7, "f", 0, "")], "pos long, path string, dep_pos long, dep_path string")
+    seeds = spark.createDataFrame([("a", 9, "x"), ("b", 9, "q"), ("c", 5, "w")], "trace string, pos long, path string")
+    want = {("a", 9, "x"), ("a", 5, "y"), ("a", 4, "k"), ("a", 1, "z"), ("a", 7, "f"), ("a", 0, ""), ("b", 9, "q"), ("b", 4, "k"), ("b", 7, "f"), ("b", 0, ""), ("c", 5, "w"), ("c", 2, "z")}
+    for size in (2, 100):
+        assert sorted(tuple(r) for r in walk.walk_back(edges, seeds, size).collect()) == sorted(want)
+    assert walk.walk_back(edges, seeds.where("pos < 0")).isEmpty()
+
+
 def test_field_write_after_a_definition(spark):
     """Both the field write and the definition before it reach the use; the definition before that does not."""
     rows = [(0, "r", True, False, False), (1, "r", True, False, False), (2, "r", False, True, False), (3, "s", True, False, False), (4, "r", False, False, True), (5, "r", True, False, True)]

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracery.plans.ordered import SIZE, last_before, numbered, previous
+from tracery.plans.ordered import SIZE, last_before, numbered, previous, running_max, running_total
+from tracery.plans.scratch import written
 
 FLOW, CALL = "FLOW_EDGE", "CALL_EDGE"
 LOOK_BACK = 101
@@ -137,23 +138,71 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(kind, pa.string())], names=["src", "dst", "type"])
 
 
-def link_orphans(stmts: DataFrame, edges: DataFrame) -> DataFrame:
+def _waiting(rows: DataFrame, size: int) -> DataFrame:
+    """Edges to the orphans of methods whose rows agree on class, sub-signature, name and is_app.
+
+    Seen from the end, the orphans of a method form a queue: a row that can be followed
+    takes the one that has waited longest, a call of the method empties it.  So calls
+    cut the rows of a method into segments; in each, the k-th row that finds somebody
+    waiting takes the k-th orphan, and what is left belongs to the call.  A taker finds
+    nobody whenever takers minus orphans so far reach a new maximum.
+    """
+    calls = rows.where("called_subsig is not null and not library").select("thread_id", "called_subsig", "called_class", "pos")
+    # one position holds, from its beginning: its orphan, its call, its taker
+    takes = ~F.col("is_return") & ~F.col("has_flow")
+    roles = F.filter(F.array(F.when(F.col("orphan"), F.lit(0)), F.when(takes, F.lit(2))), lambda x: x.isNotNull())
+    events = rows.withColumn("role", F.explode(roles)).withColumn("at", F.col("pos") * 3 + F.col("role"))
+    none = F.lit(None).cast("string")
+    by_name = events.where("is_app").select("thread_id", F.lit("").alias("in"), F.col("subsig").alias("key"), "at", "method", F.lit(None).cast("bigint").alias("call"))
+    by_class = events.where("name = '<clinit>'").select("thread_id", F.col("class").alias("in"), F.col("subsig").alias("key"), "at", "method", F.lit(None).cast("bigint").alias("call"))
+    starts = rows.where("name = '<clinit>'").select(F.col("class").alias("called_class"), F.col("subsig").alias("key")).distinct()
+    call_at = (F.col("pos") * 3 + 1).alias("at")
+    named = calls.select("thread_id", F.lit("").alias("in"), F.col("called_subsig").alias("key"), call_at, none.alias("method"), F.col("pos").alias("call"))
+    classed = calls.join(starts, "called_class").where("called_subsig <> key").select("thread_id", F.col("called_class").alias("in"), "key", call_at, none.alias("method"), F.col("pos").alias("call"))
+    asked = last_before(by_name.union(by_class).union(named).union(classed), "at", {"seen": F.col("call")}, ["thread_id", "in", "key"], size * 3)
+    asked = asked.where("call is null").groupBy("thread_id", "method", "at").agg(F.max("seen").alias("call"))
+    group = ["thread_id", "method", "call"]
+    cut = events.select("thread_id", "method", "at", "pos", (F.col("role") == 0).alias("waits")).join(asked, ["thread_id", "method", "at"], "left")
+    cut = cut.withColumns({"call": F.coalesce("call", F.lit(-1)), "back": -F.col("at")})
+    counted = running_total(cut, "back", {"waiters": F.col("waits").cast("long"), "takers": (~F.col("waits")).cast("long")}, group, size * 3)
+    counted = running_max(counted, "back", {"idle": F.col("takers") - F.col("waiters")}, group, size * 3)
+    counted = written(counted.select(*group, "pos", "waits", "waiters", (F.col("takers") - F.greatest("idle", F.lit(0))).alias("taken")), "waiting")
+    takers = counted.where("not waits and taken > 0").groupBy(*group, F.col("taken").alias("waiters")).agg(F.max("pos").alias("src"))
+    out = counted.where("waits").select(*group, "waiters", F.col("pos").alias("dst")).join(takers, [*group, "waiters"], "left")
+    called = F.when(F.col("call") >= 0, F.col("call"))
+    kind = F.when(F.col("src").isNotNull(), FLOW).otherwise(CALL).alias("type")
+    return out.select(F.coalesce("src", called).alias("src"), "dst", kind).where("src is not null")
+
+
+def link_orphans(stmts: DataFrame, edges: DataFrame, size: int = SIZE) -> DataFrame:
     """Edges that give orphans of each thread their predecessor.
 
     From the last row to the first, an orphan is linked to the nearest row before it
     that is of its method, no return, and has no FLOW successor yet (FLOW), or that
     calls its sub-signature (CALL), or, for a static initialiser, a method of its class
-    (CALL).  A thread is streamed backwards once; only its waiting orphans are held.
+    (CALL).  Positions are not negative; rows without a thread or method are linked to
+    nothing.  Long threads are cut into buckets of ``size`` positions.  Only methods
+    whose rows disagree on class, sub-signature, name or is_app, which no program has,
+    are streamed, thread by thread.
     """
     has_flow = edges.where(F.col("type") == FLOW).select(F.col("src").alias("pos")).distinct().withColumn("has_flow", F.lit(True))
     linked = edges.select(F.col("dst").alias("pos")).distinct().withColumn("linked", F.lit(True))
-    rows = stmts.join(has_flow, "pos", "left").join(linked, "pos", "left").select(
+    rows = stmts.where("thread_id is not null and method is not null").join(has_flow, "pos", "left").join(linked, "pos", "left").select(
         "thread_id", F.col("pos").cast("bigint").alias("pos"), "method", "subsig", "class", "name", "is_app", "called_subsig", "called_class",
         is_library(F.col("class")).alias("library"), F.col("kind").isin("return", "return_void").alias("is_return"),
         F.coalesce("has_flow", F.lit(False)).alias("has_flow"), F.col("linked").isNull().alias("orphan"),
     )
-    ordered = rows.repartition("thread_id").sortWithinPartitions("thread_id", F.desc("pos"))
-    return ordered.mapInArrow(_link, "src long, dst long, type string")
+    rows = written(rows.where("orphan or called_subsig is not null or not (is_return or has_flow)"), "linkable")
+    shape = F.struct("subsig", "class", "name", "is_app")
+    mixed = written(rows.where("orphan or not (is_return or has_flow)").groupBy("method").agg(F.min(shape).alias("a"), F.max(shape).alias("b")).where("a <> b").select("method"), "mixed")
+    if mixed.isEmpty():
+        return _waiting(rows, size)
+    odd = mixed.withColumn("odd", F.lit(True))
+    marked = rows.join(odd, "method", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    plain = marked.withColumns({"orphan": F.col("orphan") & ~F.col("odd"), "is_return": F.col("is_return") | F.col("odd")}).drop("odd")
+    rest = marked.where("odd or called_subsig is not null").withColumns({"orphan": F.col("orphan") & F.col("odd"), "is_return": F.col("is_return") | ~F.col("odd")})
+    ordered = rest.drop("odd").repartition("thread_id").sortWithinPartitions("thread_id", F.desc("pos"))
+    return _waiting(plain, size).unionByName(ordered.mapInArrow(_link, "src long, dst long, type string"))
 
 
 def build(stmts: DataFrame, registrations: DataFrame | None = None, keep_thread_edges: bool = False, size: int = SIZE) -> DataFrame:
@@ -162,5 +211,5 @@ def build(stmts: DataFrame, registrations: DataFrame | None = None, keep_thread_
     if registrations is not None:
         edges = edges.unionByName(registrations.select("src", "dst", "type", F.lit(1).alias("seq")))
     clean = clean_edges(upsert_edges(edges), stmts, keep_thread_edges)
-    linked = clean.unionByName(link_orphans(stmts, clean))
+    linked = clean.unionByName(link_orphans(stmts, clean, size))
     return linked.unionByName(look_back_edges(stmts, linked, size))

@@ -1,16 +1,14 @@
 """Slices of programs: data flow within frames, into callees, back to callers, through libraries, and control flow.
 
-The dependences of all items (row, path) are computed as relations, then a slice is one
-backward pass.  Only recursion along calls is iterated: a round per level of the call
-depth, each written.
+The dependences of all items (row, path) are computed as relations, then a slice is
+walked back through buckets of positions.  Recursion along calls is iterated: a round
+per level of the call depth, each written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from tracery.operators.frames import called_frames, library_calls
 from tracery.operators.slicer import Options
 from tracery.plans.ordered import running_total
 from tracery.plans.scratch import written
+from tracery.plans.walk import BUCKET, walk_back
 
 #: Fixed value: a slice is not followed through this field.
 STOP_FIELD = "mContext"
@@ -182,41 +181,29 @@ def item_dependences(p: Program, options: Options = Options(), criteria: DataFra
     return out.where(F.col("path").isNull() | ~F.col("path").endswith("." + STOP_FIELD)).distinct()
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trace, started, items, rows = None, False, set(), set()
-    for batch in batches:
-        take = []
-        columns = (batch.column(c).to_pylist() for c in ("trace", "pos", "path", "dep_pos", "dep_path", "seed"))
-        for k, (t, pos, path, dep, dep_path, seed) in enumerate(zip(*columns, strict=True)):
-            if not started or t != trace:
-                trace, started, items, rows = t, True, set(), set()
-            if seed or (pos in rows if path is None else (pos, path) in items):
-                items.add((dep, dep_path))
-                rows.add(dep)
-                take.append(k)
-        yield batch.take(pa.array(take, pa.int64()))
-
-
-def program_slice(p: Program, criteria: DataFrame, options: Options = Options(), lines: DataFrame | None = None) -> DataFrame:
+def program_slice(p: Program, criteria: DataFrame, options: Options = Options(), lines: DataFrame | None = None, size: int = BUCKET) -> DataFrame:
     """(trace, pos, path, dep_pos, dep_path, type): the slice of each ``criteria(trace, pos, path)`` row.
 
-    Criteria are few: each is followed on its own.  A null path stands for all paths its row uses.  ``options.once``
-    needs ``lines(pos, line)``.  A criterion has an edge to itself.
+    Each criterion is followed on its own, and only through the buckets of ``size``
+    positions that it comes to.  A null path stands for all paths its row uses.
+    ``options.once`` needs ``lines(pos, line)``.  A criterion has an edge to itself.
     """
     uses = _located(p).join(p.uses, "unit_id").select("pos", F.concat_ws(".", "path").alias("used"))
     seeds = criteria.join(uses, "pos", "left").select("trace", "pos", F.coalesce("path", "used", F.lit("")).alias("path")).distinct()
-    deps = written(item_dependences(p, options, seeds.select("pos", "path")), "items")
-    # every criterion is a slice of its own over the same dependences; criteria are few
-    rows = deps.withColumn("trace", F.explode(seeds.agg(F.collect_set("trace")).scalar()))
+    deps = item_dependences(p, options, seeds.select("pos", "path"))
     if options.once:
+        # which rows may be followed differs from criterion to criterion
+        deps = written(deps, "items")
         at = seeds.join(lines, "pos").select("trace", F.col("line").alias("l")).distinct()
         same = lines.join(at, F.col("line") == F.col("l")).select("trace", "pos").distinct()
-        rows = rows.join(same, ["trace", "pos"], "left_semi")
+        rows = deps.join(same, "pos")
         last = rows.where("type = 'data'").groupBy("trace", "pos", "path").agg(F.max("dep_pos").alias("dep_pos"))
-        rows = rows.where("type <> 'data'").unionByName(rows.where("type = 'data'").join(last, ["trace", "pos", "path", "dep_pos"], "left_semi"))
+        deps = rows.where("type <> 'data'").unionByName(rows.where("type = 'data'").join(last, ["trace", "pos", "path", "dep_pos"], "left_semi"))
+    rows = written(deps, "items")
+    items = walk_back(rows, seeds, size)
+    own = [c for c in ("trace",) if c in rows.columns]
     columns = ["trace", "pos", "path", "dep_pos", "dep_path", "type"]
-    own = seeds.select("trace", "pos", "path", F.col("pos").alias("dep_pos"), F.col("path").alias("dep_path"), F.lit("data").alias("type"), F.lit(True).alias("seed"))
-    every = own.unionByName(rows.select(*columns, F.lit(False).alias("seed")))
-    # at one position seeds and edges to the same row come first
-    ordered = every.repartition("trace").sortWithinPartitions("trace", F.desc("pos"), F.desc("seed"), F.desc("dep_pos"), "path", "dep_path", "type")
-    return ordered.mapInArrow(_items, ordered.schema).drop("seed")
+    by_path = rows.where("path is not null").join(items, [*own, "pos", "path"]).select(*columns)
+    by_row = rows.where("path is null").join(items.select("trace", "pos").distinct(), [*own, "pos"]).select(*columns)
+    first = seeds.where("trace is not null and pos is not null").select("trace", "pos", "path", F.col("pos").alias("dep_pos"), F.col("path").alias("dep_path"), F.lit("data").alias("type"))
+    return by_path.union(by_row).union(first)

@@ -1,21 +1,21 @@
 """Slices of a dependence graph.
 
 Dependences are (trace, pos, dep_pos, type): row ``pos`` depends on the earlier row
-``dep_pos`` by ``data`` or ``control``.  As every dependence points back, a backward
-slice needs one pass over a trace from its end to its beginning, not one round per
-level of the graph.
+``dep_pos`` by ``data`` or ``control``.  As every dependence points back, a bucket of
+positions is walked once for what is new in it, and a slice needs a round for each
+change of bucket, not for each level of the graph (``tracery.plans.walk``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracery.plans.closure import reachable
+from tracery.plans.scratch import written
+from tracery.plans.walk import BUCKET, walk_back
 
 
 @dataclass(frozen=True)
@@ -27,28 +27,18 @@ class Options:
     once: bool = False
 
 
-def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trace, started, needed = None, False, set()
-    for batch in batches:
-        take = []
-        for k, (t, pos, dep, forced) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("trace", "pos", "dep_pos", "seed")), strict=True)):
-            if not started or t != trace:
-                trace, started, needed = t, True, set()
-            if forced:
-                needed.add(pos)
-                take.append(k)
-            elif pos in needed:
-                take.append(k)
-                needed.add(dep)
-        yield batch.take(pa.array(take, pa.int64()))
+def _reached(edges: DataFrame, seeds: DataFrame, size: int) -> DataFrame:
+    """(trace, pos) reached from ``seeds(trace, pos)`` along ``edges(trace, pos, dep_pos)``."""
+    ways = edges.select("trace", "pos", F.lit(None).cast("string").alias("path"), "dep_pos", F.lit("").alias("dep_path"))
+    return walk_back(ways, seeds.select("trace", "pos", F.lit("").alias("path")), size).select("trace", "pos")
 
 
-def backward_slice(deps: DataFrame, seeds: DataFrame, options: Options = Options(), lines: DataFrame | None = None) -> DataFrame:
+def backward_slice(deps: DataFrame, seeds: DataFrame, options: Options = Options(), lines: DataFrame | None = None, size: int = BUCKET) -> DataFrame:
     """(trace, pos, dep_pos, type): the dependences reached backwards from ``seeds(trace, pos)``.
 
     A seed has an edge of type data to itself.  ``lines(trace, pos, line)`` is needed
-    for ``options.once``.  Traces are streamed from the end; what is held of one is the
-    set of its positions known to be needed.
+    for ``options.once``.  Traces are walked in buckets of ``size`` positions, side by
+    side.  Rows without a trace or position are in no slice.
     """
     if options.data_only:
         deps = deps.where("type = 'data'")
@@ -59,10 +49,11 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, options: Options = Options
         same = lines.join(at, ["trace"]).where(F.col("line") == F.col("l")).select("trace", "pos").distinct()
         deps = deps.join(same, ["trace", "pos"], "left_semi")
         deps = deps.groupBy("trace", "pos", "type").agg(F.max("dep_pos").alias("dep_pos"))
-    rows = deps.select("trace", "pos", "dep_pos", "type", F.lit(False).alias("seed"))
-    first = seeds.select("trace", "pos").distinct().select("trace", "pos", F.col("pos").alias("dep_pos"), F.lit("data").alias("type"), F.lit(True).alias("seed"))
-    ordered = first.union(rows).repartition("trace").sortWithinPartitions("trace", F.desc("pos"), F.desc("seed"))
-    return ordered.mapInArrow(_backward, ordered.schema).drop("seed")
+    seeds = seeds.where("trace is not null and pos is not null").select("trace", "pos").distinct()
+    rows = written(deps.select("trace", "pos", "dep_pos", "type"), "deps")
+    needed = _reached(rows, seeds, size)
+    first = seeds.select("trace", "pos", F.col("pos").alias("dep_pos"), F.lit("data").alias("type"))
+    return rows.join(needed, ["trace", "pos"], "left_semi").union(first)
 
 
 def slice_nodes(edges: DataFrame) -> DataFrame:
@@ -76,32 +67,17 @@ def slice_by_frontier(deps: DataFrame, seeds: DataFrame) -> DataFrame:
     return reachable(edges, seeds.select(F.struct("trace", "pos").alias("node"))).select("node.trace", "node.pos")
 
 
-def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trace, started, reached = None, False, set()
-    for batch in batches:
-        take = []
-        for k, (t, pos, dep, forced) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("trace", "pos", "dep_pos", "seed")), strict=True)):
-            if not started or t != trace:
-                trace, started, reached = t, True, set()
-            if forced:
-                reached.add(dep)
-            elif dep in reached:
-                reached.add(pos)
-                take.append(k)
-        yield batch.take(pa.array(take, pa.int64()))
-
-
-def chop(edges: DataFrame, sources: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+def chop(edges: DataFrame, sources: DataFrame, callers: DataFrame | None = None, size: int = BUCKET) -> DataFrame:
     """(trace, dep_pos, pos): edges of a slice on the ways from ``sources(trace, pos)`` to its criterion.
 
     ``edges`` is a backward slice.  With ``callers(trace, pos, caller_pos)``, the first
     edge of each caller of a row on the way is added.
     """
-    real = edges.where("dep_pos <> pos")
-    rows = real.select("trace", "dep_pos", "pos", F.lit(False).alias("seed"))
-    first = sources.select("trace", F.col("pos").alias("dep_pos"), "pos", F.lit(True).alias("seed")).distinct()
-    ordered = first.union(rows.distinct()).repartition("trace").sortWithinPartitions("trace", "dep_pos", F.desc("seed"))
-    out = ordered.mapInArrow(_forward, ordered.schema).drop("seed").distinct()
+    real = written(edges.where("dep_pos <> pos").select("trace", "dep_pos", "pos").distinct(), "ways")
+    # the way forward is the way back of the order turned round
+    turned = real.select("trace", (-F.col("dep_pos")).alias("pos"), (-F.col("pos")).alias("dep_pos"))
+    reached = _reached(turned, sources.select("trace", (-F.col("pos")).alias("pos")), size)
+    out = real.join(reached.select("trace", (-F.col("pos")).alias("dep_pos")), ["trace", "dep_pos"], "left_semi").select("trace", "dep_pos", "pos")
     if callers is None:
         return out
     on_way = out.select("trace", F.col("dep_pos").alias("pos")).distinct().join(callers, ["trace", "pos"])

@@ -8,7 +8,7 @@ the only thing that is scanned as a whole, and it is ``size`` times shorter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,16 +52,25 @@ def previous(df: DataFrame, order: str, columns: dict[str, str], by: Sequence[st
     return out.withColumns({n: F.col(f"_prev.{n}") for n in names}).drop("_prev")
 
 
-def running_total(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[str] = (), size: int = SIZE) -> DataFrame:
-    """Add running sums, each including its own row, along the order."""
+def _running(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[str], size: int, over: Callable[[str], Column], both: Callable[[Column, Column], Column]) -> DataFrame:
     df = df.withColumns({_B: F.floor(F.col(order) / size), **{f"_v_{k}": v for k, v in values.items()}})
     inner = Window.partitionBy(*by, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(*by, _B).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    each = df.groupBy(*by, _B).agg(*[over(f"_v_{k}").alias(f"_t_{k}") for k in values])
     outer = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*by, _B, *[F.coalesce(F.sum(f"_t_{k}").over(outer), F.lit(0)).alias(f"_c_{k}") for k in values])
-    near = df.withColumns({f"_n_{k}": F.coalesce(F.sum(f"_v_{k}").over(inner), F.lit(0)) for k in values})
+    carry = each.select(*by, _B, *[over(f"_t_{k}").over(outer).alias(f"_c_{k}") for k in values])
+    near = df.withColumns({f"_n_{k}": over(f"_v_{k}").over(inner) for k in values})
     out = _joined(near, carry, [*by, _B])
-    return out.withColumns({k: F.col(f"_n_{k}") + F.col(f"_c_{k}") for k in values}).drop(_B, *[f"_{x}_{k}" for k in values for x in "vnc"])
+    return out.withColumns({k: both(F.col(f"_n_{k}"), F.col(f"_c_{k}")) for k in values}).drop(_B, *[f"_{x}_{k}" for k in values for x in "vnc"])
+
+
+def running_total(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[str] = (), size: int = SIZE) -> DataFrame:
+    """Add running sums, each including its own row, along the order."""
+    return _running(df, order, values, by, size, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def running_max(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[str] = (), size: int = SIZE) -> DataFrame:
+    """Add running maxima, each including its own row, along the order; null before the first value."""
+    return _running(df, order, values, by, size, F.max, F.greatest)
 
 
 def numbered(df: DataFrame, name: str, order: Sequence[str], size: int = SIZE) -> DataFrame:

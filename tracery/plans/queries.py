@@ -159,14 +159,24 @@ def _linkable(spark, d) -> DataFrame:
     )
 
 
-@query()
+LINKS_SQL = FLOW_SQL + """, e AS (SELECT f.* FROM f JOIN t s ON s.pos = f.src WHERE s.kind NOT IN ('return', 'throw')),
+  ev AS (SELECT thread_id, method, pos, 3 * pos AS o, 1 AS a, 0 AS b FROM t WHERE pos NOT IN (SELECT dst FROM e) UNION ALL SELECT thread_id, method, pos, 3 * pos + 2, 0, 1 FROM t WHERE kind <> 'return' AND pos NOT IN (SELECT src FROM e)),
+  cl AS (SELECT thread_id, called_sig AS method, pos, 3 * pos + 1 AS o FROM t WHERE called_sig IS NOT NULL),
+  cut AS (SELECT ev.*, coalesce(cl.pos, -1) AS call FROM ev ASOF LEFT JOIN cl ON ev.thread_id = cl.thread_id AND ev.method = cl.method AND ev.o >= cl.o),
+  su AS (SELECT *, sum(a) OVER w AS adds, sum(b) OVER w AS takes FROM cut WINDOW w AS (PARTITION BY thread_id, method, call ORDER BY o DESC)),
+  q AS (SELECT *, takes - greatest(0, max(takes - adds) OVER (PARTITION BY thread_id, method, call ORDER BY o DESC)) AS taken FROM su),
+  g AS (SELECT thread_id, method, call, taken AS adds, max(pos) AS src FROM q WHERE b = 1 AND taken > 0 GROUP BY ALL),
+  l AS (SELECT coalesce(g.src, q.call) AS src, q.pos AS dst, CASE WHEN g.src IS NULL THEN 'CALL_EDGE' ELSE 'FLOW_EDGE' END AS type FROM q LEFT JOIN g USING (thread_id, method, call, adds) WHERE q.a = 1 AND (g.src IS NOT NULL OR q.call >= 0))"""
+
+
+@query(f"WITH_EVENTS, {LINKS_SQL} SELECT src, dst, type FROM l")
 def q_stack_reconstruct(spark, d):
     """Predecessors of the rows that no flow edge leads to, thread by thread."""
     t = _linkable(spark, d)
     return dcfg.link_orphans(t, written(dcfg.clean_edges(dcfg.flow_edges(t), t), "flow"))
 
 
-@query()
+@query(f"WITH_EVENTS, {LINKS_SQL} SELECT src, dst, type FROM e UNION ALL SELECT src, dst, type FROM l")
 def q_dynamic_graph(spark, d):
     """The whole graph of the event trace."""
     return dcfg.build(_linkable(spark, d))
