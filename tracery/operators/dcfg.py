@@ -138,8 +138,18 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(kind, pa.string())], names=["src", "dst", "type"])
 
 
-def _waiting(rows: DataFrame, size: int) -> DataFrame:
-    """Edges to the orphans of methods whose rows agree on class, sub-signature, name and is_app.
+INIT = "<clinit>"
+
+
+def _last_call(events: DataFrame, calls: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Events with ``call``, the later of what they have and the last call with their keys before them."""
+    both = events.withColumn("made", F.lit(None).cast("bigint")).unionByName(calls.withColumnRenamed("pos", "made").withColumn("at", F.col("made") * 3 + 1), allowMissingColumns=True)
+    seen = last_before(both, "at", {"seen": F.col("made")}, ["thread_id", *keys], size * 3).where("made is null")
+    return seen.withColumn("call", F.greatest("call", "seen")).drop("made", "seen")
+
+
+def _waiting(rows: DataFrame, inits: bool, size: int) -> DataFrame:
+    """Edges to the orphans of methods whose rows agree on class, sub-signature, name and is_app; ``inits``: some are static initialisers.
 
     Seen from the end, the orphans of a method form a queue: a row that can be followed
     takes the one that has waited longest, a call of the method empties it.  So calls
@@ -147,23 +157,23 @@ def _waiting(rows: DataFrame, size: int) -> DataFrame:
     waiting takes the k-th orphan, and what is left belongs to the call.  A taker finds
     nobody whenever takers minus orphans so far reach a new maximum.
     """
-    calls = rows.where("called_subsig is not null and not library").select("thread_id", "called_subsig", "called_class", "pos")
+    calls = rows.where("called_subsig is not null and not library")
     # one position holds, from its beginning: its orphan, its call, its taker
-    takes = ~F.col("is_return") & ~F.col("has_flow")
-    roles = F.filter(F.array(F.when(F.col("orphan"), F.lit(0)), F.when(takes, F.lit(2))), lambda x: x.isNotNull())
-    events = rows.withColumn("role", F.explode(roles)).withColumn("at", F.col("pos") * 3 + F.col("role"))
-    none = F.lit(None).cast("string")
-    by_name = events.where("is_app").select("thread_id", F.lit("").alias("in"), F.col("subsig").alias("key"), "at", "method", F.lit(None).cast("bigint").alias("call"))
-    by_class = events.where("name = '<clinit>'").select("thread_id", F.col("class").alias("in"), F.col("subsig").alias("key"), "at", "method", F.lit(None).cast("bigint").alias("call"))
-    starts = rows.where("name = '<clinit>'").select(F.col("class").alias("called_class"), F.col("subsig").alias("key")).distinct()
-    call_at = (F.col("pos") * 3 + 1).alias("at")
-    named = calls.select("thread_id", F.lit("").alias("in"), F.col("called_subsig").alias("key"), call_at, none.alias("method"), F.col("pos").alias("call"))
-    classed = calls.join(starts, "called_class").where("called_subsig <> key").select("thread_id", F.col("called_class").alias("in"), "key", call_at, none.alias("method"), F.col("pos").alias("call"))
-    asked = last_before(by_name.union(by_class).union(named).union(classed), "at", {"seen": F.col("call")}, ["thread_id", "in", "key"], size * 3)
-    asked = asked.where("call is null").groupBy("thread_id", "method", "at").agg(F.max("seen").alias("call"))
+    roles = F.array(F.when(F.col("orphan"), F.lit(0)), F.when(~(F.col("is_return") | F.col("has_flow")), F.lit(2)))
+    events = rows.withColumn("role", F.explode(F.filter(roles, lambda x: x.isNotNull())))
+    events = events.select(
+        "thread_id", "method", "subsig", "class", F.col("name").eqNullSafe(INIT).alias("init"), F.coalesce("is_app", F.lit(False)).alias("is_app"), "pos",
+        (F.col("role") == 0).alias("waits"), (F.col("pos") * 3 + F.col("role")).alias("at"), F.lit(None).cast("bigint").alias("call"),
+    )
+    cut = _last_call(events, calls.select("thread_id", F.col("called_subsig").alias("subsig"), "pos"), ["subsig"], size)
+    cut = cut.withColumn("call", F.when(F.col("is_app"), F.col("call")))
+    if inits:
+        own = rows.where(F.col("name") == INIT).select("class", "subsig").distinct()
+        of_class = calls.select("thread_id", F.col("called_class").alias("class"), "called_subsig", "pos").join(own, "class").where("called_subsig <> subsig")
+        first = _last_call(cut.where("init"), of_class.select("thread_id", "class", "subsig", "pos"), ["class", "subsig"], size)
+        cut = cut.where("not init").unionByName(first)
     group = ["thread_id", "method", "call"]
-    cut = events.select("thread_id", "method", "at", "pos", (F.col("role") == 0).alias("waits")).join(asked, ["thread_id", "method", "at"], "left")
-    cut = cut.withColumns({"call": F.coalesce("call", F.lit(-1)), "back": -F.col("at")})
+    cut = cut.select("thread_id", "method", F.coalesce("call", F.lit(-1)).alias("call"), "pos", "waits", (-F.col("at")).alias("back"))
     counted = running_total(cut, "back", {"waiters": F.col("waits").cast("long"), "takers": (~F.col("waits")).cast("long")}, group, size * 3)
     counted = running_max(counted, "back", {"idle": F.col("takers") - F.col("waiters")}, group, size * 3)
     counted = written(counted.select(*group, "pos", "waits", "waiters", (F.col("takers") - F.greatest("idle", F.lit(0))).alias("taken")), "waiting")
@@ -189,20 +199,21 @@ def link_orphans(stmts: DataFrame, edges: DataFrame, size: int = SIZE) -> DataFr
     linked = edges.select(F.col("dst").alias("pos")).distinct().withColumn("linked", F.lit(True))
     rows = stmts.where("thread_id is not null and method is not null").join(has_flow, "pos", "left").join(linked, "pos", "left").select(
         "thread_id", F.col("pos").cast("bigint").alias("pos"), "method", "subsig", "class", "name", "is_app", "called_subsig", "called_class",
-        is_library(F.col("class")).alias("library"), F.col("kind").isin("return", "return_void").alias("is_return"),
+        is_library(F.col("class")).alias("library"), F.coalesce(F.col("kind").isin("return", "return_void"), F.lit(False)).alias("is_return"),
         F.coalesce("has_flow", F.lit(False)).alias("has_flow"), F.col("linked").isNull().alias("orphan"),
     )
     rows = written(rows.where("orphan or called_subsig is not null or not (is_return or has_flow)"), "linkable")
     shape = F.struct("subsig", "class", "name", "is_app")
-    mixed = written(rows.where("orphan or not (is_return or has_flow)").groupBy("method").agg(F.min(shape).alias("a"), F.max(shape).alias("b")).where("a <> b").select("method"), "mixed")
-    if mixed.isEmpty():
-        return _waiting(rows, size)
-    odd = mixed.withColumn("odd", F.lit(True))
+    methods = rows.where("orphan or not (is_return or has_flow)").groupBy("method").agg(F.min(shape).alias("a"), F.max(shape).alias("b"))
+    odd = methods.where("a <> b").select("method", F.lit(True).alias("odd"))
+    some_odd, inits = methods.agg(F.max(F.expr("a <> b")), F.max((F.col("a.name") == INIT) | (F.col("b.name") == INIT))).first()
+    if not some_odd:
+        return _waiting(rows, bool(inits), size)
     marked = rows.join(odd, "method", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
     plain = marked.withColumns({"orphan": F.col("orphan") & ~F.col("odd"), "is_return": F.col("is_return") | F.col("odd")}).drop("odd")
     rest = marked.where("odd or called_subsig is not null").withColumns({"orphan": F.col("orphan") & F.col("odd"), "is_return": F.col("is_return") | ~F.col("odd")})
     ordered = rest.drop("odd").repartition("thread_id").sortWithinPartitions("thread_id", F.desc("pos"))
-    return _waiting(plain, size).unionByName(ordered.mapInArrow(_link, "src long, dst long, type string"))
+    return _waiting(plain, True, size).unionByName(ordered.mapInArrow(_link, "src long, dst long, type string"))
 
 
 def build(stmts: DataFrame, registrations: DataFrame | None = None, keep_thread_edges: bool = False, size: int = SIZE) -> DataFrame:
