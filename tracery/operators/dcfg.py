@@ -173,7 +173,8 @@ def _waiting(rows: DataFrame, inits: bool, size: int) -> DataFrame:
         first = _last_call(cut.where("init"), of_class.select("thread_id", "class", "subsig", "pos"), ["class", "subsig"], size)
         cut = cut.where("not init").unionByName(first)
     group = ["thread_id", "method", "call"]
-    cut = cut.select("thread_id", "method", F.coalesce("call", F.lit(-1)).alias("call"), "pos", "waits", (-F.col("at")).alias("back"))
+    # each running value reads its input twice, so what it starts from is written
+    cut = written(cut.select("thread_id", "method", F.coalesce("call", F.lit(-1)).alias("call"), "pos", "waits", (-F.col("at")).alias("back")), "segments")
     counted = running_total(cut, "back", {"waiters": F.col("waits").cast("long"), "takers": (~F.col("waits")).cast("long")}, group, size * 3)
     counted = running_max(counted, "back", {"idle": F.col("takers") - F.col("waiters")}, group, size * 3)
     counted = written(counted.select(*group, "pos", "waits", "waiters", (F.col("takers") - F.greatest("idle", F.lit(0))).alias("taken")), "waiting")
@@ -221,6 +222,6 @@ def build(stmts: DataFrame, registrations: DataFrame | None = None, keep_thread_
     edges = flow_edges(stmts, size).withColumn("seq", F.lit(0))
     if registrations is not None:
         edges = edges.unionByName(registrations.select("src", "dst", "type", F.lit(1).alias("seq")))
-    clean = clean_edges(upsert_edges(edges), stmts, keep_thread_edges)
-    linked = clean.unionByName(link_orphans(stmts, clean, size))
+    clean = written(clean_edges(upsert_edges(edges), stmts, keep_thread_edges), "clean")
+    linked = written(clean.unionByName(link_orphans(stmts, clean, size)), "linked")
     return linked.unionByName(look_back_edges(stmts, linked, size))
