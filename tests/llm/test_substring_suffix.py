@@ -122,3 +122,13 @@ def test_equal_first_hashes_do_not_decide():
     # the second hashes do not follow from the first ones: both families tell all windows apart
     assert len(np.unique(substring._second(words, np.arange(381), 20))) == 381
     assert len(np.unique(suffix._second(ids, 200))) == len(suffix._full(ids, 200))
+
+
+@pytest.mark.parametrize("chunk_bytes", [100, 1 << 20])
+def test_rows_that_repeat_an_id(spark, chunk_bytes):
+    """Whatever the chunks: of two rows of one id the one whose window starts earlier in its text keeps it, though its text comes later."""
+    shared = " ".join(f"s{i}" for i in range(25))
+    rows = [(5, "a b c d e f " + shared), (5, "z " + shared), (None, "q r " + shared), (9, shared)]
+    out = unrepeated(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()
+    got = sorted((r.n_words, r.n_removed, bytes(r.kept).decode()) for r in out)
+    assert got == [(25, 25, ""), (26, 0, "z " + shared), (27, 25, "q r"), (31, 25, "a b c d e f")]

@@ -66,9 +66,9 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``spans`` are the removed runs as word positions [start, end); ``kept`` holds the
     other words, unchanged, joined by one space, as UTF-8.  Windows are judged on the
     input.  A null or empty text has no words and an empty ``kept``; documents with
-    fewer than ``window`` words lose nothing.  A null id comes after all others; rows
-    that repeat an id follow each other in the order of their texts.  Ids are integers.
-    Other columns are ignored.  An empty table gives an empty table.
+    fewer than ``window`` words lose nothing.  A null id comes after all others; of
+    rows that repeat an id the one whose window starts earliest in its own text has it
+    first, and of equal starts one of them.  Ids are integers.  Other columns are ignored.  An empty table gives an empty table.
     """
     block = window // 2
     chunks, total = chunked(docs, id_col, text_col, chunk_bytes)
@@ -89,7 +89,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         told = np.split(hit[which], np.cumsum([len(k) for k in keys])[:-1])
         return as_posts([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
 
-    def candidates(words: np.ndarray, first: np.ndarray, told: pa.Table):
+    def candidates(words: np.ndarray, first: np.ndarray, keys: np.ndarray, told: pa.Table):
         """Windows around a hit: (distinct hashes, their second hashes, first start of each, all starts, hash index of each start)."""
         distinct, anchor, again, which, at = _blocks(words, first, block)
         hit = answers(told, len(distinct), bits, distinct) | (anchor & again)
@@ -101,7 +101,12 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chosen = near[np.minimum(starts + window - block + 1, len(words))] > near[starts]
         starts, hashes = starts[chosen], hashes[chosen]
         low = _second(words, starts, window)
-        one, index, _ = distinct_pairs(hashes, low, starts)
+        turn = starts
+        if (keys[1:] == keys[:-1]).any():
+            doc = np.searchsorted(first, starts, "right") - 1
+            turn = np.empty_like(starts)
+            turn[np.lexsort((starts, starts - first[doc], keys[doc]))] = np.arange(len(starts))
+        one, index, _ = distinct_pairs(hashes, low, turn)
         return hashes[one], low[one], starts[one], starts, index
 
     def ask_again(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -110,7 +115,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chunk = table.column("chunk")[0].as_py()
         _, texts, keys = in_order(table)
         words, first = _words(texts)
-        found, low, one, _, _ = candidates(words, first, told)
+        found, low, one, _, _ = candidates(words, first, keys, told)
         doc = np.searchsorted(first, one, "right") - 1
         place = np.empty(len(one), PLACE)
         place["id"], place["start"], place["low"] = keys[doc], one - first[doc], low
@@ -134,11 +139,11 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return as_posts([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts, _ = in_order(table)
+        ids, texts, keys = in_order(table)
         words, first = _words(texts)
         parts = told.column("part").to_numpy()
         before = [(r[0], int(np.frombuffer(r[2][:8], np.int64)[0]), r[2][8:], None) for r in messages(told.filter(pa.array(parts < 0)))]
-        found, _, one, starts, index = candidates(words, first, as_posts(before))
+        found, _, one, starts, index = candidates(words, first, keys, as_posts(before))
         later = answers(told.filter(pa.array(parts >= 0)), len(found), bits, found)
         repeats = starts[later[index] | (starts != one[index])]
         gone = only_covered(len(words), repeats, window)
