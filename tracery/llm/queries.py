@@ -11,6 +11,7 @@ from .embedding import near_vectors
 from .htmltext import page_text
 from .mixing import mix_sources
 from .oracles import ORACLES as ORACLES
+from .phrases import collocations
 from .pii import pseudonymise, session_key
 from .quality import classify
 from .simhash import near_duplicates
@@ -78,6 +79,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language over all documents; null texts have no words."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_embedding": op2_embedding,
@@ -89,4 +95,5 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_suffix": op9_suffix,
     "op10_decontam": op10_decontam,
+    "op11_phrases": op11_phrases,
 }
