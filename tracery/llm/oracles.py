@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import NOTICES, PHRASES
+
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,3 +101,55 @@ h AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(f) AS lon
 k AS (SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
 """
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}', {exact})" for i, (label, text, exact) in enumerate([*((v, k, True) for k, v in PHRASES.items()), *((a, b, False) for a, b in NOTICES)]))
+
+ORACLES["op13_licenses"] = rf"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+t AS (SELECT id, label, exact, w AS tw, least(3, len(w)) AS k FROM (SELECT id, label, exact, {_ITEM_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(id, label, text, exact))),
+g AS (SELECT id, label, exact, k, len(tw) AS size, off, tw[off + 1:off + k] AS gram FROM (SELECT *, unnest(range(0, len(tw) - k + 1)) AS off FROM t)),
+p AS (SELECT doc_id, k, pos, w[pos + 1:pos + k] AS gram FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+h AS (SELECT DISTINCT doc_id, id, label, exact, size, k, off, pos - off AS diag FROM p JOIN g USING (k, gram)),
+c AS (SELECT DISTINCT doc_id, id, diag, unnest(range(off, off + k)) AS word FROM h),
+e AS (SELECT doc_id, id, diag, count(*) AS covered FROM c GROUP BY ALL),
+s AS (SELECT doc_id, id, label, exact, size, k, diag, count(*) AS n, diag + min(off) AS start, diag + max(off) + k AS stop FROM h GROUP BY doc_id, id, label, exact, size, k, diag),
+b AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id, id ORDER BY diag) AS band FROM (SELECT s.*, covered, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, id ORDER BY diag) <= 3 THEN 0 ELSE 1 END AS jump FROM s JOIN e USING (doc_id, id, diag))),
+u AS (SELECT doc_id, id, band, count(DISTINCT word) AS together FROM b JOIN c USING (doc_id, id, diag) GROUP BY ALL),
+m AS (SELECT doc_id, id, label, exact, size, band, max(covered) AS alone, max(stop) - min(start) AS span FROM b GROUP BY doc_id, id, label, exact, size, band),
+v AS (SELECT doc_id, label, exact, CAST(CASE WHEN span <= size * 1.5 THEN together ELSE alone END AS DOUBLE) / size AS score FROM m JOIN u USING (doc_id, id, band)),
+x AS (SELECT doc_id, label, 1.0::DOUBLE AS score, CAST(diag AS BIGINT) AS place FROM s WHERE exact AND n = size - k + 1 UNION ALL SELECT doc_id, CASE WHEN NOT exact AND score >= 0.8 THEN label END, score, NULL FROM v),
+f AS (SELECT doc_id, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, max(score) AS score,
+  string_agg(DISTINCT CASE WHEN place IS NOT NULL THEN label END, ',' ORDER BY CASE WHEN place IS NOT NULL THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+ORACLES["op12_repair"] = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+m AS (SELECT k.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 20 AS kind FROM k, crc),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM m WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+f AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p,
+  CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+g AS (SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 3, 5, 'I'), (3, 2, 5, 'I')) v(q, to_q, cost, s)),
+e AS (SELECT conv_id, i, q, to_q, cost + CASE WHEN s <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost, s
+  FROM f, (VALUES (0, 0, 2, 'D', ''), (1, 1, 2, 'D', ''), (2, 2, 2, 'D', ''), (3, 3, 2, 'D', ''), (0, 2, 1, 'R', ''), (1, 2, 1, 'R', ''), (2, 3, 1, 'R', ''), (3, 2, 1, 'R', ''),
+    (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a')) v(q, to_q, cost, s, fits)
+  WHERE s <> 'K' AND (s = 'D' OR fault NOT IN ('blank', 'duplicate')) OR s = 'K' AND fits = c AND fault NOT IN ('blank', 'duplicate')),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS s FROM f
+  UNION ALL
+  SELECT conv_id, i, q, best.cost, best.s FROM (SELECT e.conv_id, e.i, e.to_q AS q, min({'cost': CAST(w.cost + g.cost + e.cost AS BIGINT), 's': w.s || g.s || e.s}) AS best
+    FROM w JOIN g ON g.q = w.q JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q = g.to_q GROUP BY e.conv_id, e.i, e.to_q)),
+z AS (SELECT conv_id, min({'cost': CAST(w.cost + g.cost AS BIGINT), 's': w.s || g.s}) AS best FROM w JOIN g ON g.q = w.q AND g.to_q IN (0, 3) JOIN (SELECT conv_id AS v, max(i) AS i FROM f GROUP BY 1) l ON l.v IS NOT DISTINCT FROM w.conv_id AND l.i = w.i GROUP BY conv_id),
+l AS (SELECT conv_id, unnest(string_split(best.s, '')) AS s, unnest(range(1, length(best.s) + 1)) AS place FROM z WHERE best.s <> ''),
+r AS (SELECT *, sum(CASE WHEN s <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place) AS i FROM l),
+j AS (SELECT r.*, f.role, CASE WHEN s = 'I' THEN '' ELSE f.text END AS text, CASE WHEN s = 'D' OR s = 'K' AND f.c = 's' THEN 0 ELSE 1 END AS one FROM r LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i),
+n AS (SELECT *, sum(one) OVER (PARTITION BY conv_id ORDER BY place) AS th FROM j),
+t AS (SELECT conv_id, string_agg(CASE WHEN s = 'K' THEN role WHEN th % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS repaired FROM n WHERE s <> 'D' GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (p IS NOT NULL AND (p || c) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.s, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

@@ -9,6 +9,7 @@ from .chat import format_conversations, read_conversations
 from .decontam import contamination
 from .embedding import near_vectors
 from .htmltext import page_text
+from .licenses import license_scan
 from .mixing import mix_sources
 from .oracles import ORACLES as ORACLES
 from .phrases import collocations
@@ -17,6 +18,7 @@ from .quality import classify
 from .simhash import near_duplicates
 from .substring import unrepeated
 from .suffix import unrepeated_bytes
+from .turnrepair import damaged, repair_audit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,17 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of all conversations after known damage; null roles and texts are one space."""
+    convs = table(spark, sf_dir, "conversations")
+    return repair_audit(damaged(convs), ids=convs)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents; null texts have none."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_embedding": op2_embedding,
@@ -96,4 +109,6 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_decontam": op10_decontam,
     "op11_phrases": op11_phrases,
+    "op12_repair": op12_repair,
+    "op13_licenses": op13_licenses,
 }
