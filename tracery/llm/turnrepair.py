@@ -7,7 +7,7 @@ lie on a cheapest way (the tight ones); from the start, the least letter among t
 tight arcs of all nodes reached so far is taken, step by step.
 
 A long conversation is cut: turns are dealt by their order over all conversations, a
-part of a conversation of at most ``BLOCK`` different turns is a block.  Blocks are summed up
+part of a conversation of at most ``block`` different turns is a block.  Blocks are summed up
 as costs from state to state, the sums of a conversation are folded from both ends, and
 each block then finds its own tight arcs.  Only the last pass reads a conversation from
 end to end, turn by turn, since its hash and audit are one string.
@@ -79,29 +79,32 @@ def _kind(initial: str, fault: int) -> tuple[str, int]:
     return initial if initial in ("s", "u", "a") else "", BLANK if fault == DUPLICATE else fault
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Ordered turns with the number of their block; behind each block a row with its costs from state to state."""
-    schema, number, conv, count, cost, part = None, 0, None, 0, None, 0
 
-    def closing() -> dict:
-        return {"conv_id": conv, "block": part << 32 | number, "at": count, "cost": cost.reshape(-1).tolist()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, number, conv, count, cost, part = None, 0, None, 0, None, 0
 
-    for batch in batches:
-        schema, out = batch.schema, []
-        for row in batch.to_pylist():
-            if cost is not None and (row["conv_id"] != conv or count == BLOCK):
-                out.append(closing())
-                number, cost = number + 1, None
-            if cost is None:
-                conv, part, count, cost = row["conv_id"], row.pop("part"), 0, _STAY
-            else:
-                row.pop("part")
-            out.append(row | {"block": part << 32 | number, "at": count, "cost": None})
-            cost = np.minimum(_then(cost, _STEPS[_kind(row["role"][:1], row["fault"])]) + COSTS[DELETE] * (row["n"] - 1), NEVER)
-            count += 1
-        yield _batch(out, schema)
-    if cost is not None:
-        yield _batch([closing()], schema)
+        def closing() -> dict:
+            return {"conv_id": conv, "block": part << 32 | number, "at": count, "cost": cost.reshape(-1).tolist()}
+
+        for batch in batches:
+            schema, out = batch.schema, []
+            for row in batch.to_pylist():
+                part = row.pop("part")
+                if cost is not None and (row["conv_id"] != conv or count == size):
+                    out.append(closing())
+                    number, cost = number + 1, None
+                if cost is None:
+                    conv, count, cost = row["conv_id"], 0, _STAY
+                out.append(row | {"block": part << 32 | number, "at": count, "cost": None})
+                cost = np.minimum(_then(cost, _STEPS[_kind(row["role"][:1], row["fault"])]) + COSTS[DELETE] * (row["n"] - 1), NEVER)
+                count += 1
+            yield _batch(out, schema)
+        if cost is not None:
+            yield _batch([closing()], schema)
+
+    return run
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -312,7 +315,7 @@ def _solid(text: Column) -> Column:
     return F.rtrim(text, F.lit(SPACE))
 
 
-def _edits(rows: DataFrame) -> DataFrame:
+def _edits(rows: DataFrame, block: int) -> DataFrame:
     """(conv_id, turn, role, hash, fault, n, arcs): each different turn of a conversation, how often it comes, its first fault and its tight arcs."""
     turns = rows.groupBy("conv_id", "turn", "role", "hash").agg(F.sum("n").alias("n"), F.max("fault").alias("fault"))
     turns = written(turns, "turns")
@@ -325,7 +328,7 @@ def _edits(rows: DataFrame) -> DataFrame:
     ranged = late.repartitionByRange(parts, *_order()).sortWithinPartitions(*_order()).withColumn("part", F.spark_partition_id().cast("long"))
     conv = late.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {conv}, turn bigint, role string, hash string, fault int, n bigint, block bigint, at bigint, cost array<bigint>"
-    cut = written(ranged.mapInArrow(_blocks, schema), "blocks")
+    cut = written(ranged.mapInArrow(_blocks(block), schema), "blocks")
     sums = cut.where("cost is not null").select("conv_id", "block", "cost").repartition("conv_id").sortWithinPartitions("conv_id", "block")
     ends = sums.mapInArrow(_ends, f"conv_id {conv}, block bigint, before array<bigint>, after array<bigint>")
     both = cut.where("cost is null").drop("cost").unionByName(ends.withColumn("at", F.lit(-1).cast("bigint")), allowMissingColumns=True)
@@ -333,12 +336,12 @@ def _edits(rows: DataFrame) -> DataFrame:
     return written(found, "arcs")
 
 
-def _read(convs: DataFrame, id_col: str, turns: bool, ids: DataFrame | None) -> DataFrame:
+def _read(convs: DataFrame, id_col: str, turns: bool, ids: DataFrame | None, block: int) -> DataFrame:
     rows = convs.select(F.col(id_col).alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
     rows = rows.withColumn("hash", F.sha2("text", 256))
     bare = _solid(F.col("text"))
     fault = F.when(bare == "", BLANK).when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), CUT).otherwise(FINE)
-    edits = _edits(rows.select("conv_id", "turn", "role", "hash", F.lit(1).cast("long").alias("n"), fault.cast("int").alias("fault")))
+    edits = _edits(rows.select("conv_id", "turn", "role", "hash", F.lit(1).cast("long").alias("n"), fault.cast("int").alias("fault")), block)
     every = (convs if ids is None else ids).select(F.col(id_col).alias("conv_id")).distinct().withColumn("what", F.lit(0))
     stream = edits.withColumn("what", F.lit(1)).unionByName(rows.withColumn("what", F.lit(2)), allowMissingColumns=True).unionByName(every, allowMissingColumns=True)
     ordered = stream.repartition("conv_id").sortWithinPartitions(*_order("what"))
@@ -347,12 +350,12 @@ def _read(convs: DataFrame, id_col: str, turns: bool, ids: DataFrame | None) ->
     return ordered.mapInArrow(_reader(turns), f"conv_id {conv}, {result}").withColumnRenamed("conv_id", id_col)
 
 
-def repaired_turns(convs: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def repaired_turns(convs: DataFrame, id_col: str = "conv_id", block: int = BLOCK) -> DataFrame:
     """Return (conv_id, place, turn, role, text): the turns of every repaired conversation in order, inserted ones without a turn number and with an empty text."""
-    return _read(convs, id_col, True, None)
+    return _read(convs, id_col, True, None, block)
 
 
-def repair_audit(convs: DataFrame, id_col: str = "conv_id", ids: DataFrame | None = None) -> DataFrame:
+def repair_audit(convs: DataFrame, id_col: str = "conv_id", ids: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Return (conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) for every conversation.
 
     Turns are taken by ``turn`` (null first), those of one turn by role, then by the
@@ -368,7 +371,7 @@ def repair_audit(convs: DataFrame, id_col: str = "conv_id", ids: DataFrame | Non
     conversations that may have no turns; those have zeros, an empty audit and the hash
     of an empty text.  Other columns are ignored; an empty table gives an empty table.
     """
-    return _read(convs, id_col, False, ids)
+    return _read(convs, id_col, False, ids, block)
 
 
 def damaged(convs: DataFrame) -> DataFrame:
