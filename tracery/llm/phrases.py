@@ -1,34 +1,43 @@
 """Collocations from vertical positional lists.
 
-Documents are dealt into chunks of bounded size; a chunk numbers its words through.  A
-phrase's list holds the positions of the chunk at which it starts, so the length of its
-lists is its exact frequency.  A phrase of m + 1 words starts where one of m words
-starts and another starts one word later: the lists of a level are merged by position
-and neighbours give the lists of the next level, whose last word is the adjacent word.
+Documents are taken in chunks of bounded size where they are read; a chunk numbers its
+words through.  A phrase's list holds the positions of the chunk at which it starts, so
+the lengths of its lists add up to its exact frequency.  A phrase of m + 1 words starts
+where one of m words starts and another starts one word later: the lists of a level are
+merged by position, and neighbours give the lists of the next level, whose last word is
+the adjacent word.
 
 Only phrases that are frequent in the whole corpus are extended.  A chunk sends the
 hashes and list lengths of its candidates, packed, to parts; a part adds them up and
 answers which reach the threshold.  A clash of hashes can only keep a candidate that
-need not be kept: frequencies are summed by the phrases themselves.
+need not be kept: at the end frequencies are summed by the phrases themselves.
+
+The lists of a level are exchanged once, packed, a row for each chunk and language; the
+passes over them read the same shuffle.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import mixed
-from .chunks import CHUNK_BYTES, POST, answers, as_posts, leading_bits, messages, posts
+from .chunks import CHUNK_BYTES, answers, as_posts, leading_bits, messages, posts
 from .common import written
 
-LISTS = "chunk int, lang string, phrase string, n long, at array<int>"
+POST = "chunk long, part long, keys binary, more binary"
+LISTS = "chunk long, lang string, n long, phrases binary, sizes binary, at binary"
+COUNTS = "lang string, part long, phrases binary, counts binary"
+FREQUENCIES = "lang string, phrase string, f long"
+TOTAL = -1
 #: A byte that no UTF-8 text has: it ends a piece.
 END = b"\xff"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -37,16 +46,65 @@ _STEP = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**32, byte plane by byte plane, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _joined(phrases: list[bytes]) -> bytes:
+    """Phrases in one string; none holds a line end."""
+    return zstandard.compress(b"\n".join(phrases), 1)
+
+
+def _split(data: bytes) -> list[bytes]:
+    whole = zstandard.decompress(data)
+    return whole.split(b"\n") if whole else []
+
+
 @dataclass
-class Candidates:
-    """Phrases of a chunk that may be frequent: names by number, their hashes, and positions grouped by phrase."""
+class Lists:
+    """The lists of one language in one chunk, one after the other; phrases in the order of their bytes."""
 
-    langs: list[str]
-    name: object
-    hashes: np.ndarray
-    counts: np.ndarray
+    lang: str
+    phrases: list[bytes]
+    sizes: np.ndarray
     at: np.ndarray
-    totals: list[tuple[str, int]]
+
+    def row(self, chunk: int, n: int) -> tuple:
+        gaps = np.diff(self.at, prepend=0)
+        starts = np.cumsum(self.sizes) - self.sizes
+        gaps[starts] = self.at[starts]
+        return chunk, self.lang, n, _joined(self.phrases), _packed(self.sizes), _packed(gaps)
+
+    @property
+    def hashes(self) -> np.ndarray:
+        seed = xxhash.xxh64_intdigest(self.lang.encode())
+        return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in self.phrases), np.uint64, len(self.phrases))
+
+    def only(self, keep: np.ndarray) -> Lists:
+        return Lists(self.lang, [p for p, yes in zip(self.phrases, keep.tolist(), strict=True) if yes], self.sizes[keep], self.at[np.repeat(keep, self.sizes)])
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+
+
+def _lists(table: pa.Table) -> list[Lists]:
+    """The lists of a chunk, language by language."""
+    out = []
+    for lang, phrases, sizes, at in sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "phrases", "sizes", "at")), strict=True)):
+        counts, gaps = _unpacked(sizes), _unpacked(at)
+        starts = np.cumsum(counts) - counts
+        ends = np.cumsum(gaps)
+        out.append(Lists(lang, _split(phrases), counts, ends - np.repeat(ends[starts] - gaps[starts], counts)))
+    return out
 
 
 def _stretches(texts: list[bytes]) -> Iterator[bytes]:
@@ -79,113 +137,218 @@ def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return names, np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
 
 
-def _hash(lang: str, phrase: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\x00" + phrase)
-
-
-def _by_hash(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Everything in the order of hashes: (order, hashes, counts, positions)."""
-    order = np.argsort(hashes, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    sizes = counts[order]
-    ends = np.cumsum(sizes)
-    take = np.arange(int(sizes.sum())) + np.repeat(starts[order] - (ends - sizes), sizes)
-    return order, hashes[order], sizes, at[take]
-
-
-def _words(table: pa.Table) -> Candidates:
-    """Level 1: the words of a chunk of texts."""
-    by_lang: dict[str, list[bytes]] = {}
-    for lang, text in zip(table.column("lang").to_pylist(), table.column("text").to_pylist(), strict=True):
-        by_lang.setdefault(lang, []).append(text)
-    langs, names, hashes, counts, at, totals, base = [], [], [], [], [], [], 0
-    for lang in sorted(by_lang):
-        words, codes = _tokens(by_lang[lang])
-        sizes, places = np.bincount(codes, minlength=len(words)), np.argsort(codes, kind="stable")
-        keep = np.array([w != END for w in words], bool)
-        at.append(places[np.repeat(keep, sizes)] + base)
-        counts.append(sizes[keep])
-        words = [w for w in words if w != END]
-        hashes.append(np.array([_hash(lang, w) for w in words], np.uint64))
-        langs += [lang] * len(words)
-        names += words
-        totals.append((lang, int(counts[-1].sum())))
-        base += len(codes)
-    order, hashed, sizes, places = _by_hash(*(np.concatenate(x) for x in (hashes, counts, at)))
-    return Candidates([langs[i] for i in order], lambda i: names[order[i]], hashed, sizes, places, totals)
-
-
-def _longer(table: pa.Table) -> Candidates:
-    """Level m + 1 from the lists of level m."""
-    langs, phrases = table.column("lang").to_pylist(), [p.encode() for p in table.column("phrase").to_pylist()]
-    lists = table.column("at").combine_chunks()
-    places = lists.flatten().to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(phrases)), np.diff(lists.offsets.to_numpy()))
-    merged = np.argsort(places, kind="stable")
-    places, owner = places[merged], owner[merged]
-    first = np.flatnonzero(np.diff(places) == 1)
-    pair = owner[first] * len(phrases) + owner[first + 1]
-    group = np.argsort(pair, kind="stable")
-    distinct, counts = np.unique(pair, return_counts=True)
-    own = np.array([_hash(lang, p) for lang, p in zip(langs, phrases, strict=True)], np.uint64)
-    a, b = distinct // max(1, len(phrases)), distinct % max(1, len(phrases))
-    order, hashed, sizes, at = _by_hash(mixed(own[a] * _ODD + own[b]), counts, places[first][group])
-    return Candidates([langs[i] for i in a[order]], lambda i: phrases[a[order[i]]] + b" " + phrases[b[order[i]]].rpartition(b" ")[2], hashed, sizes, at, [])
-
-
-def _level(source: DataFrame, read, least: int, bits: int) -> DataFrame:
-    """The lists that ``read`` finds in the chunks of ``source`` whose lengths add up to ``least`` or more over the corpus."""
-
-    def ask(table: pa.Table) -> pa.Table:
-        found = read(table)
-        short, counts = (found.hashes >> np.uint64(32 - bits)).astype(np.uint32), found.counts.astype(np.uint32)
-        return posts(table.column("chunk")[0].as_py(), found.hashes, bits, lambda lo, hi: (short[lo:hi].tobytes(), counts[lo:hi].tobytes()))
+def _word_lists(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The lists of all words, chunk by chunk of the texts of a task."""
+
+    def of(texts: list[bytes], lang: str, chunk: int) -> tuple:
+        words, codes = _tokens(texts)
+        order = sorted((w, i) for i, w in enumerate(words) if w != END)
+        rank = np.full(len(words), len(words), np.int64)
+        rank[[i for _, i in order]] = np.arange(len(order))
+        ranks = rank[codes]
+        places = np.argsort(ranks, kind="stable")
+        sizes = np.bincount(ranks, minlength=len(words))[: len(order)]
+        n = int(sizes.sum())
+        return Lists(lang, [w for w, _ in order], sizes, places[:n]).row(chunk, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        number, size = TaskContext.get().partitionId() << 32, 0
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size
+            for lang in sorted(held):
+                yield from _rows([of(held.pop(lang), lang, number)], LISTS).to_batches()
+            number, size = number + 1, 0
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+                held.setdefault(lang.as_py(), []).append(text.as_py())
+                size += len(held[lang.as_py()][-1])
+                if size >= chunk_bytes:
+                    yield from chunk()
+        yield from chunk()
+
+    return run
+
+
+def _pairs(lists: Lists) -> tuple[np.ndarray, np.ndarray]:
+    """(position, pair) where a phrase starts and another starts one word later."""
+    owner = np.full(int(lists.at.max(initial=-1)) + 2, -1, np.int64)
+    owner[lists.at] = np.repeat(np.arange(len(lists.phrases)), lists.sizes)
+    first = np.flatnonzero((owner[:-1] >= 0) & (owner[1:] >= 0))
+    return first, owner[first] * len(lists.phrases) + owner[first + 1]
+
+
+def _of_pairs(lists: Lists, pairs: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases that pairs make."""
+    own, n = lists.hashes, max(1, len(lists.phrases))
+    return mixed(own[pairs // n] * _ODD + own[pairs % n])
+
+
+def _asked(chunk: int, hashes: list[np.ndarray], counts: list[np.ndarray], bits: int) -> pa.Table:
+    """Messages to the parts: hashes and list lengths of a chunk's candidates."""
+    every, sizes = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(every)
+    every, sizes = every[order], sizes[order]
+    short = (every >> np.uint64(32 - bits)).astype(np.uint32).astype(np.int64)
+    out = posts(0, every, bits, lambda lo, hi: (_packed(np.diff(short[lo:hi], prepend=0)), _packed(sizes[lo:hi])))
+    return out.set_column(0, "chunk", pa.array([chunk] * out.num_rows, pa.int64()))
+
+
+def _answered(hashes: list[np.ndarray], told: pa.Table, bits: int) -> list[np.ndarray]:
+    """For each of a chunk's hashes whether its part said yes."""
+    every = np.concatenate(hashes)
+    order = np.argsort(every)
+    yes = np.empty(len(every), bool)
+    yes[order] = answers(told, len(every), bits, every[order])
+    return np.split(yes, np.cumsum([len(h) for h in hashes])[:-1])
+
+
+def _sent_on(told: pa.Table, chunk: int) -> list[tuple]:
+    """Answers that pass through another round, so that a later pass has them too."""
+    return [(chunk, -1 - chunk, np.int64(part).tobytes() + bits, None) for _, part, bits, _ in messages(told)]
+
+
+def _rounds(told: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(answers of the round before, answers of this round)."""
+    mine = told.column("part").to_numpy() >= 0
+    before = [(0, int(np.frombuffer(r[2][:8], np.int64)[0]), r[2][8:], None) for r in messages(told.filter(pa.array(~mine)))]
+    return as_posts(before), told.filter(pa.array(mine))
+
+
+def _adding(least: int) -> Callable[[pa.Table], pa.Table]:
+    """A part adds up what chunks have of each hash and answers in the order of their questions."""
 
     def add(table: pa.Table) -> pa.Table:
         rows = list(messages(table))
-        keys, counts = [np.frombuffer(r[2], np.uint32) for r in rows], np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
+        if not rows or rows[0][1] < 0:
+            return table
+        keys, counts = [np.cumsum(_unpacked(r[2])) for r in rows], [_unpacked(r[3]) for r in rows]
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        enough = np.bincount(which, counts)[which] >= least
+        enough = np.bincount(which, np.concatenate(counts))[which] >= least
         told = np.split(enough, np.cumsum([len(k) for k in keys])[:-1])
-        return as_posts([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
+        return _rows([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()], POST)
 
-    def keep(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "at": pa.array([], pa.list_(pa.int32()))})
-        found = read(table)
-        yes = answers(told, len(found.hashes), bits, found.hashes)
-        chosen = np.flatnonzero(yes).tolist()
-        places = found.at[np.repeat(yes, found.counts)].astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(found.counts[yes]), [len(places)] * len(found.totals)]).astype(np.int32)
-        n = len(chosen) + len(found.totals)
-        return pa.table({
-            "chunk": pa.array([table.column("chunk")[0].as_py()] * n, pa.int32()),
-            "lang": pa.array([found.langs[i] for i in chosen] + [t[0] for t in found.totals], pa.string()),
-            "phrase": pa.array([found.name(i).decode() for i in chosen] + [None] * len(found.totals), pa.string()),
-            "n": pa.array(found.counts[yes].tolist() + [t[1] for t in found.totals], pa.int64()),
-            "at": pa.ListArray.from_arrays(pa.array(ends), pa.array(places)),
-        })
-
-    told = source.groupBy("chunk").applyInArrow(ask, POST).groupBy("part").applyInArrow(add, POST)
-    return source.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(keep, LISTS)
+    return add
+
+
+def _counts(lists: list[Lists], bits: int) -> pa.Table:
+    """Phrases with the lengths of their lists, packed for the parts of their language."""
+    out = []
+    for x in lists:
+        part = (x.hashes >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)] if len(order) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[lo:hi]
+            out.append((x.lang, int(part[own[0]]), _joined([x.phrases[i] for i in own.tolist()]), _packed(x.sizes[own])))
+    return _rows(out, COUNTS)
+
+
+def _summed(least: int) -> Callable[[pa.Table], pa.Table]:
+    """The phrases of a part that occur often enough, with their frequencies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums: dict[bytes, int] = {}
+        for phrases, counts in zip(table.column("phrases").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            for phrase, n in zip(_split(phrases), _unpacked(counts).tolist(), strict=True):
+                sums[phrase] = sums.get(phrase, 0) + n
+        lang = table.column("lang")[0].as_py()
+        return _rows([(lang, p.decode(), n) for p, n in sums.items() if n >= least], FREQUENCIES)
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, most_words: int = 4, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f), (lang, n)): all phrases of up to ``most_words`` words that occur ``least`` times or more, and all words counted."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks, bits = max(1, math.ceil(total / chunk_bytes)), leading_bits(total / 6)
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    texts = docs.select(dealt.alias("chunk"), lang.alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    levels = [written(_level(texts, _words, least, bits), "words")]
-    for _ in range(most_words - 1):
-        levels.append(written(_level(levels[-1].where("phrase is not null"), _longer, least, bits), "phrases"))
-    counted = None
-    for m, lists in enumerate(levels, 1):
-        one = lists.where("phrase is not null").select("lang", "phrase", F.lit(m).alias("words"), F.size("at").cast("long").alias("n"))
-        counted = one if counted is None else counted.unionByName(one)
-    f = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return written(f, "frequencies"), levels[0].where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    bits = leading_bits(total / 6)
+    add = _adding(least)
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    words = texts.mapInArrow(_word_lists(chunk_bytes), LISTS)
+
+    def frequent(table: pa.Table, told: pa.Table) -> list[Lists]:
+        every = _lists(table)
+        return [x.only(yes) for x, yes in zip(every, _answered([x.hashes for x in every], told, bits), strict=True)]
+
+    def longer(every: list[Lists], told: pa.Table) -> list[Lists]:
+        """Lists of the next level: the pairs that are frequent."""
+        found = []
+        for x in every:
+            first, pair = _pairs(x)
+            found.append((first, *np.unique(pair, return_inverse=True, return_counts=True)))
+        out = []
+        for x, (first, distinct, which, counts), yes in zip(every, found, _answered([_of_pairs(x, f[1]) for x, f in zip(every, found, strict=True)], told, bits), strict=True):
+            keep, n = yes[which], max(1, len(x.phrases))
+            order = np.argsort(which[keep], kind="stable")
+            names = [x.phrases[i] + b" " + x.phrases[j].rpartition(b" ")[2] for i, j in zip((distinct[yes] // n).tolist(), (distinct[yes] % n).tolist(), strict=True)]
+            out.append(Lists(x.lang, names, counts[yes], first[keep][order]))
+        return out
+
+    def candidates(every: list[Lists], chunk: int) -> pa.Table:
+        hashes, counts = [], []
+        for x in every:
+            distinct, n = np.unique(_pairs(x)[1], return_counts=True)
+            hashes.append(_of_pairs(x, distinct))
+            counts.append(n)
+        return _asked(chunk, hashes, counts, bits)
+
+    def packed(every: list[Lists], chunk: int) -> pa.Table:
+        return _rows([x.row(chunk, 0) for x in every if x.phrases], LISTS)
+
+    chunk_of = lambda table: table.column("chunk")[0].as_py()
+
+    def ask_words(table: pa.Table) -> pa.Table:
+        every = _lists(table)
+        return _asked(chunk_of(table), [x.hashes for x in every], [x.sizes for x in every], bits)
+
+    def ask_pairs(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _rows([], POST)
+        asked = candidates(frequent(table, told), chunk_of(table))
+        return pa.concat_tables([asked, _rows(_sent_on(told, chunk_of(table)), POST)])
+
+    def keep_pairs(table: pa.Table, told: pa.Table) -> pa.Table:
+        before, now = _rounds(told)
+        return packed(longer(frequent(table, before), now), chunk_of(table)) if table.num_rows else _rows([], LISTS)
+
+    def count_words(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _rows([], COUNTS)
+        totals = [(lang, TOTAL, None, _packed(np.array([n >> 31, n & (1 << 31) - 1]))) for lang, n in zip(table.column("lang").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        return pa.concat_tables([_counts(frequent(table, told), bits), _rows(totals, COUNTS)])
+
+    def ask_longer(table: pa.Table) -> pa.Table:
+        return candidates(_lists(table), chunk_of(table))
+
+    def keep_longer(table: pa.Table, told: pa.Table) -> pa.Table:
+        return packed(longer(_lists(table), told), chunk_of(table)) if table.num_rows else _rows([], LISTS)
+
+    def count(table: pa.Table) -> pa.Table:
+        return _counts(_lists(table), bits)
+
+    answer = lambda asked: asked.groupBy("part").applyInArrow(add, POST)
+    with_told = lambda lists, told, f, schema: lists.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(f, schema)
+    told = answer(words.groupBy("chunk").applyInArrow(ask_words, POST))
+    counted = with_told(words, told, count_words, COUNTS)
+    lists = None
+    for m in range(2, most_words + 1):
+        if m == 2:
+            lists = with_told(words, answer(with_told(words, told, ask_pairs, POST)), keep_pairs, LISTS)
+        else:
+            lists = with_told(lists, answer(lists.groupBy("chunk").applyInArrow(ask_longer, POST)), keep_longer, LISTS)
+        counted = counted.unionByName(lists.groupBy("chunk").applyInArrow(count, COUNTS))
+
+    def sums(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() != TOTAL:
+            return _summed(least)(table)
+        n = sum(int(hi) << 31 | int(lo) for hi, lo in map(_unpacked, table.column("counts").to_pylist()))
+        return _rows([(table.column("lang")[0].as_py(), None, n)], FREQUENCIES)
+
+    f = written(counted.groupBy("lang", "part").applyInArrow(sums, FREQUENCIES), "frequencies")
+    words_of = F.size(F.split("phrase", " "))
+    return f.where("phrase is not null").select("lang", "phrase", words_of.alias("words"), "f"), f.where("phrase is null").select("lang", F.col("f").alias("n"))
 
 
 def _part(words: Column, first: Column, length: Column) -> Column:
