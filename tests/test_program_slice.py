@@ -1,17 +1,19 @@
 """Slices across frames, into callees and libraries, on small hand-made programs."""
 
+import dataclasses
+
 import pyarrow as pa
 import pytest
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracery.operators import dcfg, frames
-from tracery.operators.program_slice import Program, program_slice
+from tracery.operators.program_slice import APPEND, OBJECT_INIT, Program, listed, methods_of, program_slice
 from tracery.operators.slicer import Options
+from tracery.plans import walk
 from tracery.plans.scratch import written
 from tracery.sources import rules
 
 
-
 def local(spark, rows, schema):
     """A table that the planner holds itself, so that small programs are quick."""
     kinds = spark.createDataFrame([], schema).schema
@@ -128,3 +130,112 @@ def test_several_criteria(spark):
     p = program(spark, CALL, [("f", 0, "p")])
     out = program_slice(p, spark.createDataFrame([(7, 4, "b"), (8, 2, None)], "trace long, pos long, path string")).collect()
     assert {r.dep_pos for r in out if r.trace == 7} == {0, 1, 2, 3, 4} and {r.dep_pos for r in out if r.trace == 8} == {0, 1, 2}
+
+
+def test_library_call_on_what_was_loaded(spark):
+    """``x = r.f`` and then ``x.add(v)`` define r, through v; a call that comes later, or on another local, does not."""
+    sig = "<L: boolean add(O)>"
+    text = [
+        ("main", "assign", None, [("local", "v")], [], [], None, None),
+        ("main", "assign", None, [("local", "r")], [], [], None, None),
+        ("main", "assign", None, [("local", "x")], ["r.f"], [], None, None),
+        ("main", "invoke", sig, [], ["x", "v"], ["x", "v"], "x", None),
+        ("main", "assign", None, [("local", "w")], [], [], None, None),
+        ("main", "assign", None, [("local", "y")], ["r.g"], [], None, None),
+        ("main", "assign", None, [("local", "z")], [], [], None, None),
+        ("main", "invoke", sig, [], ["y", "w"], ["y", "w"], "y", None),
+        ("main", "other", None, [], ["r"], [], None, None),
+        ("main", "return_void", None, [], [], [], None, None),
+    ]
+    calls = [(3, sig, "x", None, [("v", "O", False)]), (7, sig, "y", None, [("w", "O", False)])]
+    p = program(spark, text, [], calls=calls, listed=[(sig, "Generate")])
+    assert {d for d, _ in sliced(spark, p, 8, "r", Options(data_only=True))[0]} == {1, 8}
+    p = dataclasses.replace(p, loads=local(spark, [(2, "r", "x"), (5, "r", "y")], "unit_id long, base string, local string"))
+    assert {d for d, _ in sliced(spark, p, 8, "r", Options(data_only=True))[0]} == {0, 1, 2, 3, 8}
+
+
+def test_text_of_an_appended_object(spark):
+    """What append(Object) is given is defined by the ``toString()`` that it runs: its return and the call."""
+    text = [
+        ("main", "assign", None, [("local", "o")], [], [], None, None),
+        ("main", "invoke", APPEND, [], ["s", "o"], ["s", "o"], "s", None),
+        ("toString", "assign", None, [("local", "q")], ["this.f"], [], None, None),
+        ("toString", "return", None, [], ["q"], [], None, "q"),
+        ("main", "other", None, [], ["o"], [], None, None),
+        ("main", "return_void", None, [], [], [], None, None),
+    ]
+    p = program(spark, text, [("toString", 1, "this")])
+    edges = written(p.edges.where("dst <> 2").unionByName(spark.createDataFrame([(1, 2, "CALL_EDGE")], "src long, dst long, type string")))
+    ids = written(frames.frame_ids(p.stmts, edges))
+    p = dataclasses.replace(p, edges=edges, ids=ids, frames=frames.frame_table(p.stmts, ids, edges))
+    items, _ = sliced(spark, p, 4, "o", Options(data_only=True))
+    assert {(1, "o"), (1, "s"), (3, "q")} <= set(items) and {d for d, _ in items} == {0, 1, 2, 3, 4}
+
+
+def test_made_object_and_array(spark):
+    """A constructor's row is asked for the object again; an element written adds to the array."""
+    text = [
+        ("main", "assign", None, [("local", "a")], [], [], None, None),
+        ("main", "assign", None, [("array", "a")], ["i"], [], None, None),
+        ("main", "invoke", OBJECT_INIT, [], ["v"], ["a", "v"], "a", None),
+        ("main", "other", None, [], ["a"], [], None, None),
+        ("main", "return_void", None, [], [], [], None, None),
+    ]
+    p = program(spark, text, [], calls=[(2, OBJECT_INIT, "a", None, [("v", "O", False)])], listed=[(OBJECT_INIT, "Generate")])
+    rule = [(OBJECT_INIT, "Summary", "INSTANCE", None, "", "PARAM", 0, "")]
+    p = dataclasses.replace(p, rules=local(spark, rule, "method_sig string, kind string, left_type string, left_idx int, left_path string, right_type string, right_idx int, right_path string"))
+    items, _ = sliced(spark, p, 3, "a", Options(data_only=True))
+    assert {(0, ""), (1, "i"), (2, "v"), (2, "a"), (3, "a")} <= set(items)
+
+
+def test_parameter_with_two_arguments(spark):
+    text = [
+        ("main", "assign", None, [("local", "a")], [], [], None, None),
+        ("main", "assign", "f", [("local", "b")], ["a", "c"], ["a", "c"], None, None),
+        ("f", "return", None, [], ["p"], [], None, "p"),
+        ("main", "other", None, [], ["b"], [], None, None),
+        ("main", "return_void", None, [], [], [], None, None),
+    ]
+    with pytest.raises(ValueError, match="more than one argument"):
+        sliced(spark, program(spark, text, [("f", 0, "p"), ("f", 1, "p")]), 3, "b")
+
+
+def test_recursion(spark, depth=60):
+    """Each level writes a field of its parameter after its call: all of them define what the first was given."""
+    text = [("main", "assign", None, [("local", "o")], [], [], None, None), ("main", "invoke", "f", [], ["o"], ["o"], None, None)]
+    down = [("f", "invoke", "f", [], ["p"], ["p"], None, None)] * depth
+    rows, ids, table = text + down, [0, 0], []
+    n = len(rows) + depth
+    text = rows + [("f", "assign", None, [("field", "p")], [f"k{i}"], [], None, None) for i in range(depth)] + [("main", "other", None, [], ["o"], [], None, None)]
+    # frame i has the row of its call to the next and, on the way back, the row that writes
+    ids = [(0, 0), (1, 0)] + [(2 + i, 2 + i) for i in range(depth)] + [(n - 1 - i, 2 + i) for i in range(depth)] + [(n, 0)]
+    table = [(0, "main", 0, 0, n)] + [(2 + i, "f", 2 + i, 1 + i, n - 1 - i) for i in range(depth)]
+    p = program(spark, text[:2] + [text[-1]], [("f", 0, "p")])
+    stmts = [(i, i, 0, m, m, "K", m, True, c, c, "K" if c else None, k, True, c, None, None, True) for i, (m, k, c, *_) in enumerate(text)]
+    p = dataclasses.replace(
+        p, stmts=local(spark, stmts, p.stmts._jdf.schema().toDDL()), ids=local(spark, ids, "pos long, frame_id long"),
+        frames=local(spark, table, "frame_id long, method string, first_pos long, caller_pos long, last_pos long"),
+        edges=local(spark, [(1 + i, 2 + i, "CALL_EDGE") for i in range(depth)], "src long, dst long, type string"),
+        defs=local(spark, [(i, k, b) for i, (_, _, _, d, *_) in enumerate(text) for k, b in d], "unit_id long, def_kind string, base string"),
+        uses=local(spark, [(i, [x], False) for i, (_, _, _, _, u, *_) in enumerate(text) for x in u], "unit_id long, path array<string>, is_static boolean"),
+        args=local(spark, [(i, 0, a[0]) for i, (_, _, _, _, _, a, *_) in enumerate(text) if a], "unit_id long, idx int, arg string"),
+    )
+    rounds = []
+    plain = walk.written
+    try:
+        walk.written = lambda df, name="part": (rounds.append(name), plain(df, name))[1]
+        items, _ = sliced(spark, p, n, "o", Options(data_only=True))
+    finally:
+        walk.written = plain
+    assert {(n - 1 - i, f"k{depth - 1 - i}") for i in range(depth)} <= set(items)
+    assert rounds.count("walked") <= 8
+
+
+def test_call_as_criterion_methods_and_list(spark):
+    """A call asked for as a whole enters its frame; rows that nothing controls name the call of their method; bare returns are not listed."""
+    p = program(spark, CALL, [("f", 0, "p")], doms=[])
+    out = written(program_slice(p, spark.createDataFrame([(0, 1, None)], "trace long, pos long, path string")))
+    assert {(r.pos, r.path, r.dep_pos, r.dep_path) for r in out.collect()} >= {(1, "a", 3, "x"), (1, "a", 0, "")}
+    assert {(r.pos, r.caller_pos) for r in methods_of(p, out).collect()} == {(2, 1), (3, 1)}
+    extra = out.union(spark.createDataFrame([(0, 4, "b", 5, "", "data")], out.schema))
+    assert listed(extra, p.stmts).count() == out.count()
