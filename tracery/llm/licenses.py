@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
 from .decontam import item_words
 
 #: The phrases of the base and their labels.
@@ -120,7 +121,7 @@ def license_scan(docs: DataFrame, temps: DataFrame | None = None, id_col: str =
     An empty table gives an empty table; without templates all documents have no label.
     """
     temps = templates(docs.sparkSession) if temps is None else temps
-    diags = diagonals(docs, temps, id_col, text_col, **options)
+    diags = written(diagonals(docs, temps, id_col, text_col, **options), "diagonals")
     base = diags.where(F.col("exact") & (F.size("offs") == F.col("runs"))).select("id", "th", "label", F.lit(1.0).alias("score"), F.col("diag").cast("long").alias("place"))
     spans = license_spans(diags, band).select("id", "th", F.when(~F.col("exact") & (F.col("score") >= least), F.col("label")).alias("label"), "score", F.lit(None).cast("long").alias("place"))
     based = F.when(F.col("place").isNotNull(), F.col("label"))
