@@ -815,3 +815,6 @@ def q_probe_ids(spark, d):
 @query("SELECT p_partkey, unnest(string_split(replace(p_name, ' ', '-'), '-')) AS package FROM part")
 def q_package_filter(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(instrument.package_filter(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("package"))
+
+# queries of whole programs register themselves
+from tracery.plans import program_queries as program_queries  # noqa: E402
