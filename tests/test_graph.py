@@ -270,3 +270,20 @@ def test_scopes(spark):
     frames_ = spark.createDataFrame([(3, "f", 2)], "frame_id long, method string, caller_pos long")
     seen = scope.caller_context(frames_, spark.createDataFrame([(3, ["p", "x"], False), (3, ["t"], False), (3, ["C", "s"], True)], "frame_id long, path array<string>, is_static boolean"), params)
     assert sorted(r.path for r in seen.collect()) == [["C", "s"], ["p", "x"]]
+
+
+def test_thread_edges_come_from_rows_that_have_run(spark):
+    """Entries of a thread method are reached from the last row of each starting statement up to them, whatever the buckets."""
+    rng = random.Random(4)
+    rows = [(p, rng.choice("abc"), rng.randrange(6)) for p in range(80)]
+    stmts = spark.createDataFrame(rows, "pos long, method string, unit_id long")
+    want = set()
+    for i, (p, m, _) in enumerate(rows):
+        if m == "b" and (i == 0 or rows[i - 1][1] != "b"):
+            for u in (1, 4, 9):
+                before = [q for q, _, v in rows if v == u and q <= p]
+                want |= {(max(before), p, "CALL_EDGE")} if before else set()
+    starters = spark.createDataFrame([(1,), (4,), (9,)], "unit_id long")
+    for size in (7, 1000):
+        got = {tuple(r) for r in dcfg.thread_edges(stmts, starters, spark.createDataFrame([("b",)], "method string"), size).collect()}
+        assert got == want

@@ -18,6 +18,7 @@ from tracery.plans.scratch import written
 
 FLOW, CALL = "FLOW_EDGE", "CALL_EDGE"
 LOOK_BACK = 101
+#: The prefix of the support library's classes, the signatures of the text of an object and of the calls that run it.
 LIBRARY = "android.support."
 TO_STRING = "java.lang.String toString()"
 PRINTERS = (
@@ -43,9 +44,9 @@ def flow_edges(stmts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def upsert_edges(edges: DataFrame, seq: str = "seq") -> DataFrame:
-    """Edges (src, dst, type, seq) with one predecessor per row: the first source wins, with the type written last to it."""
-    first = edges.groupBy("dst").agg(F.min_by("src", seq).alias("src"))
-    return edges.join(first, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.max_by("type", seq).alias("type"))
+    """Edges (src, dst, type, seq) with one predecessor per row: the first source wins (of equal ``seq`` the earliest), with the type written last to it."""
+    first = edges.groupBy("dst").agg(F.min_by("src", F.struct(seq, "src")).alias("src"))
+    return edges.join(first, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.max_by("type", F.struct(seq, "type")).alias("type"))
 
 
 def clean_edges(edges: DataFrame, stmts: DataFrame, keep_thread_edges: bool = False) -> DataFrame:
@@ -86,14 +87,26 @@ def callback_edges(stmts: DataFrame, callbacks: DataFrame, setters: DataFrame, s
 
 
 def thread_edges(stmts: DataFrame, starters: DataFrame, thread_methods: DataFrame, size: int = SIZE) -> DataFrame:
-    """CALL edges to entries of thread methods: from the last row of every starting statement.
+    """CALL edges to entries of thread methods, from the last row up to the entry of every starting statement that has run by then.
 
-    ``starters`` has (unit_id), ``thread_methods`` (method).  There are as many edges
-    as starting statements for each entry; those are statements of the program, not rows.
+    ``starters`` has (unit_id), ``thread_methods`` (method).  A statement that starts
+    a thread only later has no edge to the entry.  There is an edge for each starting
+    statement and entry behind its first row, and no other pair is made.
     """
-    entries = first_in_method(stmts, size).where("is_first").join(thread_methods, "method", "left_semi").select(F.col("pos").alias("dst"))
-    starts = stmts.join(starters, "unit_id", "left_semi").groupBy("unit_id").agg(F.max("pos").alias("src"))
-    return entries.select(F.explode(starts.agg(F.collect_list("src")).scalar()).alias("src"), "dst", F.lit(CALL).alias("type"))
+    entries = first_in_method(stmts, size).where("is_first").join(thread_methods, "method", "left_semi").select("pos")
+    starts = stmts.join(starters, "unit_id", "left_semi").select("pos", "unit_id")
+    # at an entry, the statements that have run by then are those of the buckets before and of the rows before in its own
+    bucket = F.floor(F.col("pos") / size).alias("b")
+    begun = starts.groupBy("unit_id").agg(F.min("pos").alias("since"))
+    met = begun.select("unit_id", "since", F.floor(F.col("since") / size).alias("f"))
+    held = entries.select("pos", bucket)
+    buckets = held.select("b").distinct()
+    open_ = buckets.join(met, F.col("f") <= F.col("b")).select("b", "unit_id", "since")
+    asks = held.join(open_, "b").where("since <= pos").select("pos", "unit_id", F.lit(False).alias("starts"))
+    both = asks.union(starts.select("pos", "unit_id", F.lit(True).alias("starts")))
+    both = both.withColumn("o", F.col("pos") * 2 + F.when(F.col("starts"), 0).otherwise(1))
+    found = last_before(both, "o", {"src": F.when(F.col("starts"), F.col("pos"))}, ["unit_id"], size)
+    return found.where("not starts").select("src", F.col("pos").alias("dst"), F.lit(CALL).alias("type"))
 
 
 def look_back_edges(stmts: DataFrame, edges: DataFrame, size: int = SIZE, rows: int = LOOK_BACK) -> DataFrame:
@@ -138,6 +151,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(kind, pa.string())], names=["src", "dst", "type"])
 
 
+#: Fixed value: the name of static initialisers.
 INIT = "<clinit>"
 
 

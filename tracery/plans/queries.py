@@ -159,8 +159,9 @@ def _linkable(spark, d) -> DataFrame:
     )
 
 
-LINKS_SQL = FLOW_SQL + """, e AS (SELECT f.* FROM f JOIN t s ON s.pos = f.src WHERE s.kind NOT IN ('return', 'throw')),
-  ev AS (SELECT thread_id, method, pos, 3 * pos AS o, 1 AS a, 0 AS b FROM t WHERE pos NOT IN (SELECT dst FROM e) UNION ALL SELECT thread_id, method, pos, 3 * pos + 2, 0, 1 FROM t WHERE kind <> 'return' AND pos NOT IN (SELECT src FROM e)),
+CLEAN_SQL = ", e AS (SELECT f.* FROM f JOIN t s ON s.pos = f.src WHERE s.kind NOT IN ('return', 'throw'))"
+LINKS_SQL = """,
+  ev AS (SELECT thread_id, method, pos, 3 * pos AS o, 1 AS a, 0 AS b FROM t WHERE pos NOT IN (SELECT dst FROM e) UNION ALL SELECT thread_id, method, pos, 3 * pos + 2, 0, 1 FROM t WHERE kind <> 'return' AND pos NOT IN (SELECT src FROM e WHERE type = 'FLOW_EDGE')),
   cl AS (SELECT thread_id, called_sig AS method, pos, 3 * pos + 1 AS o FROM t WHERE called_sig IS NOT NULL),
   cut AS (SELECT ev.*, coalesce(cl.pos, -1) AS call FROM ev ASOF LEFT JOIN cl ON ev.thread_id = cl.thread_id AND ev.method = cl.method AND ev.o >= cl.o),
   su AS (SELECT *, sum(a) OVER w AS adds, sum(b) OVER w AS takes FROM cut WINDOW w AS (PARTITION BY thread_id, method, call ORDER BY o DESC)),
@@ -169,19 +170,35 @@ LINKS_SQL = FLOW_SQL + """, e AS (SELECT f.* FROM f JOIN t s ON s.pos = f.src WH
   l AS (SELECT coalesce(g.src, q.call) AS src, q.pos AS dst, CASE WHEN g.src IS NULL THEN 'CALL_EDGE' ELSE 'FLOW_EDGE' END AS type FROM q LEFT JOIN g USING (thread_id, method, call, adds) WHERE q.a = 1 AND (g.src IS NOT NULL OR q.call >= 0))"""
 
 
-@query(f"WITH_EVENTS, {LINKS_SQL} SELECT src, dst, type FROM l")
+@query(f"WITH_EVENTS, {FLOW_SQL}{CLEAN_SQL}{LINKS_SQL} SELECT src, dst, type FROM l")
 def q_stack_reconstruct(spark, d):
     """Predecessors of the rows that no flow edge leads to, thread by thread."""
     t = _linkable(spark, d)
     return dcfg.link_orphans(t, written(dcfg.clean_edges(dcfg.flow_edges(t), t), "flow"))
 
 
-@query(f"WITH_EVENTS, {LINKS_SQL} SELECT src, dst, type FROM e UNION ALL SELECT src, dst, type FROM l")
+@query(f"WITH_EVENTS, {FLOW_SQL}{CLEAN_SQL}{LINKS_SQL} SELECT src, dst, type FROM e UNION ALL SELECT src, dst, type FROM l")
 def q_dynamic_graph(spark, d):
     """The whole graph of the event trace."""
     return dcfg.build(_linkable(spark, d))
 
 
+@query(f"""WITH_EVENTS, {FLOW_SQL}, en AS (SELECT pos, method FROM (SELECT pos, method, lag(method) OVER (ORDER BY pos) AS pm FROM t) WHERE pm IS DISTINCT FROM method),
+  th AS (SELECT max(s.pos) AS src, en.pos AS dst FROM en JOIN t s ON s.instr IN ('click#1', 'view#2') AND s.pos <= en.pos WHERE en.method = 'signup' GROUP BY s.unit_id, en.pos),
+  cb AS (SELECT max(s.pos) AS src, en.pos AS dst FROM en JOIN t s ON s.kind = 'if' AND s.base IN ('v1', 'v2') AND s.pos <= en.pos WHERE en.method = 'purchase' GROUP BY en.pos),
+  al AS (SELECT src, dst, type, 0 AS seq FROM f UNION ALL SELECT src, dst, 'CALL_EDGE', 1 FROM cb UNION ALL SELECT src, dst, 'CALL_EDGE', 1 FROM th),
+  o AS (SELECT dst, src, type FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY seq, src) AS place FROM al) WHERE place = 1),
+  e AS (SELECT o.src, o.dst, o.type FROM o JOIN t s ON s.pos = o.src WHERE o.type <> 'FLOW_EDGE' OR s.kind NOT IN ('return', 'throw')){LINKS_SQL} SELECT src, dst, type FROM e UNION ALL SELECT src, dst, type FROM l""")
+def q_registered_graph(spark, d):
+    """The whole graph with calls from registrations: of purchase as a callback, of signup as a method of threads."""
+    t = events_trace(spark, d)
+    callbacks = spark.createDataFrame([("v1", "purchase"), ("v2", "purchase")], "class string, method string")
+    calls = dcfg.callback_edges(t, callbacks, t.where("kind = 'if'").select("unit_id", F.col("base").alias("class")).distinct())
+    starters = t.where(F.col("instr").isin("click#1", "view#2")).select("unit_id").distinct()
+    threads = dcfg.thread_edges(t, starters, spark.createDataFrame([("signup",)], "method string"))
+    return dcfg.build(_linkable(spark, d), written(calls.unionByName(threads), "registrations"), keep_thread_edges=True)
+
+
 @query(f"WITH_EVENTS, {FLOW_SQL} SELECT pos, max(CASE WHEN pos NOT IN (SELECT dst FROM f) THEN pos END) OVER (ORDER BY pos) AS frame_id FROM t")
 def q_frames(spark, d):
     t = events_trace(spark, d)
@@ -234,8 +251,8 @@ def q_callback_edges(spark, d):
     return dcfg.callback_edges(t, callbacks, setters)
 
 
-@query("""WITH_EVENTS, f AS (SELECT pos, method, lag(method) OVER (ORDER BY pos) AS pm FROM t), s AS (SELECT unit_id, max(pos) AS src FROM t WHERE instr IN ('click#1', 'view#2') GROUP BY unit_id)
-  SELECT src, f.pos AS dst, 'CALL_EDGE' AS type FROM f, s WHERE f.method = 'signup' AND f.pm IS DISTINCT FROM f.method""")
+@query("""WITH_EVENTS, f AS (SELECT pos, method, lag(method) OVER (ORDER BY pos) AS pm FROM t)
+  SELECT max(s.pos) AS src, f.pos AS dst, 'CALL_EDGE' AS type FROM f JOIN t s ON s.instr IN ('click#1', 'view#2') AND s.pos <= f.pos WHERE f.method = 'signup' AND f.pm IS DISTINCT FROM f.method GROUP BY s.unit_id, f.pos""")
 def q_thread_edges(spark, d):
     t = events_trace(spark, d)
     starters = t.where(F.col("instr").isin("click#1", "view#2")).select("unit_id").distinct()
