@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tracery.llm.nearcopies import near_copies
+from tracery.llm.nearcopies import near_copies, without_near_copies
 
 
 def planted():
@@ -61,3 +61,11 @@ def test_repeated_ids_and_nulls(spark):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, a), (2, b), (None, a), (None, a)], key=str)
     assert near_copies(docs.limit(0)).count() == 0
+
+
+def test_rows_equal_in_id_and_text(spark):
+    """Of rows equal in id and text the one whose other columns come first stays, however the rows are dealt."""
+    rows = [(1, "a b c d e f g", n) for n in (5, 3, 9)] + [(2, "quite another text of seven words", 1)]
+    for n in (1, 3):
+        kept = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string, source long").repartition(n)).collect()
+        assert sorted((r.doc_id, r.source) for r in kept) == [(1, 3), (2, 1)]

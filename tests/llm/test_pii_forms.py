@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from tracery.llm import pii
 
 
@@ -41,3 +43,22 @@ def test_forms(spark):
     assert digits(new["us"]) == digits(new["uss"]) and digits(new["de"]) == digits(new["deg"])
     assert out[2].text == f"no 1234 {new['spaced']} 123, {new['four']} BANK"
     assert out[3].text == stay and out[3].n_replaced == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    """Five million characters that might all begin a mail name are read once."""
+    import time
+
+    texts = [("a." * 2_500_000,), ("1 " * 1_000_000 + "@",), ("x@" * 500_000 + "y.z",), ("a.b+c@d.ef " * 20_000,)]
+    began = time.time()
+    out = pii.pseudonymise(spark.createDataFrame(texts, "text string"), "k1").select(F.length("text").alias("n"), "n_found").collect()
+    assert sorted((r.n, r.n_found) for r in out) == sorted([(5_000_000, 0), (2_000_001, 0), (1_000_003, 1), (220_000, 20_000)])
+    assert time.time() - began < 120
+
+
+def test_mail_names_with_dots_keep_their_parts_linked(spark):
+    """Each run of a mail name has one pseudonym, wherever it stands."""
+    rows = [("first.last@ex.org",), ("last.first@ex.org",), ("(first@ex.org)",)]
+    a, b, c = (r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "text string"), "k1").collect())
+    one, two = a.removesuffix("@ex.org").split(".")
+    assert b == f"{two}.{one}@ex.org" and c == f"({one}@ex.org)" and (one, two) != ("first", "last")

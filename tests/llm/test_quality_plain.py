@@ -6,7 +6,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from tracery.llm import bytescan, quality
 
@@ -22,7 +24,12 @@ def mixed(x):
 
 
 def word_hash(w):
-    return mixed((sum(int(bytescan._BYTES[b]) * pow(bytescan.BASE, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & ALL)
+    if len(w) > bytescan.LONG:
+        return xxhash.xxh64_intdigest(w, 0)
+    h = mixed(len(w) ^ int(bytescan._SEEDS[0]))
+    for k in range(0, len(w), 8):
+        h = mixed((h ^ int.from_bytes(w[k : k + 8], "little")) * bytescan.BASE & ALL)
+    return h
 
 
 def index_vector(h):
@@ -132,3 +139,14 @@ def test_network_finds_what_is_not_linear():
     assert abs(p.mean() - y[n:].mean()) < 0.03
     line = np.linalg.lstsq(one[:n], y[:n] - 0.5, rcond=None)[0]
     assert ((one[n:] @ line >= 0) == y[n:]).mean() < 0.65
+
+
+def test_long_text_is_pooled_in_steps(monkeypatch):
+    """Steps of any size give the vectors of whole texts."""
+    rng = random.Random(8)
+    texts = pa.array([" ".join(rng.choice(["ab", "Cd", "12", "é"]) for _ in range(n)) for n in (0, 1, 700, 3, 90)])
+    table = quality._unit(np.random.default_rng(1).normal(size=(quality.ROWS, quality.DIM)))
+    whole = quality._pooled(texts, table)
+    for step in (7, 64):
+        monkeypatch.setattr(quality, "STEP", step)
+        assert np.allclose(quality._pooled(texts, table), whole, atol=1e-5)

@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tracery.llm import substring, suffix
+from tracery.llm import bytescan, substring, suffix
 from tracery.llm.chunks import distinct_pairs
 from tracery.llm.substring import unrepeated
 from tracery.llm.suffix import unrepeated_bytes
@@ -118,9 +119,9 @@ def test_equal_first_hashes_do_not_decide():
     one, index, count = distinct_pairs(np.zeros(8, np.uint64), np.tile(low, 2))
     assert len(one) == 4 and count.tolist() == [2] * 4 and index.tolist() == [0, 1, 2, 3] * 2
     rng = np.random.default_rng(3)
-    words, ids = rng.integers(0, 1 << 63, 400).astype(np.uint64), rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    texts, ids = pa.array([" ".join(map(str, rng.integers(0, 1 << 63, 400)))]), rng.integers(0, 1 << 63, 400).astype(np.uint64)
     # the second hashes do not follow from the first ones: both families tell all windows apart
-    assert len(np.unique(substring._second(words, np.arange(381), 20))) == 381
+    assert len(np.unique(substring._second(texts, np.arange(381), 20))) == 381
     assert len(np.unique(suffix._second(ids, 200))) == len(suffix._full(ids, 200))
 
 
@@ -132,3 +133,35 @@ def test_rows_that_repeat_an_id(spark, chunk_bytes):
     out = unrepeated(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()
     got = sorted((r.n_words, r.n_removed, bytes(r.kept).decode()) for r in out)
     assert got == [(25, 25, ""), (26, 0, "z " + shared), (27, 25, "q r"), (31, 25, "a b c d e f")]
+
+
+def thue_morse(levels):
+    """Two different strings of a length whose polynomials modulo 2**64 are equal at every odd base."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_built_to_clash(spark):
+    """Long words that a polynomial modulo 2**64 cannot tell apart are different words, and different bytes."""
+    x, y = thue_morse(11)
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {x}", 0, 0, ""), (2, f"{head} {y}", 0, 0, ""), (3, f"{head} {x}", 0, 0, "")]
+    out = {r.doc_id: r.n_removed for r in unrepeated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: 0, 2: 0, 3: 20}
+    a, b = (np.frombuffer(z.encode(), np.uint8) for z in (x, y))
+    at, end = np.array([0]), np.array([len(a)])
+    assert bytescan.word_hashes(a, at, end)[0] != bytescan.word_hashes(b, at, end)[0]
+    assert bytescan.range_hashes(a, at, end)[0] != bytescan.range_hashes(b, at, end)[0]
+
+
+def test_word_hashes_depend_on_bytes_and_seed_only():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(33, 200, n).astype(np.uint8).tobytes() for n in [*range(1, 40), 63, 64, 65, 300]]
+    raw = np.frombuffer(b" ".join([*words, *words[::-1]]), np.uint8)
+    starts = np.cumsum([0] + [len(w) + 1 for w in [*words, *words[::-1]]])[:-1]
+    ends = starts + np.array([len(w) for w in [*words, *words[::-1]]])
+    one, two = bytescan.word_hashes(raw, starts, ends), bytescan.word_hashes(raw, starts, ends, 1)
+    n = len(words)
+    assert (one[:n] == one[n:][::-1]).all() and (two[:n] == two[n:][::-1]).all() and len({*one.tolist(), *two.tolist()}) == 2 * n

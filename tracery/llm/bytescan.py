@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _MASK = (1 << 64) - 1
-#: Base of the rolling word hash (odd, so it has an inverse modulo 2**64).
+#: Base of the rolling window hash (odd, so it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20250101).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SEEDS = np.array([0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93], np.uint64)
+#: Bytes of a range from which on it is hashed on its own.
+LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,12 +90,36 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, equal for equal bytes."""
-    up, down = _Powers.upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range, equal for equal bytes; hashes of different seeds are independent.
+
+    Ranges are taken eight bytes at a time, each step a bijection of what it is given,
+    so ranges that differ in eight bytes only never clash.  Long ones are hashed one by one.
+    """
+    n = ends - starts
+    out = mixed(n.astype(np.uint64) ^ _SEEDS[seed])
+    # the eight bytes from each place on, without copying
+    lanes = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+    live, k = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(live):
+        left = n[live] - 8 * k
+        spare = (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+        lane = (lanes[starts[live] + 8 * k] << spare) >> spare
+        out[live] = mixed((out[live] ^ lane) * np.uint64(BASE))
+        live, k = live[left > 8], k + 1
+    return _one_by_one(out, raw, starts, ends, np.flatnonzero(n > LONG), seed)
+
+
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, for long ranges."""
+    return _one_by_one(np.zeros(len(starts), np.uint64), raw, starts, ends, np.arange(len(starts)), 0)
+
+
+def _one_by_one(out: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray, seed: int) -> np.ndarray:
+    whole = memoryview(np.ascontiguousarray(raw))
+    for i, a, b in zip(which.tolist(), starts[which].tolist(), ends[which].tolist(), strict=True):
+        out[i] = xxhash.xxh64_intdigest(whole[a:b], seed)
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -4,11 +4,13 @@
    ``max_repeat`` times its own size; what is cut off is shared again by weight.
 2. The mix is cut into blocks of ``block_words`` words.  The sources get their
    blocks by the highest quotients target / (2k + 1).
+   Blocks of one word, the default, bring every source to within a word of its target.
 3. A source is dealt into shards of about ``shard_words`` words by a seeded hash of
    the document id.  Every shard gets whole blocks by the same rounding rule (its
    share to the nearest whole block), so a source's total stays near its quota
-   without a pass over all its shards in one place.  A source that is one shard gets its
-   target to the word: its last block is cut, so that small sources are not rounded away.
+   without a pass over all its shards in one place.  Small sources need small blocks:
+   a source is within half a block for each of its shards of its quota, and its quota
+   within about a block of its target.
 4. In a shard the documents stand in seeded order as one tape of words, and the
    quota is taken from the tape's beginning, again from the beginning if it exceeds
    the tape.  No document is taken more than ``max_repeat`` times.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 
-def source_quotas(sizes: DataFrame, weights=(5, 2, 1), ratio: float = 1.5, max_repeat: int = 2, block_words: int = 32) -> DataFrame:
+def source_quotas(sizes: DataFrame, weights=(5, 2, 1), ratio: float = 1.5, max_repeat: int = 2, block_words: int = 1) -> DataFrame:
     """One row per source of ``sizes(source, size)``: source_size, target (double), blocks (long).
 
     Sources are ranked by code point, null last; the weights repeat along the ranks.
@@ -51,9 +53,11 @@ def source_quotas(sizes: DataFrame, weights=(5, 2, 1), ratio: float = 1.5, max_r
     aimed = aimed.withColumn("seats", F.round(F.sum("target").over(everything) / block_words).cast("long"))
     aimed = aimed.withColumn("n", F.count("*").over(everything))
     share = F.floor(F.col("target") / block_words).cast("long")
-    # rounding all shares is at most n/2 blocks off, so only quotients this near decide
-    low = F.when(F.col("target") > 0, F.greatest(F.lit(0), share - F.floor(F.col("n") / 2) - 2)).otherwise(0)
-    aimed = aimed.withColumn("low", low.cast("long")).withColumn("high", F.when(F.col("target") > 0, share + F.floor(F.col("n") / 2) + 2).otherwise(0).cast("long"))
+    # rounding all shares is at most n/2 blocks off, so the deciding quotient moves a source's
+    # share by its part of that: over all sources some 5 n quotients decide
+    reach = F.ceil(share * (F.col("n") + 1) / (2 * F.greatest(F.col("seats"), F.lit(1)))) + 2
+    low = F.when(F.col("target") > 0, F.greatest(F.lit(0), share - reach)).otherwise(0)
+    aimed = aimed.withColumn("low", low.cast("long")).withColumn("high", F.when(F.col("target") > 0, share + reach).otherwise(0).cast("long"))
     aimed = aimed.withColumn("open", F.col("seats") - F.sum("low").over(everything))
     near = aimed.where("high > low").select("rank", "target", "open", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
     order = Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "rank", "k")
@@ -65,7 +69,7 @@ def source_quotas(sizes: DataFrame, weights=(5, 2, 1), ratio: float = 1.5, max_r
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(5, 2, 1),
-    ratio: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 8000, seed: int = 42, carry: tuple = (),
+    ratio: float = 1.5, max_repeat: int = 2, block_words: int = 1, shard_words: int = 8000, seed: int = 42, carry: tuple = (),
 ) -> DataFrame:
     """Return (id, size, source_size, target, taken) and the columns ``carry`` for every row of ``docs``.
 
@@ -87,8 +91,7 @@ def mix_sources(
     so_far = tape.orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     each = each.select("*", F.sum("size").over(tape).alias("length"), F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("before"))
     blocks = F.floor(F.col("blocks") * F.col("length") / F.col("source_size") + 0.5)
-    quota = F.when(F.col("source_size") <= shard_words, F.round("target").cast("bigint")).otherwise(blocks * block_words)
-    want = F.least(quota, max_repeat * F.col("length"))
+    want = F.least(blocks * block_words, max_repeat * F.col("length"))
     each = each.withColumn("want", F.when(F.col("length") > 0, want).otherwise(0).cast("long"))
     rounds = F.when(F.col("length") > 0, F.floor(F.col("want") / F.col("length"))).otherwise(0)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - rounds * F.col("length") - F.col("before")))

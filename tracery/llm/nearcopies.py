@@ -244,12 +244,14 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The row of ``docs`` with the least id of each group of near copies; rows with a null id stay.
 
     A row is known by its id and the hash of its text, so rows that repeat an id with
-    different texts are documents of their own (the lesser hash breaks the tie).  Equal
-    rows of these are one.  All columns stay as they are, whatever their names.
+    different texts are documents of their own (the lesser hash breaks the tie).  Rows
+    equal in id and text are copies: the one whose other columns come first as JSON
+    stays.  All columns stay as they are, whatever their names.
     """
     labels = near_copies(docs, id_col, text_col, width, similarity)
     least = labels.groupBy("component").agg(F.min(F.struct("id", "tie")).alias("r"))
     stay = written(least.select("r.id", "r.tie"), "stay")
     row = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).alias("tie"), F.struct("*").alias("row"))
-    kept = row.where("id is not null").join(stay, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"])
+    others = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col])) if len(set(docs.columns)) == len(docs.columns) else F.to_json("row")
+    kept = row.where("id is not null").join(stay, ["id", "tie"], "left_semi").groupBy("id", "tie").agg(F.min_by("row", others).alias("row"))
     return kept.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -50,7 +50,7 @@ f AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROW
   row_number() OVER (ORDER BY cap / weight, rank) AS step FROM w),
 lv AS (SELECT arg_min(level, step) AS common FROM f WHERE level <= cap / weight),
 a AS (SELECT source, source_size, rank, least(cap, coalesce(common * weight, cap)) AS target FROM f, lv),
-b AS (SELECT *, CAST(round(sum(target) OVER () / 32) AS BIGINT) AS seats, count(*) OVER () AS n, CAST(floor(target / 32) AS BIGINT) AS share FROM a),
+b AS (SELECT *, CAST(round(sum(target) OVER ()) AS BIGINT) AS seats, count(*) OVER () AS n, CAST(floor(target) AS BIGINT) AS share FROM a),
 c AS (SELECT *, CASE WHEN target > 0 THEN greatest(0, share - n // 2 - 2) ELSE 0 END AS low, CASE WHEN target > 0 THEN share + n // 2 + 2 ELSE 0 END AS high FROM b),
 o AS (SELECT *, seats - sum(low) OVER () AS open FROM c),
 q AS (SELECT rank, target, open, unnest(range(low, high)) AS k FROM o WHERE high > low),
@@ -59,7 +59,7 @@ qu AS (SELECT source, source_size, target, CAST(low + coalesce(won, 0) AS BIGINT
 e AS (SELECT z.*, qu.source_size, qu.target, qu.blocks, md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))) AS h FROM z JOIN qu ON z.source IS NOT DISTINCT FROM qu.source),
 sh AS (SELECT *, CAST('0x' || left(h, 8) AS BIGINT) % CAST(greatest(1, ceil(source_size / 8000)) AS BIGINT) AS shard FROM e),
 tp AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard) AS BIGINT) AS length, CAST(coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM sh),
-wa AS (SELECT *, CASE WHEN length > 0 THEN CAST(least(CASE WHEN source_size <= 8000 THEN CAST(round(target) AS BIGINT) ELSE floor(blocks * length / source_size + 0.5) * 32 END, 2 * length) AS BIGINT) ELSE 0 END AS want FROM tp),
+wa AS (SELECT *, CASE WHEN length > 0 THEN CAST(least(floor(blocks * length / source_size + 0.5), 2 * length) AS BIGINT) ELSE 0 END AS want FROM tp),
 ro AS (SELECT *, CASE WHEN length > 0 THEN want // length ELSE 0 END AS rounds FROM wa)
 SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(size, want - rounds * length - before)) AS BIGINT) AS taken FROM ro
 """

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Formats, in the order in which they are tried at a place of the text.
 FORMATS = {
-    "mail": r"(?<![A-Za-z0-9])[A-Za-z0-9]++(?=[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)",
     "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])[0-9]{4}(?:-[0-9]{2}-[0-9]{2}|/[0-9]{1,2}/[0-9]{1,2}|\.[0-9]{1,2}\.[0-9]{1,2})(?:(?=[Tt][0-9]{2})|(?![0-9A-Za-z-]|[./][0-9]))",
     "day": r"(?<![0-9A-Za-z./-])[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{4}(?:(?=[Tt][0-9]{2})|(?![0-9A-Za-z]|[./-][0-9]))",
@@ -38,8 +38,8 @@ FORMATS = {
     "number": r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
 }
-#: Group 1 takes part where the candidate is a mail name; a mail name may look like any other format.
-PATTERN = "|".join(f"({x})" if name == "mail" else x for name, x in FORMATS.items())
+#: A mail name is taken whole, with its ``@``, which no other candidate has, so a run of name characters is read once.
+PATTERN = "|".join(FORMATS.values())
 #: A text without any of this has no candidate.
 GATE = "[0-9@]|[0-9a-f]{32}|[0-9A-F]{32}"
 SECRET = "^([0-9a-f]{32,}|[0-9A-F]{32,})$"
@@ -252,18 +252,25 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def _mail(m: Column, key: str) -> Column:
-    kinds = ((f"^[{x}]+$", letters) for x, letters in (("0-9", DIGITS), ("0-9a-z", LOWER), ("0-9A-Z", UPPER)))
-    out = F
-    for pattern, letters in kinds:
-        out = out.when(m.rlike(pattern), _string(m, letters, ["mail"], key))
-    return out.otherwise(_string(m, LOWER + UPPER[10:], ["mail"], key))
+    """A mail name with its ``@``: each run of letters and digits is permuted, the rest stays."""
+    kinds = [(f"^[{x}]+$", letters) for x, letters in (("0-9", DIGITS), ("0-9a-z", LOWER), ("0-9A-Z", UPPER))]
 
+    def run(r: Column) -> Column:
+        out = F
+        for pattern, letters in kinds:
+            out = out.when(r.rlike(pattern), _string(r, letters, ["mail"], key))
+        return out.otherwise(_string(r, LOWER + UPPER[10:], ["mail"], key))
 
-def _replacement(m: Column, mail: Column, key: str) -> Column:
+    runs = F.transform(F.regexp_extract_all(m, F.lit("[A-Za-z0-9]+"), F.lit(0)), run)
+    gaps = F.split(m, "[A-Za-z0-9]+", -1)
+    return F.array_join(F.zip_with(gaps, runs, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
+
+
+def _replacement(m: Column, key: str) -> Column:
     """The pseudonym of the candidate m; m itself where it is not valid."""
     phone = _let(_digits(m), lambda g: _let(_string(g, DIGITS, ["phone"], key), lambda n: _refilled(m, n)))
     return (
-        F.when(mail != "", _mail(m, key))
+        F.when(m.endswith("@"), _mail(m, key))
         .when(m.rlike(r"^[0-9]+([.][0-9]+){3}$"), _address(m, key))
         .when(m.rlike("^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}$"), _date(m, key))
         .when(m.rlike("^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}$"), _day_or_month_first(m, key))
@@ -299,15 +306,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     if not key.isalnum():
         raise ValueError("the key has to be letters and digits")
     text = F.col(text_col)
-    names = F.when(F.instr(text, "@") > 0, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)))
-    parts = F.struct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"), F.coalesce(names, F.array().cast("array<string>")).alias("names"), F.split(text, PATTERN, -1).alias("gaps"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"), F.split(text, PATTERN, -1).alias("gaps"))
 
     def filled(c: Column, new: Column) -> Column:
         whole = F.array_join(F.zip_with(c["gaps"], new, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
         changed = F.size(F.filter(F.zip_with(new, c["found"], lambda r, m: r != m), lambda x: x))
         return F.struct(whole.alias("text"), F.size(new).cast("bigint").alias("n_found"), changed.cast("bigint").alias("n_replaced"))
 
-    cut = _let(parts, lambda c: _let(F.zip_with(c["found"], c["names"], lambda m, e: _replacement(m, e, key)), lambda n: filled(c, n)))
+    cut = _let(parts, lambda c: _let(F.transform(c["found"], lambda m: _replacement(m, key)), lambda n: filled(c, n)))
     zero = F.lit(0).cast("bigint")
     keep = F.struct(text.alias("text"), zero.alias("n_found"), zero.alias("n_replaced"))
     taken = {c.lower() for c in docs.columns}

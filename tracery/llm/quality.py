@@ -31,6 +31,8 @@ DIM, ROWS, SHAPES, ONES, NEAR = 48, 1 << 14, 1 << 12, 4, 2
 FEW = 4
 #: Parts in which the word table is summed.
 BLOCKS = 64
+#: Words that are pooled at once, however long their text.
+STEP = 1 << 16
 WIDTH = 2 * DIM
 
 
@@ -127,12 +129,14 @@ def _pooled(column: pa.Array, words: np.ndarray) -> np.ndarray:
     """Mean vector of each document's words, and the weight that its number of words gives it."""
     out = []
     for h, shapes, first in _scan(column):
-        rows = np.concatenate([words[(h % np.uint64(ROWS)).astype(np.int64)], _SHAPE_VECTORS[shapes]], axis=1)
         n = np.diff(first)
         sums = np.zeros((len(n), WIDTH), np.float32)
-        if len(rows):
-            full = n > 0
-            sums[full] = np.add.reduceat(rows, first[:-1][full], axis=0)
+        for lo in range(0, len(h), STEP):
+            hi = min(lo + STEP, len(h))
+            rows = np.concatenate([words[(h[lo:hi] % np.uint64(ROWS)).astype(np.int64)], _SHAPE_VECTORS[shapes[lo:hi]]], axis=1)
+            at = np.clip(first, lo, hi) - lo
+            full = np.diff(at) > 0
+            sums[full] += np.add.reduceat(rows, at[:-1][full], axis=0)
         out.append(np.concatenate([sums / np.maximum(n, 1)[:, None], (n / (n + FEW))[:, None]], axis=1))
     return np.concatenate(out) if out else np.zeros((0, WIDTH + 1))
 

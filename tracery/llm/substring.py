@@ -9,7 +9,7 @@ occurrence but the first (by document id, then by position) is removed.
 
 A block's hash has 64 bits, of which 32 and the part's number cross the network; a clash
 there costs a comparison, not a wrong result.  A window is known by 96 bits, 64 and 32
-of two hashes: among n different windows a clash has a probability of about n**2 / 2**97.
+of two hashes of the text: among n different windows a clash has a probability of about n**2 / 2**97.
 """
 
 from __future__ import annotations
@@ -18,21 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytescan import bytes_of, mixed, pieces, window_hashes, word_hashes, words_of
+from .bytescan import bytes_of, pieces, window_hashes, word_hashes, words_of
 from .chunks import CHUNK_BYTES, answers, as_posts, chunked, distinct_pairs, in_order, leading_bits, messages, only_covered, posts, runs_of, two_rounds
 
 PLACE = np.dtype([("id", np.int64), ("start", np.int32), ("low", np.uint32)])
 SCHEMA = "id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a chunk and where each document's words begin."""
     raw, offsets = bytes_of(texts)
     hashes, firsts, n = [], [np.zeros(1, np.int64)], 0
     for lo, hi in pieces(offsets):
         part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = words_of(part, at)
-        hashes.append(word_hashes(part, starts, ends))
+        hashes.append(word_hashes(part, starts, ends, seed))
         firsts.append(first[1:] + n)
         n += len(starts)
     return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.concatenate(firsts)
@@ -45,9 +45,9 @@ def _windows(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return window_hashes(words, width)[inside], inside
 
 
-def _second(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """32 bits of another hash of the windows at ``starts``."""
-    return (window_hashes(mixed(words + np.uint64(0xA0761D6478BD642F)), width)[starts] >> np.uint64(32)).astype(np.uint32)
+def _second(texts: pa.Array, starts: np.ndarray, width: int) -> np.ndarray:
+    """32 bits of another hash of the windows at ``starts``, from other hashes of their words."""
+    return (window_hashes(_words(texts, 1)[0], width)[starts] >> np.uint64(32)).astype(np.uint32) if len(starts) else np.empty(0, np.uint32)
 
 
 def _blocks(words: np.ndarray, first: np.ndarray, block: int):
@@ -89,7 +89,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         told = np.split(hit[which], np.cumsum([len(k) for k in keys])[:-1])
         return as_posts([(r[0], r[1], np.packbits(t).tobytes(), None) for r, t in zip(rows, told, strict=True) if t.any()])
 
-    def candidates(words: np.ndarray, first: np.ndarray, keys: np.ndarray, told: pa.Table):
+    def candidates(texts: pa.Array, words: np.ndarray, first: np.ndarray, keys: np.ndarray, told: pa.Table):
         """Windows around a hit: (distinct hashes, their second hashes, first start of each, all starts, hash index of each start)."""
         distinct, anchor, again, which, at = _blocks(words, first, block)
         hit = answers(told, len(distinct), bits, distinct) | (anchor & again)
@@ -100,7 +100,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # a window from s holds the blocks from s to s + window - block
         chosen = near[np.minimum(starts + window - block + 1, len(words))] > near[starts]
         starts, hashes = starts[chosen], hashes[chosen]
-        low = _second(words, starts, window)
+        low = _second(texts, starts, window)
         turn = starts
         if (keys[1:] == keys[:-1]).any():
             doc = np.searchsorted(first, starts, "right") - 1
@@ -115,7 +115,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chunk = table.column("chunk")[0].as_py()
         _, texts, keys = in_order(table)
         words, first = _words(texts)
-        found, low, one, _, _ = candidates(words, first, keys, told)
+        found, low, one, _, _ = candidates(texts, words, first, keys, told)
         doc = np.searchsorted(first, one, "right") - 1
         place = np.empty(len(one), PLACE)
         place["id"], place["start"], place["low"] = keys[doc], one - first[doc], low
@@ -143,7 +143,7 @@ def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         words, first = _words(texts)
         parts = told.column("part").to_numpy()
         before = [(r[0], int(np.frombuffer(r[2][:8], np.int64)[0]), r[2][8:], None) for r in messages(told.filter(pa.array(parts < 0)))]
-        found, _, one, starts, index = candidates(words, first, keys, as_posts(before))
+        found, _, one, starts, index = candidates(texts, words, first, keys, as_posts(before))
         later = answers(told.filter(pa.array(parts >= 0)), len(found), bits, found)
         repeats = starts[later[index] | (starts != one[index])]
         gone = only_covered(len(words), repeats, window)

@@ -6,7 +6,9 @@ from its identifier for q bytes and that of the suffix q bytes later, and each l
 identifiers are used again by the next: 8, 16, 32, 64, 128 and at last ``width``
 bytes.  Identifiers are 64-bit hashes, so a level needs no order of the whole corpus.
 What decides has 96 bits: a run its anchor's bucket (32 and the part's number) and 64 of
-its own, a string of ``width`` bytes 64 and 32 of two refinements.
+its own, a string of ``width`` bytes 64 and 32 of two refinements.  Both refinements
+start from the 64-bit identifiers of grams: strings that differ within one gram only are
+told apart by 64 bits.
 
 Not every suffix is taken through all levels.  Of the 64-byte buckets of the suffixes
 in a window, the least (the rightmost, if equal) is the window's anchor, so equal
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytescan import bytes_of, mixed, pieces, word_hashes
+from .bytescan import bytes_of, mixed, pieces, range_hashes
 from .chunks import CHUNK_BYTES, answers, as_posts, chunked, distinct_pairs, in_order, leading_bits, messages, only_covered, posts, runs_of, two_rounds
 
 SCHEMA = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -108,7 +110,7 @@ def _runs(raw: np.ndarray, offsets: np.ndarray, width: int):
         fresh[1:] = (anchor[1:] != anchor[:-1]) | last[:-1]
         starts = np.flatnonzero(fresh & ~last)
         stops = np.flatnonzero(~last & np.append((fresh | last)[1:], True)) + 1
-        whole = word_hashes(part, starts, stops + width - 1)
+        whole = range_hashes(part, starts, stops + width - 1)
         # anchors have the least identifiers of their windows: mixed again, they spread over all parts
         for to, values in zip(out, (mixed(spread[anchor[starts]]), whole, starts + a, stops - starts), strict=True):
             to.append(values)
