@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracery.operators import program_slice
+from tracery.operators import grammar, program_slice
 from tracery.plans.adapters import EVENTS_SQL, events_trace
 from tracery.plans.ordered import last_before, previous
 from tracery.plans.queries import query
@@ -112,3 +112,24 @@ def q_slice_methods(spark, d):
     """The call that the method of each row of a slice was entered by, where no row controls it."""
     program, edges = _call_slice(spark, d)
     return program_slice.methods_of(program, written(edges, "slice"))
+
+
+# ---------------------------------------------------------------- grammars
+
+
+def _grammar(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The grammar of the statements of each thread."""
+    return grammar.trace_grammar(events_trace(spark, d).select(F.col("thread_id").alias("trace"), "pos", F.col("instr").alias("symbol")))
+
+
+@query()
+def q_trace_grammar(spark, d):
+    """The rules of the grammar as text, with their uses and lengths (tested against plain Python)."""
+    rules_, sequence = _grammar(spark, d)
+    return rules_.select("rule", "length").join(grammar.grammar_lines(rules_), "rule").join(grammar.rule_uses(rules_, sequence), "rule", "left").select("rule", "body", "length", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
+@query("WITH " + EVENTS_SQL + " SELECT thread_id AS trace, row_number() OVER (PARTITION BY thread_id ORDER BY pos) - 1 AS at, instr AS symbol FROM t")
+def q_grammar_expansion(spark, d):
+    """The traces, read back from their grammar."""
+    return grammar.expanded(*_grammar(spark, d))
