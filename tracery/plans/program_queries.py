@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracery.operators import grammar, program_slice
+from tracery.operators.frametaint import taint_along
 from tracery.plans.adapters import EVENTS_SQL, events_trace
 from tracery.plans.ordered import last_before, previous
-from tracery.plans.queries import query
+from tracery.plans.queries import CALLS, SIG_SQL, _calls, _rules, query
 from tracery.plans.scratch import written
 from tracery.sources import rules
 
@@ -133,3 +134,25 @@ def q_trace_grammar(spark, d):
 def q_grammar_expansion(spark, d):
     """The traces, read back from their grammar."""
     return grammar.expanded(*_grammar(spark, d))
+
+
+# ---------------------------------------------------------------- taint along frames
+
+
+_AFTER = """SELECT lv.frame, lv.pos, CASE WHEN x.rt = 'same' THEN path WHEN string_split(path, '.')[1] = x.rr THEN CASE WHEN x.rt = 'INSTANCE' AND x.lt <> 'RETURN' THEN x.l ELSE x.l || path[len(x.rr) + 1:] END END AS path
+      FROM lv JOIN fx x ON x.frame = lv.frame AND x.pos = lv.pos"""
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, {SIG_SQL}, {CALLS}, f AS (SELECT a.*, user_id AS frame FROM a JOIN t USING (pos)),
+  fx AS (SELECT DISTINCT frame, pos, 'same' AS rt, '' AS lt, '' AS l, '' AS rr FROM f UNION SELECT frame, pos, rt, lt, l, rr FROM f WHERE ok AND l IS NOT NULL AND rr IS NOT NULL), cx AS (SELECT DISTINCT frame, pos, l FROM f WHERE rt = 'CLEAR' AND l IS NOT NULL),
+  nm AS (SELECT frame, l AS base, pos FROM f WHERE l IS NOT NULL UNION SELECT frame, rr, pos FROM f WHERE rr IS NOT NULL), ne AS (SELECT *, lead(pos) OVER (PARTITION BY frame, base ORDER BY pos) AS nxt FROM nm),
+  sd AS (SELECT user_id AS frame, pos, 'v' || (k % 10) AS base FROM t WHERE k % 11 = 0),
+  lv AS (SELECT sd.frame, min(nm.pos) AS pos, sd.base || '.f' AS path FROM sd JOIN nm ON nm.frame = sd.frame AND nm.base = sd.base AND nm.pos > sd.pos GROUP BY sd.frame, sd.pos, sd.base
+    UNION SELECT n.frame, ne.nxt, n.path FROM ({_AFTER}) n JOIN ne ON ne.frame = n.frame AND ne.pos = n.pos AND ne.base = string_split(n.path, '.')[1] WHERE nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cx WHERE cx.frame = n.frame AND cx.pos = n.pos AND cx.l = n.path))
+  SELECT DISTINCT frame, pos, path FROM ({_AFTER}) n WHERE path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cx WHERE cx.frame = n.frame AND cx.pos = n.pos AND cx.l = n.path)""")
+def q_taint_along(spark, d):
+    """Taint of first arguments with a field, followed through all calls of a user."""
+    calls = _calls(spark, d).join(events_trace(spark, d).select("pos", F.col("user_id").alias("frame")), "pos")
+    seeds = events_trace(spark, d).where(F.col("k") % 11 == 0).select(F.col("user_id").alias("frame"), "pos", F.array(F.concat(F.lit("v"), F.col("k") % 10), F.lit("f")).alias("path"))
+    out = taint_along(calls, _rules(spark, d), seeds)
+    return out.select("frame", "pos", F.array_join("path", ".").alias("path"))
