@@ -287,3 +287,21 @@ def test_thread_edges_come_from_rows_that_have_run(spark):
     for size in (7, 1000):
         got = {tuple(r) for r in dcfg.thread_edges(stmts, starters, spark.createDataFrame([("b",)], "method string"), size).collect()}
         assert got == want
+
+
+def test_static_paths_are_defined_by_their_beginnings(spark):
+    rng = random.Random(6)
+    path = lambda: [rng.choice("CD"), *(rng.choice(["f", "$g", "g"]) for _ in range(rng.randrange(1, 4)))]
+    writes = [(p, path(), f"v{p}", rng.random() < 0.3) for p in rng.sample(range(60), 20)]
+    asks = [(p, path()) for p in range(0, 60, 2) for _ in range(2)] + [(None, ["C"]), (1, [])]
+    plain = lambda x: [e.removeprefix("$") for e in x]
+    want = set()
+    for p, a in asks[:-2]:
+        fits = [w for w in writes if plain(a)[: len(w[1])] == plain(w[1])]
+        hit = max((w for w in fits if w[0] < p), default=None) or min((w for w in fits if p < w[0] <= p + 9 and w[3]), default=None)
+        want.add((p, tuple(a), *((None, None) if hit is None else (hit[0], (hit[2], *a[len(hit[1]) :])))))
+    a = spark.createDataFrame(asks, "pos long, path array<string>")
+    w = spark.createDataFrame(writes, "pos long, path array<string>, right string, in_initialiser boolean")
+    for size in (5, 1000):
+        got = {(r.pos, tuple(r.path), r.def_pos, r.source and tuple(r.source)) for r in defuse.static_field_definition(a, w, 9, size).collect()}
+        assert got == want

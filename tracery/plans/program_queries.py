@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracery.operators import grammar, program_slice
+from tracery.operators import defuse, grammar, program_slice
 from tracery.operators.frametaint import taint_along
 from tracery.plans.adapters import EVENTS_SQL, events_trace
 from tracery.plans.ordered import last_before, previous
@@ -156,3 +156,21 @@ def q_taint_along(spark, d):
     seeds = events_trace(spark, d).where(F.col("k") % 11 == 0).select(F.col("user_id").alias("frame"), "pos", F.array(F.concat(F.lit("v"), F.col("k") % 10), F.lit("f")).alias("path"))
     out = taint_along(calls, _rules(spark, d), seeds)
     return out.select("frame", "pos", F.array_join("path", ".").alias("path"))
+
+
+# ---------------------------------------------------------------- static fields
+
+
+@query("WITH " + EVENTS_SQL + """, a AS (SELECT pos, 'C' || (k % 3) || '.f' || (k % 7) AS two, 'C' || (k % 3) || '.f' || (k % 7) || repeat('.g' || (k % 2), k % 4) AS path FROM t WHERE has_static),
+  w AS (SELECT pos, 'C' || (k % 3) || '.f' || (k % 7) AS two, 'C' || (k % 3) || '.f' || (k % 7) || CASE WHEN k % 5 = 0 THEN '.g' || (k % 2) ELSE '' END AS path, base, method = 'signup' AS init FROM t WHERE is_def),
+  h AS (SELECT a.pos, a.path, coalesce(max(CASE WHEN w.pos < a.pos THEN w.pos END), min(CASE WHEN w.pos > a.pos AND w.pos - a.pos <= 5000 AND w.init THEN w.pos END)) AS def_pos FROM a LEFT JOIN w ON w.two = a.two AND starts_with(a.path || '.', w.path || '.') GROUP BY ALL)
+  SELECT h.pos, h.path, def_pos, w.base || h.path[len(w.path) + 1:] AS source FROM h LEFT JOIN w ON w.pos = def_pos""")
+def q_static_prefix(spark, d):
+    """Static paths of two to five elements, defined by writes of their beginnings."""
+    t = events_trace(spark, d)
+    owner, field, inner = F.concat(F.lit("C"), F.col("k") % 3), F.concat(F.lit("f"), F.col("k") % 7), F.concat(F.lit("g"), F.col("k") % 2)
+    asked = t.where("has_static").select("pos", F.concat(F.array(owner, field), F.array_repeat(inner, (F.col("k") % 4).cast("int"))).alias("path"))
+    wrote = F.when(F.col("k") % 5 == 0, F.array(owner, field, inner)).otherwise(F.array(owner, field))
+    writes = t.where("is_def").select("pos", wrote.alias("path"), F.col("base").alias("right"), (F.col("method") == "signup").alias("in_initialiser"))
+    out = defuse.static_field_definition(asked, writes)
+    return out.select("pos", F.array_join("path", ".").alias("path"), "def_pos", F.array_join("source", ".").alias("source"))
