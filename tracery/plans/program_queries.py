@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from tracery.operators.frametaint import taint_along
 from tracery.plans.adapters import EVENTS_SQL, events_trace
 from tracery.plans.ordered import last_before, previous
 from tracery.plans.queries import CALLS, SIG_SQL, _calls, _rules, query
-from tracery.plans.scratch import written
+from tracery.plans.scratch import scratch_dir, written
 from tracery.sources import rules
+from tracery.streaming.ingest import stream_trace
 
 ADD = "<L: void add(O)>"
 
@@ -174,3 +177,25 @@ def q_static_prefix(spark, d):
     writes = t.where("is_def").select("pos", wrote.alias("path"), F.col("base").alias("right"), (F.col("method") == "signup").alias("in_initialiser"))
     out = defuse.static_field_definition(asked, writes)
     return out.select("pos", F.array_join("path", ".").alias("path"), "def_pos", F.array_join("source", ".").alias("source"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("WITH " + EVENTS_SQL + """, l AS (SELECT 'f' || (thread_id % 4) AS file, pos, k, thread_id, lag(k || ':' || thread_id) OVER (PARTITION BY thread_id % 4 ORDER BY pos) AS before FROM t)
+  SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos, s) - 1 AS pos, CAST(k AS BIGINT) AS bb_id, CAST(s AS INT) AS stmt_idx, 'm' || (k % 5) AS method, 'i' || k || CASE s WHEN 1 THEN '+' ELSE '' END AS instr, thread_id
+  FROM l, (SELECT unnest([0, 1]) AS s) WHERE before IS DISTINCT FROM (k || ':' || thread_id)""")
+def q_stream_ingest(spark, d):
+    """Four traces of a line for each event, read as a stream in two runs that share their state."""
+    t = events_trace(spark, d)
+    lines = t.select(F.concat(F.lit("f"), F.col("thread_id") % 4).alias("file"), F.col("pos").alias("line_no"), F.concat(F.lit("log SLICING:"), "k", F.lit(":"), "thread_id", F.lit("-")).alias("value"))
+    block = t.select(F.col("k").cast("bigint").alias("bb_id")).distinct()
+    instr = F.array(F.concat(F.lit("i"), "bb_id"), F.concat(F.lit("i"), "bb_id", F.lit("+")))
+    blocks = block.select("bb_id", F.concat(F.lit("m"), F.col("bb_id") % 5).alias("method"), F.posexplode(instr).alias("stmt_idx", "instr"), F.col("bb_id").alias("bb_src_line"))
+    at = f"{scratch_dir(spark)}/tracery-stream-{uuid.uuid4().hex}"
+    half = t.agg((F.max("pos") / 2).cast("bigint")).first()[0]
+    for part in (F.col("line_no") <= half, F.col("line_no") > half):
+        lines.where(part).write.mode("append").parquet(f"{at}/in")
+        stream = stream_trace(spark.readStream.schema(lines.schema).parquet(f"{at}/in"), blocks)
+        stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("file", "pos", "bb_id", "stmt_idx", "method", "instr", "thread_id")

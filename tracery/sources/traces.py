@@ -11,7 +11,7 @@ import base64
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracery.plans.ordered import SIZE, numbered, previous
@@ -47,32 +47,50 @@ def _deflate(texts: pa.Array) -> pa.Array:
     return pa.array([base64.b64encode(zlib.compress(t.as_py().encode())).decode() for t in texts], pa.string())
 
 
-def marked_payloads(lines: DataFrame, size: int = SIZE) -> DataFrame:
-    """(line_no, payload) of marked lines: what stands between the first and second mark, consecutive repeats dropped."""
+def payloads(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``payload`` in place of ``value``: marked lines only, what stands between the first and second mark."""
     parts = F.split("value", MARK)
-    found = lines.where(F.exists(F.slice(parts, 2, 1_000_000), lambda x: x != "")).select("line_no", F.get(parts, F.lit(1)).alias("payload"))
-    seen = previous(found, "line_no", {"before": "payload"}, size=size)
+    behind = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return lines.where(F.exists(behind, lambda x: x != "")).withColumn("payload", F.get(parts, F.lit(1))).drop("value")
+
+
+def marked_payloads(lines: DataFrame, size: int = SIZE) -> DataFrame:
+    """(line_no, payload) of marked lines, consecutive repeats dropped."""
+    seen = previous(payloads(lines).select("line_no", "payload"), "line_no", {"before": "payload"}, size=size)
     return seen.where(~F.col("payload").eqNullSafe(F.col("before"))).select("line_no", "payload")
 
 
-def records(lines: DataFrame, mode: str = "FAILFAST", size: int = SIZE) -> DataFrame:
-    """(line_no, rec_idx, bb_id, thread_id, field_id) of the records of a trace, plus ``corrupt`` in PERMISSIVE mode.
+def _text(payload: Column) -> Column:
+    """The records of a payload, unpacked if they are packed."""
+    return F.when(payload.startswith(PACKED), F.arrow_udf(_inflate, "string")(F.get(F.split(payload, PACKED), F.lit(1)))).otherwise(payload)
 
-    Records without a numeric block are no records.  One without a numeric thread, or
-    with a field that is no number, is an error, or is kept as ``corrupt``.
-    """
-    payloads = marked_payloads(lines, size)
-    packed = F.col("payload").startswith(PACKED)
-    text = F.when(packed, F.arrow_udf(_inflate, "string")(F.get(F.split("payload", PACKED), F.lit(1)))).otherwise(F.col("payload"))
-    each = payloads.select("line_no", F.posexplode(F.split(text, "-")).alias("rec_idx", "record")).withColumn("t", F.split("record", ":"))
+
+def _checked(each: DataFrame, others: list[str], mode: str) -> DataFrame:
+    """Records (others, rec_idx, record) as numbers; see :func:`records`."""
+    each = each.withColumn("t", F.split("record", ":"))
     bb, thread, field = (F.get("t", F.lit(k)) for k in range(3))
     each = each.where(bb.rlike(_NUMBER) & bb.try_cast("bigint").isNotNull())
     bad = ~F.coalesce(thread.rlike(_NUMBER), F.lit(False)) | (field.isNotNull() & ~field.rlike(_NUMBER))
     values = [bb.try_cast("bigint").alias("bb_id"), thread.try_cast("bigint").alias("thread_id"), F.coalesce(field.try_cast("int"), F.lit(-1)).alias("field_id")]
     if mode == "PERMISSIVE":
-        return each.select("line_no", "rec_idx", *values, F.when(bad, F.col("record")).alias("corrupt"))
+        return each.select(*others, "rec_idx", *values, F.when(bad, F.col("record")).alias("corrupt"))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("bad record: "), F.col("record"))).cast("bigint")).otherwise(values[0])
-    return each.select("line_no", "rec_idx", checked.alias("bb_id"), *values[1:])
+    return each.select(*others, "rec_idx", checked.alias("bb_id"), *values[1:])
+
+
+def records_of(marked: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """The records of rows with a ``payload``: its other columns, rec_idx, bb_id, thread_id, field_id."""
+    others = [c for c in marked.columns if c != "payload"]
+    return _checked(marked.select(*others, F.posexplode(F.split(_text(F.col("payload")), "-")).alias("rec_idx", "record")), others, mode)
+
+
+def records(lines: DataFrame, mode: str = "FAILFAST", size: int = SIZE) -> DataFrame:
+    """(line_no, rec_idx, bb_id, thread_id, field_id) of the records of a trace, plus ``corrupt`` in PERMISSIVE mode.
+
+    Records without a numeric block are no records.  One without a numeric thread, or
+    with a field that is no number, is an error, or is kept as ``corrupt``.
+    """
+    return records_of(marked_payloads(lines, size), mode)
 
 
 def encode(rows: DataFrame, pos: str = "pos", batch: int = BATCH, packed: bool = True) -> DataFrame:
