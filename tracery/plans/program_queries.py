@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracery.operators import defuse, grammar, program_slice
+from tracery.operators import control, defuse, grammar, program_slice
 from tracery.operators.frametaint import taint_along
 from tracery.plans.adapters import EVENTS_SQL, events_trace
 from tracery.plans.ordered import last_before, previous
@@ -199,3 +199,24 @@ def q_stream_ingest(spark, d):
         stream = stream_trace(spark.readStream.schema(lines.schema).parquet(f"{at}/in"), blocks)
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").select("file", "pos", "bb_id", "stmt_idx", "method", "instr", "thread_id")
+
+
+# ---------------------------------------------------------------- regions
+
+
+@query("WITH RECURSIVE " + EVENTS_SQL + """, u AS (SELECT DISTINCT method, unit_id, k, kind FROM t), nx AS (SELECT *, lead(unit_id) OVER w AS one, lead(unit_id, 3) OVER w AS three, lead(unit_id, 5) OVER w AS five FROM u WINDOW w AS (PARTITION BY method ORDER BY unit_id)),
+  e AS (SELECT unit_id AS src, one AS dst FROM nx WHERE kind NOT IN ('goto', 'return') AND one IS NOT NULL UNION SELECT unit_id, three FROM nx WHERE kind = 'goto' AND three IS NOT NULL UNION SELECT unit_id, five FROM nx WHERE kind = 'if' AND five IS NOT NULL),
+  av AS (SELECT p.unit_id AS p, x.unit_id AS x FROM u p JOIN u x ON p.method = x.method AND p.unit_id <> x.unit_id AND x.unit_id NOT IN (SELECT src FROM e) UNION SELECT av.p, e.src FROM av JOIN e ON e.dst = av.x AND e.src <> av.p),
+  af AS (SELECT x.unit_id AS x, p.unit_id AS p FROM u x JOIN u p ON p.method = x.method AND (p.unit_id = x.unit_id OR NOT EXISTS (SELECT 1 FROM av WHERE av.p = p.unit_id AND av.x = x.unit_id))),
+  br AS (SELECT src, dst FROM e WHERE src IN (SELECT src FROM e GROUP BY 1 HAVING count(*) > 1)),
+  cd AS (SELECT af.p AS unit_id, src, dst FROM br JOIN af ON af.x = br.dst WHERE af.p = br.src OR NOT EXISTS (SELECT 1 FROM af o WHERE o.x = br.src AND o.p = af.p)),
+  g AS (SELECT u.method, u.unit_id, coalesce(string_agg(src || '>' || dst, ',' ORDER BY src, dst), '') AS decided FROM u LEFT JOIN (SELECT DISTINCT * FROM cd) c USING (unit_id) GROUP BY ALL)
+  SELECT method, min(unit_id) OVER (PARTITION BY method, decided) AS region_id, unit_id, row_number() OVER (PARTITION BY method, decided ORDER BY unit_id) - 1 AS ord FROM g""")
+def q_regions(spark, d):
+    """Regions of the methods' statements: branches skip four, jumps two, a return ends."""
+    u = events_trace(spark, d).select("method", "unit_id", "kind").distinct()
+    near = lambda n: F.lead("unit_id", n).over(Window.partitionBy("method").orderBy("unit_id"))
+    steps = u.select("unit_id", "kind", near(1).alias("one"), near(3).alias("three"), near(5).alias("five"))
+    to = F.array(F.when(~F.col("kind").isin("goto", "return"), F.col("one")), F.when(F.col("kind") == "goto", F.col("three")), F.when(F.col("kind") == "if", F.col("five")))
+    cfg = written(steps.select(F.col("unit_id").alias("src_unit"), F.explode(to).alias("dst_unit")).where("dst_unit is not null"), "cfg")
+    return control.regions_of(written(u.select("method", "unit_id", F.col("unit_id").alias("ord")), "units"), cfg).select("method", "region_id", "unit_id", "ord")
