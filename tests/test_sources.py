@@ -132,3 +132,13 @@ def test_summaries(spark, tmp_path):
 def test_payload_of_first_mark_only(spark):
     got = traces.marked_payloads(frame(spark, ["SLICING:aSLICING:b", "SLICING:SLICING:b"])).select(F.collect_list("payload")).first()[0]
     assert sorted(got) == ["", "a"]
+
+
+def test_summaries_written_and_read_back(spark, tmp_path):
+    rows = [
+        ("<a.B: void <init>(a.C)>", "INSTANCE", None, "a.B a.C f", "PARAM", 0, ""), ("<a.B: a.C get()>", "RETURN", None, "", "INSTANCE", None, "a.B a.C f"),
+        ("<a.D$E: void clear()>", "INSTANCE", None, "", "CLEAR", None, ""), ("<a.D$E: void put(a.C)>", "PARAM", 0, "", "RETURN", None, ""),
+    ]
+    columns = "method_sig string, left_type string, left_idx int, left_path string, right_type string, right_idx int, right_path string"
+    rules.write_summaries(spark.createDataFrame(rows, columns), str(tmp_path / "s"))
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in rules.read_summaries(spark, str(tmp_path / "s")).collect()) == sorted(rows)

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracery.operators import control, defuse, grammar, program_slice
+from tracery.operators import control, defuse, framework, grammar, instrument, program_slice, slicer
 from tracery.operators.frametaint import taint_along
 from tracery.plans.adapters import EVENTS_SQL, events_trace
 from tracery.plans.ordered import last_before, previous
-from tracery.plans.queries import CALLS, SIG_SQL, _calls, _rules, query
+from tracery.plans.queries import ASKED_SQL, CALLS, SIG_SQL, _asked, _calls, _dotted, _rules, _signatures, query
 from tracery.plans.scratch import scratch_dir, written
 from tracery.sources import rules
 from tracery.streaming.ingest import stream_trace
@@ -220,3 +220,61 @@ def q_regions(spark, d):
     to = F.array(F.when(~F.col("kind").isin("goto", "return"), F.col("one")), F.when(F.col("kind") == "goto", F.col("three")), F.when(F.col("kind") == "if", F.col("five")))
     cfg = written(steps.select(F.col("unit_id").alias("src_unit"), F.explode(to).alias("dst_unit")).where("dst_unit is not null"), "cfg")
     return control.regions_of(written(u.select("method", "unit_id", F.col("unit_id").alias("ord")), "units"), cfg).select("method", "region_id", "unit_id", "ord")
+
+
+# ---------------------------------------------------------------- library summaries
+
+
+def _summarised(spark, d) -> DataFrame:
+    """Rules of the library's methods: errors, purchases and views from XML written and read back, the rest as listed or by default.
+
+    An error clears the field f of its receiver; a purchase gives its result the
+    receiver's field g and its receiver's field h the first argument's field f; a view
+    gives its first argument its receiver.
+    """
+    sigs = _signatures(events_trace(spark, d)).where(F.col("k") % 4 > 0).select("method", "method_sig").distinct()
+    own = {
+        "error": [("INSTANCE", None, "lib.C java.lang.Object f", "CLEAR", None, "")],
+        "purchase": [("RETURN", None, "", "INSTANCE", None, "lib.C java.lang.Object g"), ("INSTANCE", None, "lib.C java.lang.Object h", "PARAM", 0, "app.A java.lang.Object f")],
+        "view": [("PARAM", 0, "", "INSTANCE", None, "")],
+    }
+    model = spark.createDataFrame([(m, *r) for m, rs in own.items() for r in rs], "method string, left_type string, left_idx int, left_path string, right_type string, right_idx int, right_path string")
+    at = f"{scratch_dir(spark)}/tracery-summaries-{uuid.uuid4().hex}"
+    rules.write_summaries(sigs.join(F.broadcast(model), "method").drop("method"), at)
+    every = _signatures(events_trace(spark, d)).select("method", "method_sig").distinct()
+    kind = F.when(F.col("method") == "click", "Exclude").when(F.col("method") == "error", "Kill").when(F.col("method") == "signup", "Generate")
+    return rules.rules_for(every, summaries=rules.read_summaries(spark, at), listed=every.select("method_sig", kind.alias("kind")).where("kind is not null"))
+
+
+_SUMMARY_SQL = """su AS (SELECT * FROM (VALUES ('error', 'INSTANCE', NULL, '.f', 'CLEAR', NULL, ''), ('purchase', 'RETURN', NULL, '', 'INSTANCE', NULL, '.g'), ('purchase', 'INSTANCE', NULL, '.h', 'PARAM', 0, '.f'), ('view', 'PARAM', 0, '', 'INSTANCE', NULL, '')) v(method, lt, li, lp, rt, ri, rp)),
+  sm AS (SELECT DISTINCT g.method_sig, su.lt, su.li, su.lp, su.rt, su.ri, su.rp FROM g JOIN su USING (method) WHERE g.k % 4 > 0),
+  rr AS (SELECT * FROM sm UNION ALL SELECT method_sig, lt, li, '', rt, ri, '' FROM r WHERE method_sig NOT IN (SELECT method_sig FROM sm)),
+  cl AS (SELECT pos, method_sig, 'o' || (k % 5) AS base, CASE WHEN kind = 'assign' THEN 'r' || (k % 6) END AS ret, ['v' || (k % 10), '7', 'w' || (k % 3)] AS names FROM g),
+  a AS (SELECT cl.pos, rr.lt, rr.rt, CASE rr.lt WHEN 'PARAM' THEN names[li + 1] WHEN 'RETURN' THEN ret ELSE base END || lp AS l, CASE WHEN rr.rt = 'PARAM' AND ri <> 1 THEN names[ri + 1] || rp WHEN rr.rt = 'INSTANCE' THEN base END AS rr, rr.lt <> 'PARAM' OR li <> 1 AS ok FROM cl JOIN rr USING (method_sig))"""
+
+
+@query(f"""WITH {EVENTS_SQL}, {SIG_SQL}, {_SUMMARY_SQL} SELECT DISTINCT method_sig, lt AS left_type, CAST(li AS INT) AS left_idx, CASE WHEN lp = '' THEN '' ELSE substr(lp, 2) END AS left_field, rt AS right_type, CAST(ri AS INT) AS right_idx, CASE WHEN rp = '' THEN '' ELSE substr(rp, 2) END AS right_field FROM rr""")
+def q_fw_summaries(spark, d):
+    """The rules of all methods with summaries, with the fields that they name."""
+    field = lambda c: F.element_at(F.split(c, " "), -1)
+    return _summarised(spark, d).select("method_sig", "left_type", "left_idx", field("left_path").alias("left_field"), "right_type", "right_idx", field("right_path").alias("right_field")).distinct()
+
+
+@query(f"""WITH {EVENTS_SQL}, {SIG_SQL}, {_SUMMARY_SQL}, {ASKED_SQL}, gain AS (SELECT q.pos, CASE WHEN rt = 'INSTANCE' AND lt <> 'RETURN' THEN l ELSE l || q.path[len(rr) + 1:] END AS path FROM a JOIN q ON a.pos = q.pos AND starts_with(q.path || '.', rr || '.') WHERE ok AND l IS NOT NULL)
+  SELECT pos, path FROM (SELECT * FROM q UNION SELECT * FROM gain) WHERE (pos, path) NOT IN (SELECT pos, l FROM a WHERE rt = 'CLEAR' AND l IS NOT NULL)""")
+def q_taint_summaries(spark, d):
+    """Tainted paths after calls of methods with summaries: fields are named on both sides."""
+    return _dotted(framework.forward_taint(_calls(spark, d), _summarised(spark, d), _asked(spark, d)))
+
+
+# ---------------------------------------------------------------- small ones
+
+
+@query("WITH " + EVENTS_SQL + """ SELECT DISTINCT unit_id, method, 'w' || (k % 3) AS receiver, 'java.lang.Object run()' AS target_subsig, 'PRIVILEGED' AS kind FROM t WHERE k % 4 = 0 AND k % 3 <> 0 AND k % 8 = 4""")
+def q_privileged_calls(spark, d):
+    """Calls of static privileged actions; those of other classes, or on an object, are none."""
+    args = F.array(*[F.lit(f"java.lang.Object doPrivileged({a})") for a in instrument.PRIVILEGED])
+    t = events_trace(spark, d).where("k % 4 = 0")
+    owner = F.when(F.col("k") % 8 == 4, "java.security.AccessController").otherwise("app.T")
+    sites = t.select("unit_id", "method", F.get(args, F.col("k") % len(instrument.PRIVILEGED)).alias("called_subsig"), F.lit(None).cast("string").alias("base"), owner.alias("called_class"), F.when(F.col("k") % 3 != 0, F.concat(F.lit("w"), F.col("k") % 3)).alias("first_arg"))
+    return instrument.implicit_calls(sites.distinct())

@@ -70,9 +70,9 @@ _SUMMARY = f"_id string, flows struct<flow:array<struct<`from`:{_END},`to`:{_END
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of XML summaries, a file for each class named after it; a method's clears win over its flows."""
+    """Rules of XML summaries, a file (or a folder of them) for each class named after it; a method's clears win over its flows."""
     raw = spark.read.format("xml").option("rowTag", "method").schema(_SUMMARY).load(path)
-    class_ = F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1)
+    class_ = F.regexp_extract(F.input_file_name(), r"([^/=]+)\.xml(?:/[^/]*)?$", 1)
     methods = raw.select(F.concat(F.lit("<"), class_, F.lit(": "), F.col("_id"), F.lit(">")).alias("method_sig"), "flows", "clears")
 
     def end(c: str) -> tuple[Column, Column, Column]:
@@ -90,6 +90,32 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return cleared.unionByName(flowing)
 
 
+def write_summaries(model: DataFrame, path: str) -> None:
+    """Write rules (as :func:`read_summaries` gives them, without kind) as XML, a folder for each class.
+
+    Signatures have to be ``<class: method>``.  A rule with CLEAR on its right is a clear.
+    """
+    kinds = {"RETURN": "Return", "PARAM": "Parameter"}
+    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+    def end(tag: str, side: str) -> Column:
+        kind = F.col(f"{side}_type")
+        named = F.when(kind == "RETURN", kinds["RETURN"]).when(kind == "PARAM", kinds["PARAM"]).otherwise("Field")
+        index = F.when(F.col(f"{side}_idx").isNotNull(), F.concat(F.lit(' ParameterIndex="'), F.col(f"{side}_idx").cast("string"), F.lit('"'))).otherwise("")
+        return F.concat(F.lit(f'<{tag} sourceSinkType="'), named, F.lit('"'), index, F.lit(' AccessPath="'), F.when(F.col(f"{side}_path") != "", F.concat(F.lit("["), plain(F.col(f"{side}_path")), F.lit("]"))).otherwise(""), F.lit('"/>'))
+
+    parts = model.select(
+        F.regexp_extract("method_sig", r"^<([^:]*): ", 1).alias("class"), F.regexp_extract("method_sig", r"^<[^:]*: (.*)>$", 1).alias("method"),
+        F.when(F.col("right_type") == "CLEAR", end("clear", "left")).alias("clear"), F.when(F.col("right_type") != "CLEAR", F.concat(F.lit("<flow>"), end("from", "right"), end("to", "left"), F.lit("</flow>"))).alias("flow"),
+    )
+    each = parts.groupBy("class", "method").agg(F.array_join(F.array_sort(F.collect_list("clear")), "").alias("clears"), F.array_join(F.array_sort(F.collect_list("flow")), "").alias("flows"))
+    wrapped = lambda tag: F.when(F.col(tag) != "", F.concat(F.lit(f"<{tag}>"), F.col(tag), F.lit(f"</{tag}>"))).otherwise("")
+    body = F.concat(F.lit('<method id="'), plain(F.col("method")), F.lit('">'), wrapped("clears"), wrapped("flows"), F.lit("</method>"))
+    # a class has as many methods as its code
+    whole = each.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list(body)), "").alias("all"))
+    whole.select(F.concat("class", F.lit(".xml")).alias("file"), F.concat(F.lit("<summary><methods>"), "all", F.lit("</methods></summary>")).alias("value")).repartition("file").write.partitionBy("file").text(path)
+
+
 def rules_for(signatures: DataFrame, summaries: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
     """Rules of every called signature: from its summary, else from the rule file, else by default."""
     wanted = signatures.select("method_sig").distinct()
