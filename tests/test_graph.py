@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracery.operators import control, dcfg, defuse, frames, scope, slicer
 from tracery.plans import closure, walk
 from tracery.plans.ordered import last_before, numbered, previous, running_max, running_total
+from tracery.plans.scratch import written
 
 
 @pytest.mark.parametrize("size", [1, 3, 1 << 17])
@@ -305,3 +306,17 @@ def test_static_paths_are_defined_by_their_beginnings(spark):
     for size in (5, 1000):
         got = {(r.pos, tuple(r.path), r.def_pos, r.source and tuple(r.source)) for r in defuse.static_field_definition(a, w, 9, size).collect()}
         assert got == want
+
+
+def test_second_slice_follows_only_what_is_new(spark, monkeypatch):
+    deps = spark.createDataFrame([(1, p, p - 1) for p in range(1, 60)] + [(1, 70, 40), (1, 70, 65), (1, 65, 64)], "trace long, pos long, dep_pos long")
+    seed = lambda p: spark.createDataFrame([(1, p)], "trace long, pos long")
+    first = written(slicer.reached_again(deps, seed(50), size=8))
+    assert {r.pos for r in first.collect()} == set(range(51))
+    walked = []
+    plain = walk.written
+    monkeypatch.setattr(walk, "written", lambda df, name="part": (walked.append((name, (out := plain(df, name)).count())), out)[1])
+    both = {r.pos for r in slicer.reached_again(deps, seed(70), first, 8).collect()}
+    assert both == set(range(51)) | {64, 65, 70}
+    # three new rows are walked, not the forty that are known
+    assert sum(n for name, n in walked if name == "walked") <= 5

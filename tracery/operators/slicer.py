@@ -56,6 +56,17 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, options: Options = Options
     return rows.join(needed, ["trace", "pos"], "left_semi").union(first)
 
 
+def reached_again(deps: DataFrame, seeds: DataFrame, reached: DataFrame | None = None, size: int = BUCKET) -> DataFrame:
+    """(trace, pos): all rows reached backwards from ``seeds(trace, pos)``, and those of ``reached``, an earlier result over the same dependences.
+
+    Only rows that are new are followed.  Without ``reached`` this is a first run; its
+    result should be written to be given to the next.
+    """
+    ways = deps.select("trace", "pos", F.lit(None).cast("string").alias("path"), "dep_pos", F.lit("").alias("dep_path"))
+    known = None if reached is None else reached.select("trace", F.col("pos").cast("bigint").alias("pos"), F.lit("").alias("path"))
+    return walk_back(ways, seeds.select("trace", "pos", F.lit("").alias("path")), size, known).select("trace", "pos")
+
+
 def slice_nodes(edges: DataFrame) -> DataFrame:
     """(trace, pos) of all rows of a slice."""
     return edges.select("trace", "pos").union(edges.select("trace", "dep_pos")).distinct()

@@ -11,7 +11,7 @@ from tracery.operators import control, defuse, framework, grammar, instrument, p
 from tracery.operators.frametaint import taint_along
 from tracery.plans.adapters import EVENTS_SQL, events_trace
 from tracery.plans.ordered import last_before, previous
-from tracery.plans.queries import ASKED_SQL, CALLS, SIG_SQL, _asked, _calls, _dotted, _rules, _signatures, query
+from tracery.plans.queries import ASKED_SQL, CALLS, DEPS_SQL, SIG_SQL, _asked, _calls, _deps, _dotted, _rules, _seeds, _signatures, query
 from tracery.plans.scratch import scratch_dir, written
 from tracery.sources import rules
 from tracery.streaming.ingest import stream_trace
@@ -278,3 +278,13 @@ def q_privileged_calls(spark, d):
     owner = F.when(F.col("k") % 8 == 4, "java.security.AccessController").otherwise("app.T")
     sites = t.select("unit_id", "method", F.get(args, F.col("k") % len(instrument.PRIVILEGED)).alias("called_subsig"), F.lit(None).cast("string").alias("base"), owner.alias("called_class"), F.when(F.col("k") % 3 != 0, F.concat(F.lit("w"), F.col("k") % 3)).alias("first_arg"))
     return instrument.implicit_calls(sites.distinct())
+
+
+@query("WITH RECURSIVE " + EVENTS_SQL + ", " + DEPS_SQL + """, two AS (SELECT user_id AS trace, max(pos) AS pos FROM t GROUP BY 1 UNION SELECT user_id, max(pos) FROM t WHERE method = 'purchase' GROUP BY 1),
+  n AS (SELECT trace, pos FROM two UNION SELECT n.trace, dep.dep_pos FROM n JOIN dep ON dep.trace = n.trace AND dep.pos = n.pos) SELECT trace, pos FROM n""")
+def q_slice_again(spark, d):
+    """Rows of the slices of the last purchases, then of the last events: the second run follows only what is new."""
+    deps = written(_deps(spark, d), "deps")
+    last = events_trace(spark, d).where("method = 'purchase'").groupBy(F.col("user_id").alias("trace")).agg(F.max("pos").alias("pos"))
+    first = written(slicer.reached_again(deps, last), "reached")
+    return slicer.reached_again(deps, _seeds(spark, d), first)

@@ -61,7 +61,7 @@ def _walker(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def walk_back(edges: DataFrame, seeds: DataFrame, size: int = BUCKET) -> DataFrame:
+def walk_back(edges: DataFrame, seeds: DataFrame, size: int = BUCKET, known: DataFrame | None = None) -> DataFrame:
     """Items (trace, pos, path) that can be reached from ``seeds(trace, pos, path)``, seeds included, once each.
 
     ``edges`` (pos, path, dep_pos, dep_path) lead to earlier positions; an edge without
@@ -70,14 +70,20 @@ def walk_back(edges: DataFrame, seeds: DataFrame, size: int = BUCKET) -> DataFra
     come to.  Edges that lead forward are followed too, in rounds of their own.  Nulls
     in trace or positions are in no slice.  ``edges`` should be a written table: each
     round reads its buckets.
+
+    ``known`` is what an earlier walk over the same edges gave: it is part of the result,
+    and nothing is walked again from it, so only what is new is read.
     """
     spark = edges.sparkSession
     own = [c for c in ("trace",) if c in edges.columns]
     bucket = F.floor(F.col("pos") / size).alias(_B)
     edges = edges.where("pos is not null and dep_pos is not null").select(*own, bucket, "pos", "path", F.col("dep_pos").cast("bigint").alias("dep_pos"), "dep_path")
     start = seeds.where("trace is not null and pos is not null").select("trace", F.col("pos").cast("bigint").alias("pos"), "path").distinct()
+    if known is not None:
+        known = known.select(*ITEM)
+        start = start.join(known, ITEM, "left_anti")
     frontier = written(start, "frontier")
-    known, parts, left = None, 0, [frontier]
+    parts, left = 0, [frontier]
     schema = f"trace {start.schema['trace'].dataType.simpleString()}, pos bigint, path string, done boolean"
     while True:
         new = frontier.select("trace", bucket, "pos", "path")
