@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the key of the lines that come last.
 LAST = 2**31 - 2
 
 
@@ -41,12 +42,12 @@ def dependence_lines(rows: DataFrame, criteria: DataFrame | None = None) -> Data
     path = F.when(F.col("kinds") == "data", F.concat(F.lit(":"), "path")).otherwise("")
     line = F.concat(F.lit("("), _place("dep_file", "dep_line"), F.lit(")  "), _trimmed("dep_unit"), F.lit(" <--"), "kinds", path, F.lit("-- "), _place("src_file", "src_line"))
     own = F.col("dep_pos") == F.col("pos")
-    if criteria is None:
-        key = F.when(own, F.lit(LAST)).otherwise(F.col("dep_pos"))
-    else:
+    if criteria is not None:
         rows = rows.join(criteria.select(F.col("pos").alias("_c")).distinct(), F.col("pos") == F.col("_c"), "left")
-        key = F.when(own & F.col("_c").isNotNull(), F.lit(LAST)).otherwise(F.col("dep_pos"))
-    return _first_seen(rows, line, F.struct(key.cast("bigint").alias("key"), F.col("seq")))
+        own = own & F.col("_c").isNotNull()
+    key = F.when(own, F.lit(LAST)).otherwise(F.col("dep_pos"))
+    # the flag comes first, as a trace may have later positions than the key of the last lines
+    return _first_seen(rows, line, F.struct(own.alias("last"), key.cast("bigint").alias("key"), F.col("seq")))
 
 
 def raw_lines(rows: DataFrame) -> DataFrame:
