@@ -1,6 +1,7 @@
 """Graph building, frames, slicing and the ordered windows, against plain Python."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -320,3 +321,35 @@ def test_second_slice_follows_only_what_is_new(spark, monkeypatch):
     assert both == set(range(51)) | {64, 65, 70}
     # three new rows are walked, not the forty that are known
     assert sum(n for name, n in walked if name == "walked") <= 5
+
+
+@pytest.mark.parametrize("size", [4, 16, 1 << 20])
+def test_shared_edges_for_many_traces(spark, size):
+    """Random edges that all traces share, with and without paths, from many items at once and on from known ones, against a loop."""
+    rng = random.Random(size)
+    edges = [(p, rng.choice(["x", "y", None]), rng.randrange(p) if rng.random() < 0.95 else rng.randrange(40), rng.choice("xy")) for p in rng.choices(range(1, 40), k=90)]
+    seeds = [[(t, rng.randrange(40), rng.choice("xy")) for t in range(25)] for _ in range(2)]
+
+    def reach(items):
+        items, todo = set(items), list(items)
+        while todo:
+            t, pos, path = todo.pop()
+            for more in {(t, d, dp) for p, e, d, dp in edges if p == pos and e in (None, path)} - items:
+                items.add(more)
+                todo.append(more)
+        return sorted(items)
+
+    e = written(spark.createDataFrame(edges, "pos long, path string, dep_pos long, dep_path string"))
+    one, two = (spark.createDataFrame(x, "trace long, pos long, path string") for x in seeds)
+    first = written(walk.walk_back(e, one, size))
+    assert sorted(map(tuple, first.collect())) == reach(seeds[0])
+    assert sorted(map(tuple, walk.walk_back(e, two, size, first).collect())) == reach(seeds[0] + seeds[1])
+
+
+def test_shared_edges_are_not_copied_for_each_trace(spark, n=15_000):
+    """Each of many traces has one edge of the bucket; a copy of all edges for each would be n * n rows."""
+    ids = spark.range(n)
+    edges = written(ids.select((F.col("id") * 2 + 1).alias("pos"), F.lit("x").alias("path"), (F.col("id") * 2).alias("dep_pos"), F.lit("y").alias("dep_path")))
+    began = time.time()
+    assert walk.walk_back(edges, ids.select(F.col("id").alias("trace"), (F.col("id") * 2 + 1).alias("pos"), F.lit("x").alias("path"))).count() == 2 * n
+    assert time.time() - began < 40

@@ -20,6 +20,8 @@ from .scratch import forget, written
 
 #: Positions of a bucket; a task holds the items of a bucket that are needed and not yet passed.
 BUCKET = 1 << 20
+#: Rows of an Arrow batch that the walk of shared edges gives, at least.
+GIVEN = 1 << 15
 ITEM = ["trace", "pos", "path"]
 _B = "_bucket"
 
@@ -61,13 +63,73 @@ def _walker(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def _shared_walker(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As ``_walker``, for edges of all traces: a bucket is read once, and each item carries the traces that have come to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, here, needed, known, live, every = None, None, {}, {}, None, None
+        out, kind_of = ([], [], [], []), None
+
+        def give(traces: set, pos: int, path: str | None, done: bool) -> None:
+            out[0].extend(traces)
+            for column, value in zip(out[1:], (pos, path, done), strict=True):
+                column.extend([value] * len(traces))
+
+        def table() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (kind_of, pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[*ITEM, "done"])
+            for column in out:
+                column.clear()
+            return made
+
+        for batch in batches:
+            kind_of = batch.schema.field("trace").type
+            for trace, bucket, pos, path, dep, dep_path, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at:
+                    at, here, needed = bucket, None, {}
+                if pos != here:
+                    # what is needed at rows without edges has been given already
+                    here, known, live = pos, {}, None
+                if kind == 2:
+                    known.setdefault(path, set()).add(trace)
+                    continue
+                if kind == 1:
+                    needed.setdefault(pos, {}).setdefault(path, set()).add(trace)
+                    give({trace}, pos, path, True)
+                else:
+                    if live is None:
+                        live = {p: left for p, ts in needed.pop(pos, {}).items() if (left := ts - known.get(p, set()))}
+                        every = None
+                    if not live:
+                        continue
+                    if path is not None:
+                        come = live.get(path)
+                    else:
+                        every = set().union(*live.values()) if every is None else every
+                        come = every
+                    if not come:
+                        continue
+                    if dep >= pos or dep // size != bucket:
+                        give(come, dep, dep_path, False)
+                    else:
+                        there = needed.setdefault(dep, {}).setdefault(dep_path, set())
+                        come = come - there
+                        there |= come
+                        give(come, dep, dep_path, True)
+                if len(out[0]) >= GIVEN:
+                    yield table()
+        if kind_of is not None:
+            yield table()
+
+    return run
+
+
 def walk_back(edges: DataFrame, seeds: DataFrame, size: int = BUCKET, known: DataFrame | None = None) -> DataFrame:
     """Items (trace, pos, path) that can be reached from ``seeds(trace, pos, path)``, seeds included, once each.
 
     ``edges`` (pos, path, dep_pos, dep_path) lead to earlier positions; an edge without
     a path holds for all items of its row.  Edges with a column ``trace`` hold for that
-    trace, others for all: they are then joined only to the buckets that a trace has
-    come to.  Edges that lead forward are followed too, in rounds of their own.  Nulls
+    trace, others for all: a bucket that any trace has come to is then read once, for all
+    of them.  Edges that lead forward are followed too, in rounds of their own.  Nulls
     in trace or positions are in no slice.  ``edges`` should be a written table: each
     round reads its buckets.
 
@@ -91,16 +153,19 @@ def walk_back(edges: DataFrame, seeds: DataFrame, size: int = BUCKET, known: Dat
         if first is None:
             break
         near = F.col(_B).between(first, last)
-        active = new.select("trace", _B).distinct()
-        ways = edges.where(near).join(active, [*own, _B])
+        by = [*own, _B]
+        active = new.select(*by).distinct()
+        ways = edges.where(near).join(active, by)
+        if not own:
+            ways = ways.withColumn("trace", F.lit(None).cast(start.schema["trace"].dataType))
         columns = ["trace", _B, "pos", "path", "dep_pos", "dep_path", "kind"]
         nothing = {"dep_pos": F.lit(None).cast("bigint"), "dep_path": F.lit(None).cast("string")}
         rows = ways.withColumn("kind", F.lit(0)).select(*columns).union(new.withColumns({**nothing, "kind": F.lit(1)}).select(*columns))
         if known is not None:
-            old = known.select("trace", bucket, "pos", "path").where(near).join(active, ["trace", _B], "left_semi")
+            old = known.select("trace", bucket, "pos", "path").where(near).join(new.select("trace", _B).distinct(), ["trace", _B], "left_semi")
             rows = rows.union(old.withColumns({**nothing, "kind": F.lit(2)}).select(*columns))
-        ordered = rows.repartition("trace", _B).sortWithinPartitions("trace", _B, F.desc("pos"), F.desc("kind"))
-        found = ordered.mapInArrow(_walker(size), schema).groupBy(*ITEM).agg(F.max("done").alias("done"))
+        ordered = rows.repartition(*by).sortWithinPartitions(*by, F.desc("pos"), F.desc("kind"))
+        found = ordered.mapInArrow(_walker(size) if own else _shared_walker(size), schema).groupBy(*ITEM).agg(F.max("done").alias("done"))
         if known is not None:
             found = found.join(known, ITEM, "left_anti")
         found = written(found, "walked")
