@@ -1,5 +1,7 @@
 """Access paths, resolution, library flows, probes, reports, streaming."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,17 @@ def test_order_of_nearest_matches(spark):
     assert {r.pos: r.unit_id for r in resolve.nearest_matches(rows, u).collect()} == {0: 1, 1: 2}
 
 
+def test_many_units_of_one_text(spark, n=30_000):
+    """Rows and units that differ in nothing but their number are compared once, not each with each."""
+    ids = spark.range(n)
+    units = ids.select(F.col("id").alias("unit_id"), F.lit("m").alias("method"), F.col("id").alias("ord"), F.lit("assign").alias("kind"), F.lit("a = 1").alias("unit_str"), (F.col("id") % 3).cast("int").alias("src_line"))
+    rows = ids.select(F.col("id").alias("pos"), F.lit("m").alias("method"), F.lit("a = 2").alias("instr"), (F.col("id") % 3).cast("int").alias("src_line"))
+    began = time.time()
+    got = resolve.nearest_matches(rows, resolve.statement_index(units)).groupBy("unit_id").count().collect()
+    assert sorted(map(tuple, got)) == [(k, n // 3) for k in range(3)]
+    assert time.time() - began < 40
+
+
 def test_library_flows(spark):
     args = "array<struct<name:string,type:string,is_constant:boolean>>"
     calls = spark.createDataFrame([(1, "<L: O add(O,int)>", "l", "r", [("v", "O", False), ("7", "int", True)]), (2, "<L: void clear()>", "l", None, [])], f"pos long, method_sig string, base string, ret string, args {args}")

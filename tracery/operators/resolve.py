@@ -39,11 +39,13 @@ def nearest_matches(trace: DataFrame, index: DataFrame, key: str = "pos") -> Dat
     A unit replaces the one found before only if its text is no farther and its line
     is nearer.
     """
-    units = index.select(F.col("method").alias("um"), "unit_str", _cut(F.col("unit_str")).alias("a"), "ord", F.struct(F.col("src_line").alias("ul"), "ord", "unit_id").alias("unit"))
-    # a method has as many texts and units as its code
-    texts = units.where("a <> ''").groupBy("um", "a", "unit_str").agg(F.min("ord").alias("first"), F.collect_list("unit").alias("units"))
-    rows = trace.withColumn("b", _cut(F.col("instr")))
-    asked = rows.where("b <> ''").select("method", "b").distinct()
+    units = index.select(F.col("method").alias("um"), "unit_str", _cut(F.col("unit_str")).alias("a"), "ord", F.col("src_line").alias("ul"), "unit_id")
+    # of the units with one text on one line only the first can be taken
+    lines = units.where("a <> ''").groupBy("um", "a", "unit_str", "ul").agg(F.min(F.struct("ord", "unit_id")).alias("u"))
+    # a method has as many texts and lines as its code
+    texts = lines.groupBy("um", "a", "unit_str").agg(F.min("u.ord").alias("first"), F.collect_list(F.struct("ul", "u.ord", "u.unit_id")).alias("units"))
+    rows = trace.withColumn("b", _cut(F.col("instr"))).where("b <> ''")
+    asked = rows.select("method", "b").distinct()
     # distances are measured once for two texts, however many rows have them
     near = (F.col("method") == F.col("um")) & (F.left("a", F.lit(1)) == F.left("b", F.lit(1)))
     limit = F.floor(F.least(F.length("a"), F.length("b")) / 2).cast("int")
@@ -54,7 +56,10 @@ def nearest_matches(trace: DataFrame, index: DataFrame, key: str = "pos") -> Dat
         transform(tried, x -> struct(x.d as d, array_min(transform(x.units, y -> struct(cast(abs(src_line - y.ul) as bigint) as gap, y.ord as ord, cast(y.unit_id as bigint) as unit_id))) as u)),
         named_struct('d', {_MOST}, 'gap', cast({_MOST} as bigint), 'unit_id', cast(null as bigint)),
         (s, x) -> if(x.d <= s.d and x.u.gap < s.gap, named_struct('d', x.d, 'gap', x.u.gap, 'unit_id', x.u.unit_id), s), s -> s.unit_id)""")
-    return rows.join(tried, ["method", "b"]).select(key, best.alias("unit_id")).where("unit_id is not null")
+    # a unit is looked for once for a text and line, however many rows have them
+    spots = rows.where("src_line is not null").select("method", "b", "src_line").distinct()
+    taken = spots.join(tried, ["method", "b"]).select("method", "b", "src_line", best.alias("unit_id")).where("unit_id is not null")
+    return rows.join(taken, ["method", "b", "src_line"]).select(key, "unit_id")
 
 
 def resolve(trace: DataFrame, units: DataFrame, key: str = "pos") -> DataFrame:
