@@ -2,6 +2,7 @@
 
 import random
 
+from tracery.operators import frametaint
 from tracery.operators.framework import applied
 from tracery.operators.frametaint import taint_along
 from tracery.sources import rules
@@ -60,3 +61,15 @@ def test_nothing_to_follow(spark):
     for rows in ([], [(1, 0, ["x"])], [(9, -1, ["x"])]):
         assert taint_along(calls, model, spark.createDataFrame(rows, "frame long, pos long, path array<string>")).count() == 0
     assert taint_along(calls.where("false"), model, spark.createDataFrame([(1, 0, ["x"])], "frame long, pos long, path array<string>")).count() == 0
+
+
+def test_calls_far_apart_are_one_bucket(spark, monkeypatch):
+    """Rounds follow the number of a frame's calls, not how far they lie apart."""
+    arg = [("v", "app.A", False)]
+    calls = spark.createDataFrame([(f, p * 1000 + f, "<l: o m(o)>", "b", "v", arg) for f in range(3) for p in range(8)], CALLS)
+    seeds = spark.createDataFrame([(f, 0, ["v", "f"]) for f in range(3)], "frame long, pos long, path array<string>")
+    rounds, plain = [], frametaint.written
+    monkeypatch.setattr(frametaint, "written", lambda df, name="part": (rounds.append(name), plain(df, name))[1])
+    out = taint_along(calls, rules.model_rules(spark.createDataFrame([("<l: o m(o)>", "Generate")], "method_sig string, kind string")), seeds, 10).collect()
+    assert {(r.frame, r.pos) for r in out} == {(f, p * 1000 + f) for f in range(3) for p in range(f == 0, 8)}
+    assert rounds.count("walked") == 1

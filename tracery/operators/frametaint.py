@@ -1,7 +1,7 @@
 """Taint along frames: which paths are tainted after each library call of a frame.
 
 A path goes its own way through a frame: only the calls whose rules name its base can
-clear it or carry it on.  The calls of a frame are cut into buckets of positions; a
+clear it or carry it on.  The calls of a frame are numbered and cut into buckets; a
 bucket is read once for the paths that come to it, and what is tainted at its end goes
 to the next bucket whose calls name its base.  All buckets that something new has come to
 are read at the same time.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracery.functions import accesspath as ap
 from tracery.operators.framework import _flows
-from tracery.plans.ordered import last_before
+from tracery.plans.ordered import last_before, running_total
 from tracery.plans.scratch import forget, written
 
 SIZE = 1 << 17
@@ -92,19 +92,21 @@ def taint_along(calls: DataFrame, rules: DataFrame, taint: DataFrame, size: int
     """
     spark = calls.sparkSession
     own = calls.where("frame is not null and pos is not null")
-    acts = own.select("frame", F.col("pos").cast("bigint").alias("pos")).join(_flows(own, rules), "pos")
-    acts = written(acts.select("frame", F.floor(F.col("pos") / size).alias("b"), F.col("pos").cast("bigint").alias("pos"), "flows"), "flows")
+    # frames whose calls lie far apart, as many frames run at once, have as few buckets as any
+    own = running_total(own.withColumn("pos", F.col("pos").cast("bigint")), "pos", {"n": F.lit(1).cast("bigint")}, ["frame"], size).withColumn("b", F.floor((F.col("n") - 1) / size))
+    acts = written(_flows(own, rules, ["frame", "b"]).select("frame", "b", "pos", "flows"), "flows")
     sides = F.flatten(F.transform("flows", lambda f: F.array(F.get(f["left"], F.lit(0)), F.get(f["right"], F.lit(0)))))
     named = acts.select("frame", "b", "pos", F.explode(F.array_distinct(F.filter(sides, lambda x: x.isNotNull()))).alias("base")).withColumn("base", ap.norm(F.col("base"))).distinct()
     named = written(named, "named")
-    held = named.select("frame", "base", "b").distinct()
-    onward = written(held.withColumn("to", F.lead("b").over(Window.partitionBy("frame", "base").orderBy("b"))).where("to is not null"), "onward")
+    held = named.groupBy("frame", "base", "b").agg(F.min("pos").alias("first"))
+    after = Window.partitionBy("frame", "base").orderBy("b")
+    onward = written(held.select("frame", "base", "b", F.lead("b").over(after).alias("to"), F.lead("first").over(after).alias("first")).where("to is not null"), "onward")
     seeds = taint.where("frame is not null and pos is not null and size(path) > 0").select("frame", F.col("pos").cast("bigint").alias("pos"), "path", ap.norm(F.get("path", F.lit(0))).alias("base")).distinct()
     # a path enters where the next call names its base
-    asks = seeds.select("frame", "base", "pos").distinct().withColumn("next", F.lit(None).cast("bigint"))
-    both = asks.unionByName(named.select("frame", "base", "pos", F.col("pos").alias("next"))).withColumn("o", F.col("pos") * 2 + F.col("next").isNull().cast("int"))
+    asks = seeds.select("frame", "base", "pos").distinct().withColumn("next", F.lit(None).cast("struct<pos:bigint,b:bigint>"))
+    both = asks.unionByName(named.select("frame", "base", "pos", F.struct("pos", "b").alias("next"))).withColumn("o", F.col("pos") * 2 + F.col("next").isNull().cast("int"))
     met = last_before(both, "o", {"first": F.col("next")}, ["frame", "base"], size * 2, forward=True).where("next is null and first is not null")
-    start = seeds.join(met.select("frame", "base", "pos", "first"), ["frame", "base", "pos"]).select("frame", F.floor(F.col("first") / size).alias("b"), (F.col("first") - 1).alias("pos"), "path")
+    start = seeds.join(met.select("frame", "base", "pos", "first"), ["frame", "base", "pos"]).select("frame", F.col("first.b").alias("b"), (F.col("first.pos") - 1).alias("pos"), "path")
     frontier = written(start.distinct(), "entering")
     schema = f"frame {own.schema['frame'].dataType.simpleString()}, b bigint, pos bigint, path array<string>"
     known, found = frontier.select("frame", "b", "pos", "path"), None
@@ -117,7 +119,7 @@ def taint_along(calls: DataFrame, rules: DataFrame, taint: DataFrame, size: int
         seen = walked.where("pos is not null").select("frame", "pos", "path")
         found = seen if found is None else found.union(seen)
         left = walked.where("pos is null").select("frame", "b", "path", ap.norm(F.get("path", F.lit(0))).alias("base"))
-        more = left.join(onward, ["frame", "base", "b"]).select("frame", F.col("to").alias("b"), (F.col("to") * size - 1).alias("pos"), "path").distinct()
+        more = left.join(onward, ["frame", "base", "b"]).select("frame", F.col("to").alias("b"), (F.col("first") - 1).alias("pos"), "path").distinct()
         frontier = written(more.join(known, ["frame", "b", "pos", "path"], "left_anti"), "entering")
         known = written(known.unionByName(frontier), "entered")
     forget(named)

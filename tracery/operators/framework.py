@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ def _fits(arg: Column) -> Column:
     return arg.isNotNull() & ~F.coalesce(arg["is_constant"], F.lit(False)) & ~ap.is_primitive(arg["type"])
 
 
-def _flows(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(pos, flows): all rules at each call, with the call's names in them.
+def _flows(calls: DataFrame, rules: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """(pos, more, flows): all rules at each call, with the call's names in them.
 
     The rules of a signature are one row (a few for each parameter), so a signature that
     a third of all calls have is joined like any other, and no call is multiplied.
@@ -42,7 +44,7 @@ def _flows(calls: DataFrame, rules: DataFrame) -> DataFrame:
         ok = F.when(r["left_type"] == "PARAM", _fits(la)).otherwise(F.lit(True))
         return F.struct(r["left_type"].alias("left_type"), left.alias("left"), ok.alias("left_ok"), r["right_type"].alias("right_type"), F.coalesce(right, nothing).alias("right"))
 
-    return calls.join(packed, "method_sig").select("pos", F.transform("rules", one).alias("flows"))
+    return calls.join(packed, "method_sig").select("pos", *more, F.transform("rules", one).alias("flows"))
 
 
 def applied(calls: DataFrame, rules: DataFrame) -> DataFrame:
