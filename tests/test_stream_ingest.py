@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracery.sources import traces
+from tracery.streaming import ingest
 from tracery.streaming.ingest import stream_trace
 
 
@@ -39,3 +41,19 @@ def test_many_marks_in_a_line(spark):
     long = "x" + traces.MARK * 1_100_000 + "7:1-"
     lines = spark.createDataFrame([(0, long), (1, "SLICING:"), (2, "SLICING:1:1-SLICING:z")], "line_no long, value string")
     assert {r.line_no: r.payload for r in traces.payloads(lines).collect()} == {0: "", 2: "1:1-"}
+
+
+def test_files_are_sorted_in_runs(monkeypatch):
+    """Rows in any order come out by line, record and statement, whole lines at a time, with no more than some runs' pieces held."""
+    monkeypatch.setattr(ingest, "RUN", 50)
+    monkeypatch.setattr(ingest, "PIECE", 4)
+    rng = random.Random(3)
+    rows = [(line, None, r, s, 1, "m", "i", 1, 1, -1) for line in range(200) for r in range(rng.randrange(1, 4)) for s in range(2)] + [(line, str(line % 3), -1, -1, -1, None, None, -1, -1, -1) for line in range(200)]
+    rows += [(77, None, 5, s, 1, "m", "i", 1, 1, -1) for s in range(40)]
+    rng.shuffle(rows)
+    columns = ingest._HELD.names
+    pieces = list(ingest._in_order((pd.DataFrame(rows[k : k + 13], columns=columns) for k in range(0, len(rows), 13)), 9))
+    got = [x[:1] + x[2:4] for p in pieces for x in p[columns].itertuples(index=False, name=None)]
+    assert got == sorted(x[:1] + x[2:4] for x in rows if x[0] > 9)
+    assert max(map(len, pieces)) < 250 and len(pieces) > 5
+    assert all(a["line_no"].iloc[-1] < b["line_no"].iloc[0] for a, b in zip(pieces, pieces[1:], strict=False))

@@ -7,9 +7,12 @@ the last line it has seen, and how many statements it has.
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +21,64 @@ from tracery.sources.traces import payloads, records_of
 STATE = "digest string, line_no long, next long"
 OUT = "file string, pos long, bb_id long, stmt_idx int, method string, instr string, bb_src_line long, thread_id long, field_id int"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+_ORDER = ["line_no", "rec_idx", "stmt_idx"]
+#: Rows that a task holds of a file, and of each sorted run beyond them.
+RUN, PIECE = 1 << 18, 1 << 12
+_HELD = pa.schema([("line_no", pa.int64()), ("digest", pa.string()), ("rec_idx", pa.int32()), ("stmt_idx", pa.int32()), ("bb_id", pa.int64()), ("method", pa.string()), ("instr", pa.string()), ("bb_src_line", pa.int64()), ("thread_id", pa.int64()), ("field_id", pa.int32())])
+
+
+def _merged(runs: list[Iterator[pa.RecordBatch]]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted runs in order, a piece of each at a time; the rows of a line come together."""
+    def more(run: Iterator[pa.RecordBatch]) -> pd.DataFrame | None:
+        batch = next(run, None)
+        return None if batch is None else batch.to_pandas()
+
+    heads = [(more(run), run) for run in runs]
+    while heads := [(h, run) for h, run in heads if h is not None]:
+        nexts = [more(run) for _, run in heads]
+        # beyond the last line of a piece that goes on, its run may have smaller lines than others
+        ends = [int(h["line_no"].iloc[-1]) for (h, _), n in zip(heads, nexts, strict=True) if n is not None]
+        end = min(ends, default=None)
+        ready = [h if end is None else h[h["line_no"] < end] for h, _ in heads]
+        if any(map(len, ready)):
+            yield pd.concat([r for r in ready if len(r)], ignore_index=True).sort_values(_ORDER, kind="stable")
+        left = [h.iloc[len(r) :] for (h, _), r in zip(heads, ready, strict=True)]
+        heads = [(pd.concat([x for x in (h, n) if x is not None and len(x)], ignore_index=True) if len(h) or n is not None else None, run) for h, n, (_, run) in zip(left, nexts, heads, strict=True)]
+
+
+def _in_order(batches: Iterator[pd.DataFrame], last: int) -> Iterator[pd.DataFrame]:
+    """The rows after line ``last`` by line, record and statement; at most ``RUN`` of them are held, the others wait in sorted runs in the task's temporary folder."""
+    with tempfile.TemporaryDirectory() as folder, contextlib.ExitStack() as files:
+        held, size, runs = [], 0, []
+
+        def ordered() -> pd.DataFrame:
+            rows = pd.concat(held, ignore_index=True).sort_values(_ORDER, kind="stable")
+            held.clear()
+            return rows
+
+        for batch in batches:
+            batch = batch[batch["line_no"] > last]
+            held += [batch] if len(batch) else []
+            size += len(batch)
+            if size >= RUN:
+                table = pa.Table.from_pandas(ordered(), schema=_HELD, preserve_index=False)
+                at, size = f"{folder}/{len(runs)}", 0
+                with pa.OSFile(at, "wb") as f, pa.ipc.new_stream(f, table.schema) as out:
+                    out.write_table(table, max_chunksize=PIECE)
+                runs.append(iter(files.enter_context(pa.ipc.open_stream(files.enter_context(pa.OSFile(at, "rb"))))))
+        if held and not runs:
+            yield ordered()
+            return
+        if held:
+            runs.append(iter(pa.Table.from_pandas(ordered(), schema=_HELD, preserve_index=False).to_batches(max_chunksize=PIECE)))
+        yield from _merged(runs)
 
 
 def _number(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """New lines of one file in order; a line with the payload of the one before, or seen before, has no rows."""
     digest, last, at = state.get if state.exists else (None, -1, 0)
-    rows = pd.concat(list(batches)).sort_values(["line_no", "rec_idx", "stmt_idx"], kind="stable")
-    rows = rows[rows["line_no"] > last]
-    if len(rows):
-        lines = rows.drop_duplicates("line_no")[["line_no", "digest"]]
+    for rows in _in_order(batches, last):
+        lines = rows[rows["stmt_idx"] < 0].drop_duplicates("line_no")[["line_no", "digest"]]
         kept = lines[lines["digest"] != lines["digest"].shift(fill_value=digest if digest is not None else "")]["line_no"]
         digest, last = str(lines["digest"].iloc[-1]), int(lines["line_no"].iloc[-1])
         rows = rows[rows["line_no"].isin(kept) & rows["stmt_idx"].ge(0)]
@@ -49,5 +101,6 @@ def stream_trace(lines: DataFrame, blocks: DataFrame, mode: str = "FAILFAST") ->
     none = {"rec_idx": "int", "stmt_idx": "int", "bb_id": "long", "method": "string", "instr": "string", "bb_src_line": "long", "thread_id": "long", "field_id": "int"}
     # a line without rows still tells repeats apart
     held = marked.select("file", "line_no", "digest", *[F.lit(-1 if c in ("rec_idx", "stmt_idx") else None).cast(t).alias(c) for c, t in none.items()])
-    rows = found.select("file", "line_no", "digest", *[F.col(c).cast(t).alias(c) for c, t in none.items()]).unionByName(held)
+    # the line's own row has the digest
+    rows = found.select("file", "line_no", F.lit(None).cast("string").alias("digest"), *[F.col(c).cast(t).alias(c) for c, t in none.items()]).unionByName(held)
     return rows.groupBy("file").applyInPandasWithState(_number, OUT, STATE, "append", "NoTimeout")
