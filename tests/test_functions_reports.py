@@ -69,6 +69,15 @@ def test_many_units_of_one_text(spark, n=30_000):
     assert time.time() - began < 40
 
 
+def test_partitions_of_forward_taint_follow_what_is_asked(spark, monkeypatch):
+    monkeypatch.setattr(framework, "ASKED", 10, raising=False)
+    calls = spark.range(400).select(F.col("id").alias("pos"), F.lit("<l: o m(o)>").alias("method_sig"), F.lit("b").alias("base"), F.lit("r").alias("ret"), F.array(F.struct(F.lit("v").alias("name"), F.lit("app.A").alias("type"), F.lit(False).alias("is_constant"))).alias("args"))
+    listed = rules.model_rules(spark.createDataFrame([("<l: o m(o)>", "Generate")], "method_sig string, kind string"))
+    out = framework.forward_taint(calls, listed, spark.range(400).select(F.col("id").alias("pos"), F.array(F.lit("v")).alias("path")))
+    rows = out.select(F.spark_partition_id().alias("p"), "pos").groupBy("p").agg(F.countDistinct("pos").alias("n")).collect()
+    assert sum(r.n for r in rows) == 400 and max(r.n for r in rows) < 40
+
+
 def test_library_flows(spark):
     args = "array<struct<name:string,type:string,is_constant:boolean>>"
     calls = spark.createDataFrame([(1, "<L: O add(O,int)>", "l", "r", [("v", "O", False), ("7", "int", True)]), (2, "<L: void clear()>", "l", None, [])], f"pos long, method_sig string, base string, ret string, args {args}")

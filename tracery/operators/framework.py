@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tracery.functions import accesspath as ap
 
+#: Tainted paths of a partition, about.
+ASKED = 1 << 18
+
 
 def _field(path: Column) -> Column:
     """The field that a rule's path names: the third word of ``class type field``."""
@@ -66,7 +69,10 @@ def forward_taint(calls: DataFrame, rules: DataFrame, taint: DataFrame) -> DataF
     what follows; a flow from the receiver into a parameter or itself brings no rest.
     Paths that a clearing rule names are dropped.
     """
-    rows = taint.select("pos", "path").join(_flows(calls, rules), "pos", "left")
+    # rules with names are wide rows: partitions grow in number with what is asked, not in size
+    asked = taint.select("pos", "path")
+    n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // ASKED))
+    rows = asked.repartition(n, "pos").join(_flows(calls, rules).repartition(n, "pos"), "pos", "left")
 
     def gained(f: Column) -> Column:
         bare = (f["right_type"] == "INSTANCE") & (f["left_type"] != "RETURN")
