@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracery.operators import control, dcfg, defuse, frames, scope, slicer
 from tracery.plans import closure, walk
-from tracery.plans.ordered import last_before, numbered, previous, running_max, running_total
+from tracery.plans.ordered import fits, last_before, numbered, previous, running_max, running_total
 from tracery.plans.scratch import written
 
 
@@ -353,3 +353,31 @@ def test_shared_edges_are_not_copied_for_each_trace(spark, n=15_000):
     began = time.time()
     assert walk.walk_back(edges, ids.select(F.col("id").alias("trace"), (F.col("id") * 2 + 1).alias("pos"), F.lit("x").alias("path"))).count() == 2 * n
     assert time.time() - began < 40
+
+
+def test_rounds_do_not_grow_with_positions(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(walk, "written", lambda df, name="part": names.append(name) or written(df, name))
+    chain = [(t, 10 * i + t, 10 * (i - 1) + t) for t in (1, 2) for i in range(1, 40)]
+    edges = written(spark.createDataFrame(chain, "trace long, pos long, dep_pos long"))
+    seeds = spark.createDataFrame([(t, 390 + t) for t in (1, 2)], "trace long, pos long")
+    want = sorted((t, 10 * i + t) for t in (1, 2) for i in range(40))
+    # 40 edges of a trace fit one bucket of 64, though they lie 10 positions apart
+    assert sorted(map(tuple, walk.walk_back(edges, seeds, 64).collect())) == want
+    assert names.count("walked") == 1
+    # a trace with more edges than a bucket takes is cut
+    assert sorted(map(tuple, walk.walk_back(edges, seeds, 8).collect())) == want
+    assert names.count("walked") > 3
+    monkeypatch.setattr(walk, "FEW", 0)
+    assert sorted(map(tuple, walk.walk_back(edges, seeds, 8).collect())) == want
+    both = walk.walk_back(edges, seeds, 8, written(walk.walk_back(edges, seeds.where("trace = 1"), 8)))
+    assert sorted(map(tuple, both.collect())) == want
+
+
+def test_last_before_in_one_window(spark):
+    rows = spark.createDataFrame([(p % 3 if p % 5 else None, p, p % 4 == 0) for p in range(60)], "key long, pos long, marked boolean")
+    mark = {"at": F.when(F.col("marked"), F.col("pos"))}
+    assert fits(rows, ["key"], 20) and not fits(rows, ["key"], 10)
+    for forward in (False, True):
+        one, cut = (last_before(rows, "pos", mark, ["key"], size, forward).select("key", "pos", "at").collect() for size in (None, 7))
+        assert sorted(one, key=lambda r: r.pos) == sorted(cut, key=lambda r: r.pos)

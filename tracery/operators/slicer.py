@@ -29,8 +29,7 @@ class Options:
 
 def _reached(edges: DataFrame, seeds: DataFrame, size: int) -> DataFrame:
     """(trace, pos) reached from ``seeds(trace, pos)`` along ``edges(trace, pos, dep_pos)``."""
-    ways = edges.select("trace", "pos", F.lit(None).cast("string").alias("path"), "dep_pos", F.lit("").alias("dep_path"))
-    return walk_back(ways, seeds.select("trace", "pos", F.lit("").alias("path")), size).select("trace", "pos")
+    return walk_back(edges.select("trace", "pos", "dep_pos"), seeds.select("trace", "pos"), size)
 
 
 def backward_slice(deps: DataFrame, seeds: DataFrame, options: Options = Options(), lines: DataFrame | None = None, size: int = BUCKET) -> DataFrame:
@@ -62,9 +61,8 @@ def reached_again(deps: DataFrame, seeds: DataFrame, reached: DataFrame | None =
     Only rows that are new are followed.  Without ``reached`` this is a first run; its
     result should be written to be given to the next.
     """
-    ways = deps.select("trace", "pos", F.lit(None).cast("string").alias("path"), "dep_pos", F.lit("").alias("dep_path"))
-    known = None if reached is None else reached.select("trace", F.col("pos").cast("bigint").alias("pos"), F.lit("").alias("path"))
-    return walk_back(ways, seeds.select("trace", "pos", F.lit("").alias("path")), size, known).select("trace", "pos")
+    known = None if reached is None else reached.select("trace", F.col("pos").cast("bigint").alias("pos"))
+    return walk_back(deps.select("trace", "pos", "dep_pos"), seeds.select("trace", "pos"), size, known)
 
 
 def slice_nodes(edges: DataFrame) -> DataFrame:

@@ -25,12 +25,22 @@ def _joined(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(right, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def last_before(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[str] = (), size: int = SIZE, forward: bool = False) -> DataFrame:
+def fits(df: DataFrame, by: Sequence[str], rows: int = SIZE) -> bool:
+    """Whether no key has more than ``rows`` rows."""
+    return df.groupBy(*by).count().where(F.col("count") > rows).isEmpty()
+
+
+def last_before(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[str] = (), size: int | None = SIZE, forward: bool = False) -> DataFrame:
     """Add, for each name, the last non-null value of its column in the rows before (``forward``: the first in the rows after).
 
     ``order`` is a whole-number column without repeats within ``by``; null keys form a
-    group.  Rows without such a row get null.
+    group.  Rows without such a row get null.  ``size`` is None where each key fits one
+    window (:func:`fits`), so that nothing is handed on.
     """
+    if size is None:
+        seq = F.col(order).desc() if forward else F.col(order).asc()
+        whole = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({k: F.last(v, True).over(whole) for k, v in values.items()})
     df = df.withColumns({_B: F.floor(F.col(order) / size), **{f"_v_{k}": v for k, v in values.items()}})
     seq = F.col(order).desc() if forward else F.col(order).asc()
     bucket_seq = F.col(_B).desc() if forward else F.col(_B).asc()

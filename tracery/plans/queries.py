@@ -12,7 +12,7 @@ from tracery.functions import accesspath as ap
 from tracery.functions import statements as st
 from tracery.operators import control, dcfg, defuse, frames, framework, instrument, program_slice, resolve, scope, slicer
 from tracery.plans.adapters import EVENTS_SQL, METHODS, events_trace, method_index, table
-from tracery.plans.ordered import last_before, numbered, previous
+from tracery.plans.ordered import SIZE, fits, last_before, numbered, previous
 from tracery.plans.scratch import scratch_dir, written
 from tracery.sources import reports, rules, traces
 
@@ -485,11 +485,13 @@ DEPS_SQL = """dep AS (SELECT user_id AS trace, pos, d AS dep_pos, 'data' AS type
 
 
 def _deps(spark, d) -> DataFrame:
-    t = events_trace(spark, d).select("user_id", "pos", "base", "is_def", "kind")
-    data = last_before(t, "pos", {"dep_pos": F.when(F.col("is_def"), F.col("pos"))}, ["user_id", "base"])
-    ctrl = last_before(t, "pos", {"dep_pos": F.when(F.col("kind") == "if", F.col("pos"))}, ["user_id"])
-    parts = [x.where("dep_pos is not null").select(F.col("user_id").alias("trace"), "pos", "dep_pos", F.lit(n).alias("type")) for x, n in ((data, "data"), (ctrl, "control"))]
-    return parts[0].union(parts[1])
+    t = events_trace(spark, d).select(F.col("user_id").alias("trace"), "pos", "base", "is_def", "kind")
+    # users whose events fit one window are exchanged once, for both
+    whole = fits(table(spark, d, "events"), ["user_id"])
+    t = last_before(t.repartition("trace") if whole else t, "pos", {"data": F.when(F.col("is_def"), F.col("pos"))}, ["trace", "base"], None if whole else SIZE)
+    t = last_before(t, "pos", {"control": F.when(F.col("kind") == "if", F.col("pos"))}, ["trace"], None if whole else SIZE)
+    each = F.array(*[F.struct(F.col(n).alias("dep_pos"), F.lit(n).alias("type")) for n in ("data", "control")])
+    return t.select("trace", "pos", F.explode(each).alias("x")).select("trace", "pos", "x.dep_pos", "x.type").where("dep_pos is not null")
 
 
 def _seeds(spark, d) -> DataFrame:
