@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from tracery.operators import grammar
+from tracery.plans.scratch import written
 
 
 def collapse(seq):
@@ -75,3 +76,21 @@ def test_buckets_and_odd_traces(spark):
     check(spark, {1: [(i, "ab"[i % 2]) for i in range(50)], 5: [(3, "only")]}, size=8)
     rules, sequence = check(spark, {2: [(i, "z") for i in range(9)]})
     assert rules.count() == 0 and [(r.sym, r.times) for r in sequence.collect()] == [("'z", 9)]
+
+
+def test_expansion_writes_each_symbol_once(spark, monkeypatch):
+    symbols = [(1, i, "abcd"[i % 4] + str(i % 16)) for i in range(256)]
+    rules, sequence = grammar.trace_grammar(spark.createDataFrame(symbols, "trace long, pos long, symbol string"))
+    assert rules.agg({"round": "max"}).first()[0] > 3
+    opened = []
+
+    def counted(df, name="part"):
+        out = written(df, name)
+        opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(grammar, "written", counted)
+    back = grammar.expanded(rules, sequence)
+    assert sorted(map(tuple, back.collect())) == [(1, i, s) for _, i, s in symbols]
+    # symbols once each, and fewer rules than symbols
+    assert sum(opened) < 2 * len(symbols)
