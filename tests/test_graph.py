@@ -381,3 +381,11 @@ def test_last_before_in_one_window(spark):
     for forward in (False, True):
         one, cut = (last_before(rows, "pos", mark, ["key"], size, forward).select("key", "pos", "at").collect() for size in (None, 7))
         assert sorted(one, key=lambda r: r.pos) == sorted(cut, key=lambda r: r.pos)
+
+
+def test_edge_kinds_are_aggregated_in_place(spark):
+    edges = spark.createDataFrame([(1, 2, 1, "data"), (1, 2, 1, "control"), (1, 3, 1, "control"), (2, 3, 1, "data"), (2, 3, 1, "data")], "trace long, pos long, dep_pos long, type string")
+    kinds = slicer.edge_kinds(edges)
+    assert sorted((r.trace, r.pos, r.kinds) for r in kinds.collect()) == [(1, 2, "datacontrol"), (1, 3, "control"), (2, 3, "data")]
+    plan = kinds._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

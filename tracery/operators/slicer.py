@@ -102,8 +102,10 @@ def union_slices(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def edge_kinds(edges: DataFrame) -> DataFrame:
     """(trace, dep_pos, pos, kinds): the types of each edge, ``datacontrol`` if both."""
-    order = F.sort_array(F.collect_set("type"), asc=False)
-    return edges.groupBy("trace", "dep_pos", "pos").agg(F.array_join(order, "").alias("kinds"))
+    # flags are aggregated in place, sets of texts are not
+    has = {n: F.max((F.col("type") == n).cast("int")).alias(f"_{n}") for n in ("data", "control")}
+    each = edges.groupBy("trace", "dep_pos", "pos").agg(*has.values())
+    return each.select("trace", "dep_pos", "pos", F.concat(*[F.when(F.col(f"_{n}") == 1, n).otherwise("") for n in has]).alias("kinds"))
 
 
 def keep_last(items: DataFrame, seq: str, by: list[str]) -> DataFrame:
