@@ -191,7 +191,7 @@ def q_stream_ingest(spark, d):
     lines = t.select(F.concat(F.lit("f"), F.col("thread_id") % 4).alias("file"), F.col("pos").alias("line_no"), F.concat(F.lit("log SLICING:"), "k", F.lit(":"), "thread_id", F.lit("-")).alias("value"))
     block = t.select(F.col("k").cast("bigint").alias("bb_id")).distinct()
     instr = F.array(F.concat(F.lit("i"), "bb_id"), F.concat(F.lit("i"), "bb_id", F.lit("+")))
-    blocks = block.select("bb_id", F.concat(F.lit("m"), F.col("bb_id") % 5).alias("method"), F.posexplode(instr).alias("stmt_idx", "instr"), F.col("bb_id").alias("bb_src_line"))
+    blocks = written(block.select("bb_id", F.concat(F.lit("m"), F.col("bb_id") % 5).alias("method"), F.posexplode(instr).alias("stmt_idx", "instr"), F.col("bb_id").alias("bb_src_line")), "blocks")
     at = f"{scratch_dir(spark)}/tracery-stream-{uuid.uuid4().hex}"
     half = t.agg((F.max("pos") / 2).cast("bigint")).first()[0]
     for part in (F.col("line_no") <= half, F.col("line_no") > half):
