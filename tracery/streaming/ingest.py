@@ -72,7 +72,11 @@ def _merged(runs: list[Iterator[pa.RecordBatch]]) -> Iterator[pd.DataFrame]:
         # only runs that hold up the others are read on
         while lasts and lasts[0][0] == end:
             k = heappop(lasts)[1]
-            heads[k], nexts[k] = pd.concat([heads[k], nexts[k]], ignore_index=True), more(runs[k])
+            pieces = [heads[k]]
+            while nexts[k] is not None and pieces[-1]["line_no"].iloc[-1] == end:
+                pieces.append(nexts[k])
+                nexts[k] = more(runs[k])
+            heads[k] = pd.concat(pieces, ignore_index=True)
             if nexts[k] is not None:
                 heappush(lasts, (int(heads[k]["line_no"].iloc[-1]), k))
 
